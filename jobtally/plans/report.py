@@ -104,16 +104,21 @@ def build(samples: DataFrame, polls: DataFrame, options: Options, layout: JobIdL
 def _numbers(names: list[str], fullname: bool) -> Column:
     """``op: n`` of every operation present, in vocabulary order, bytes left out."""
     cells = [
-        f"concat('{name if fullname else SHORT_BY_LONG[name]}: ', {name})"
+        f"struct('{name if fullname else SHORT_BY_LONG[name]}' AS k, {name} AS v)"
         for name in names
         if name not in BYTE_OPERATIONS
     ]
-    return F.expr(f"concat_ws(', ', {', '.join(cells)})")
+    return F.expr(
+        f"""array_join(transform(filter(array({', '.join(cells)}), e -> e.v IS NOT NULL),
+                                 e -> concat(e.k, ': ', e.v)), ', ')"""
+    )
 
 
-def _named(operation: str, fullname: bool) -> Column:
-    name = F.col(operation) if fullname else short_name(F.col(operation))
-    return display.pad_label(F.concat(name, F.lit(":")), OPERATION_WIDTH)
+def _with_label(df: DataFrame, fullname: bool) -> DataFrame:
+    """Add ``label``, the padded name of the operation of each row."""
+    name = F.col("operation") if fullname else short_name(F.col("operation"))
+    named = df.withColumn("_name", F.concat(name, F.lit(":")))
+    return named.withColumn("label", display.pad_label(F.col("_name"), OPERATION_WIDTH))
 
 
 def lines(result: Result, options: Options) -> DataFrame:
@@ -145,9 +150,11 @@ def lines(result: Result, options: Options) -> DataFrame:
             result.summary.select("poll", F.lit(2).alias("part"), F.lit(0).alias("pos"), F.lit(title).alias("line"))
         )
         by_value = Window.partitionBy("poll").orderBy(F.desc("value"), "operation")
-        total = F.concat(F.lit("- "), _named("operation", options.fullname), F.lit(" {rate: "), "value", F.lit("}"))
+        total = F.concat(F.lit("- "), "label", F.lit(" {rate: "), "value", F.lit("}"))
         parts.append(
-            result.totals.select("poll", F.lit(2).alias("part"), F.row_number().over(by_value).alias("pos"), total.alias("line"))
+            _with_label(result.totals.withColumn("pos", F.row_number().over(by_value)), options.fullname).select(
+                "poll", F.lit(2).alias("part"), "pos", total.alias("line")
+            )
         )
     if ends_here or not options.peaks:
         parts.append(ending)
@@ -160,7 +167,7 @@ def peak_lines(ops: DataFrame, jobs: DataFrame, options: Options) -> DataFrame:
     clock = "timestamp" if options.fullname else "ts"
     by_rate = Window.orderBy(F.desc("rate"), "operation")
     best = F.concat(
-        F.lit("- "), _named("operation", options.fullname), F.lit(" {rate: "),
+        F.lit("- "), "label", F.lit(" {rate: "),
         display.pad_label(F.concat("rate", F.lit(",")), OPERATION_WIDTH), F.lit(f" {clock}: "), at, F.lit("}"),
     )
     name = (lambda key: key) if options.fullname else short_name
@@ -171,14 +178,14 @@ def peak_lines(ops: DataFrame, jobs: DataFrame, options: Options) -> DataFrame:
         F.transform(largest_first, lambda e: F.concat(name(e["key"]), F.lit(": "), -e["loss"])), ", "
     )
     holder = F.concat(
-        F.lit("- "), _named("operation", options.fullname), F.lit(" {"), numbers,
+        F.lit("- "), "label", F.lit(" {"), numbers,
         F.lit(f", {clock}: "), at, F.lit(", job_id: "), "job_id", F.lit("}"),
     )
     spark = ops.sparkSession
     titles = spark.createDataFrame(
         [(3, 0, PEAK_OPS_LABEL), (4, 0, PEAK_JOBS_LABEL), (5, 0, DOCUMENT_END)], "part INT, pos INT, line STRING"
     )
-    return (
-        titles.unionByName(ops.select(F.lit(3).alias("part"), F.row_number().over(by_rate).alias("pos"), best.alias("line")))
-        .unionByName(jobs.select(F.lit(4).alias("part"), F.row_number().over(by_rate).alias("pos"), holder.alias("line")))
+    ranked = lambda df: _with_label(df.withColumn("pos", F.row_number().over(by_rate)), options.fullname)
+    return titles.unionByName(ranked(ops).select(F.lit(3).alias("part"), "pos", best.alias("line"))).unionByName(
+        ranked(jobs).select(F.lit(4).alias("part"), "pos", holder.alias("line"))
     )

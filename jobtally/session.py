@@ -25,6 +25,9 @@ def local_session(cpus: str = "8", app: str = "jobtally", memory: str = "8g") ->
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", cpus)
+        .config("spark.ui.showConsoleProgress", "false")
+        # A local run has no network: small partitions keep all cores busy.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

@@ -33,47 +33,67 @@ def _pieces(data: Column, pattern: str) -> Column:
     return F.slice(parts, 2, F.size(parts))
 
 
+def _time(text: Column, key: str) -> Column:
+    """The last valid ``key:  seconds[.fraction]`` line."""
+    return _whole(F.regexp_extract(text, rf"(?s)^.*\n\s*{key}:*\s+([+-]?\d+)(?:\.\S*)?(?:\s|$)", 1))
+
+
+def _timed_part(job: Column) -> Column:
+    """The lines of a job that may hold its times: those before the first metric,
+    or all of them if a time comes later."""
+    head = F.substring_index(job, "{", 1)
+    return F.when(F.substr(job, F.length(head) + 1).contains("_time:"), job).otherwise(head)
+
+
+def _last_metrics(lines: Column) -> Column:
+    """Lines that give a metric, the last one of each name."""
+    keyed = F.transform(
+        F.filter(lines, _is_metric), lambda line: F.struct(line.alias("line"), _name(_bare(line)).alias("name"))
+    )
+    return keep_last(keyed, "name")["line"]
+
+
+def _line_key(line: Column) -> Column:
+    return F.substring_index(_name(F.replace(line, F.lit(" "), F.lit(""))), ":", 1)
+
+
 def keep_last(entries: Column, key: str) -> Column:
-    """Entries of an array of structs, the last one of each key.
+    """Entries of an array of structs, the last one of each key."""
+    backwards = F.reverse(entries[key])
+    is_last = lambda entry, at: F.array_position(backwards, entry[key]) == F.size(backwards) - at
+    return F.filter(entries, is_last)
 
-    Keys hardly ever repeat: the quadratic look-up runs only where they do.
-    """
-    keys = entries[key]
-    backwards = F.reverse(keys)
-    is_last = lambda entry, at: F.array_position(backwards, entry[key]) == F.size(keys) - at
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(F.filter(entries, is_last))
 
+def _is_metric(line: Column) -> Column:
+    return line.contains("{") & line.contains("}") & ~any_of([line.contains(f"{key}:") for key in TIME_KEYS])
 
-def _time(job: Column, key: str) -> Column:
-    """The last valid ``key:  seconds[.fraction]`` line of a job."""
-    return _whole(F.regexp_extract(job, rf"(?s)^.*\n\s*{key}:*\s+([+-]?\d+)(?:\.\S*)?(?:\s|$)", 1))
 
+def _bare(line: Column) -> Column:
+    return F.replace(F.btrim(line, F.lit(BLANKS)), F.lit(" "), F.lit(""))
 
-def _metrics(lines: Column) -> Column:
-    """Lines with braces as (operation, values), blanks taken out."""
-    is_metric = lambda line: (
-        line.contains("{") & line.contains("}") & ~any_of([line.contains(f"{key}:") for key in TIME_KEYS])
-    )
-    bare = lambda line: F.replace(F.btrim(line, F.lit(BLANKS)), F.lit(" "), F.lit(""))
-    cut = lambda text: F.struct(
-        F.rtrim(F.substring_index(text, "{", 1), F.lit(":")).alias("operation"),
-        F.rtrim(F.substr(text, F.instr(text, F.lit("{")) + 1), F.lit("}")).alias("values"),
-    )
-    return F.transform(F.filter(lines, is_metric), lambda line: cut(bare(line)))
 
+def _name(bare: Column) -> Column:
+    return F.rtrim(F.substring_index(bare, "{", 1), F.lit(":"))
 
-def _number(values: Column, key: str) -> Column:
-    return _whole(F.regexp_extract(values, rf"^(?:.*,)?{key}:([+-]?\d+)(?:,|$)", 1))
+
+def _item(values: Column, key: str) -> Column:
+    """The last ``key:item`` of a comma list that begins with a comma."""
+    mark = f",{key}:"
+    return F.when(values.contains(mark), F.substring_index(F.substring_index(values, mark, -1), ",", 1)).otherwise("")
 
 
 def _histogram(text: Column) -> Column:
     """``4K:1,4M:2`` as a map; entries without a number are left out."""
+    count = lambda item: F.substr(item, F.instr(item, F.lit(":")) + 1)
     pair = lambda item: F.struct(
         F.substring_index(item, ":", 1).alias("key"),
-        F.regexp_extract(item, r"^[^:]*:([+-]?\d+)$", 1).try_cast("bigint").alias("value"),
+        F.when(item.contains(":"), count(item).try_cast("bigint")).alias("value"),
     )
     pairs = F.filter(F.transform(F.split(text, ","), pair), lambda entry: entry["value"].isNotNull())
-    return F.map_from_entries(keep_last(pairs, "key"))
+    keys = pairs["key"]
+    once = F.size(F.array_distinct(keys)) == F.size(keys)
+    full = F.map_from_entries(F.when(once, pairs).otherwise(keep_last(pairs, "key")))
+    return F.when(text == "", F.create_map().cast("map<string,bigint>")).otherwise(full)
 
 
 def parse_job_stats(blocks: DataFrame, keep_empty: bool = False) -> DataFrame:
@@ -86,33 +106,53 @@ def parse_job_stats(blocks: DataFrame, keep_empty: bool = False) -> DataFrame:
     rest = [name for name in blocks.columns if name != "data"]
     explode = F.explode_outer if keep_empty else F.explode
     jobs = blocks.select(*rest, explode(_pieces(F.col("data"), JOB_START)).alias("_job"))
-    lines = F.split("_job", "\n")
-    metrics = keep_last(_metrics(F.slice(lines, 2, F.size(lines))), "operation")
-    parsed = jobs.select(
+    lines, keys = F.split("_job", "\n"), F.col("_keys")
+    cut = jobs.select(
         *rest,
         F.btrim(F.substring_index("_job", "\n", 1), F.lit(BLANKS)).alias("job_id"),
-        *[_time(F.col("_job"), key).alias(key) for key in TIME_KEYS],
-        F.explode_outer(metrics).alias("_metric"),
+        _timed_part(F.col("_job")).alias("_timed"),
+        F.slice(lines, 2, F.size(lines)).alias("_lines"),
+    ).withColumn("_keys", F.transform("_lines", _line_key))
+    # Metrics hardly ever repeat within a job; lines are only compared where one does.
+    once = F.size(F.array_distinct(keys)) == F.size(keys)
+    job = [*rest, "job_id", *TIME_KEYS]
+    kept = cut.select(
+        *rest,
+        "job_id",
+        *[_time(F.col("_timed"), key).alias(key) for key in TIME_KEYS],
+        F.when(once, F.col("_lines")).otherwise(_last_metrics(F.col("_lines"))).alias("_lines"),
+    )
+    # A null line stands for a job that has no metric.
+    some = F.when(F.exists("_lines", _is_metric), F.col("_lines"))
+    metrics = kept.select(*job, F.explode_outer(some).alias("_line")).where(
+        F.col("_line").isNull() | _is_metric(F.col("_line"))
     )
-    values = F.col("_metric.values")
+    return _columns(metrics.select(*job, _bare(F.col("_line")).alias("_bare")), job)
+
+
+def _columns(bare: DataFrame, job: list[str]) -> DataFrame:
+    values = F.rtrim(F.substr(F.col("_bare"), F.instr("_bare", F.lit("{")) + 1), F.lit("}"))
+    hist_at = F.instr("_values", F.lit(HIST_START))
     plain = (
-        F.when(~values.contains("hist:"), values)
-        .when(values.contains(HIST_START), F.substring_index(values, HIST_START, 1))
+        F.when(~F.col("_values").contains("hist:"), F.col("_values"))
+        .when(hist_at > 0, F.substring_index("_values", HIST_START, 1))
         .otherwise("")
     )
     hist = F.when(
-        values.contains(HIST_START),
-        F.substring_index(F.substr(values, F.instr(values, F.lit(HIST_START)) + len(HIST_START)), "}", 1),
+        hist_at > 0, F.substring_index(F.substr("_values", hist_at + len(HIST_START)), "}", 1)
     ).otherwise("")
-    return parsed.withColumns({"_plain": plain, "_hist": hist}).select(
-        *rest,
-        "job_id",
-        *TIME_KEYS,
-        F.col("_metric.operation").alias("operation"),
-        _number(F.col("_plain"), "samples").alias("samples"),
-        F.regexp_extract("_plain", r"^(?:.*,)?unit:([^,]*)", 1).alias("unit"),
-        *[_number(F.col("_plain"), key).alias(key) for key in NUMBER_KEYS[1:]],
-        _histogram(F.col("_hist")).alias("hist"),
+    items = F.col("_items")
+    return (
+        bare.select(*job, _name(F.col("_bare")).alias("operation"), values.alias("_values"))
+        .select(*job, "operation", F.concat(F.lit(","), plain).alias("_items"), hist.alias("_hist"))
+        .select(
+            *job,
+            "operation",
+            _whole(_item(items, "samples")).alias("samples"),
+            _item(items, "unit").alias("unit"),
+            *[_whole(_item(items, key)).alias(key) for key in NUMBER_KEYS[1:]],
+            _histogram(F.col("_hist")).alias("hist"),
+        )
     )
 
 
