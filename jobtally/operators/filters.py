@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtally.functions.arithmetic import any_of
@@ -51,22 +51,21 @@ def min_rate(table: DataFrame, above: int = 1) -> DataFrame:
     return table.where(F.coalesce(F.col(TOTAL), F.lit(0)) > above)
 
 
-def long_min_rate(job_ops: DataFrame, above: int = 1) -> DataFrame:
-    """``min_rate`` for long rows: a semi join with the jobs that qualify.
+def _job_window(job_ops: DataFrame) -> Window:
+    """The long rows of one job in one poll: one per operation."""
+    return Window.partitionBy(*poll_keys(job_ops), "job_id")
 
-    With a negative bound a job without an ``ops`` row counts as 0 and stays.
-    """
-    keys = [*poll_keys(job_ops), "job_id"]
-    is_total = F.col("operation") == TOTAL
-    if above >= 0:
-        return job_ops.join(job_ops.where(is_total & (F.col("value") > above)).select(*keys), keys, "left_semi")
-    return job_ops.join(job_ops.where(is_total & (F.col("value") <= above)).select(*keys), keys, "left_anti")
+
+def long_min_rate(job_ops: DataFrame, above: int = 1) -> DataFrame:
+    """``min_rate`` for long rows; a job without an ``ops`` row counts as 0."""
+    total = F.max(F.when(F.col("operation") == TOTAL, F.col("value"))).over(_job_window(job_ops))
+    return job_ops.withColumn("_ops", F.coalesce(total, F.lit(0))).where(F.col("_ops") > above).drop("_ops")
 
 
 def has_activity(job_ops: DataFrame) -> DataFrame:
     """Keep the long rows of jobs that have any value other than 0."""
-    keys = [*poll_keys(job_ops), "job_id"]
-    return job_ops.join(job_ops.where("value <> 0").select(*keys).distinct(), keys, "left_semi")
+    active = F.max((F.col("value") != 0)).over(_job_window(job_ops))
+    return job_ops.withColumn("_active", active).where("_active").drop("_active")
 
 
 def filter_ops(df: DataFrame, enabled: Iterable[str] | None = DEFAULT_OPERATIONS) -> DataFrame:

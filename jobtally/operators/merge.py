@@ -71,20 +71,15 @@ def merge_jobs(
 ) -> DataFrame:
     """Sum samples per poll, job and operation, in long form.
 
-    The total over all operations of a job comes out of the same shuffle as the
-    per-operation sums, by grouping sets with map-side combine.
+    The total over all operations of a job comes out of the same shuffle: each
+    row counts for its operation and for the total, and both are summed within
+    the task before anything is sent.
     """
     kept = rekey(samples.where(_is_merged(include_bytes)), layout, groupby)
+    if with_total:
+        kept = kept.withColumn("operation", F.explode(F.array("operation", F.lit(TOTAL))))
     job = [*poll_keys(samples), "job_id"]
-    value = F.sum("samples").cast("bigint").alias("value")
-    if not with_total:
-        return kept.groupBy(*job, "operation").agg(value)
-    label = F.when(F.grouping("operation") == 1, TOTAL).otherwise(F.col("operation"))
-    return (
-        kept.groupingSets([[*job, "operation"], job], *job, "operation")
-        .agg(value, label.alias("_label"))
-        .select(*job, F.col("_label").alias("operation"), "value")
-    )
+    return kept.groupBy(*job, "operation").agg(F.sum("samples").cast("bigint").alias("value"))
 
 
 def job_times(samples: DataFrame, layout: JobIdLayout | None = None, groupby: str = "none") -> DataFrame:

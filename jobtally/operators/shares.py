@@ -42,10 +42,12 @@ def percent(job_ops: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     Names outside the vocabulary have no total and pass through unscaled.
     """
     keys = [*poll_keys(job_ops), "operation"]
-    sums = (long_totals(job_ops) if totals is None else totals).select(*keys, F.col("value").alias("_total"))
-    share = F.expr(
-        "CASE WHEN _total IS NULL THEN value WHEN _total = 0 THEN 0L ELSE value * 100 div greatest(_total, 1L) END"
-    )
-    return salted_join(job_ops, sums, keys, "job_id").select(
-        *poll_keys(job_ops), "job_id", "operation", share.alias("value")
+    if totals is None:  # of every name, so that the rows and their sums share one shuffle
+        sums, how = job_ops.groupBy(*keys).agg(F.sum("value").cast("bigint").alias("_total")), "inner"
+    else:
+        sums, how = totals.select(*keys, F.col("value").alias("_total")), "left"
+    share = F.expr("CASE WHEN coalesce(_total, 0L) = 0 THEN 0L ELSE value * 100 div greatest(_total, 1L) END")
+    return salted_join(job_ops, sums, keys, "job_id", how).select(
+        *poll_keys(job_ops), "job_id", "operation",
+        F.when(is_known(F.col("operation")), share).otherwise(F.col("value")).alias("value"),
     )

@@ -10,15 +10,17 @@ CHUNK_SECONDS = 86400
 
 
 def salted_join(
-    rows: DataFrame, small: DataFrame, keys: list[str], spread: str, how: str = "left", salts: int = SALTS
+    rows: DataFrame, small: DataFrame, keys: list[str], spread: str, how: str = "inner", salts: int = SALTS
 ) -> DataFrame:
     """Join ``rows`` to a side with one row per key, each key cut into ``salts``.
 
     ``spread`` is a column of ``rows`` that varies within a key. The small side
     is repeated once per salt; it is broadcast only if the planner finds it under
-    its own threshold, and shuffled on (key, salt) otherwise.
+    its own threshold, and shuffled on (key, salt) otherwise. Where both sides
+    come from one aggregate, an inner join lets them read its shuffle once.
     """
-    salted = rows.withColumn("_salt", F.expr(f"cast(pmod(xxhash64({spread}), {salts}) AS INT)"))
+    salt = F.expr(f"coalesce(cast(pmod(xxhash64({spread}), {salts}) AS INT), 0)")
+    salted = rows.withColumn("_salt", salt)
     copies = small.withColumn("_salt", F.expr(f"explode(sequence(0, {salts - 1}))"))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
@@ -34,11 +36,14 @@ def beside(
     chunk that has points: one small row per series and chunk, taken from the
     same shuffle as the chunks themselves.
     """
+    # A chunk that cannot be null keeps the planner from filtering one branch only,
+    # so that both read the same shuffle.
+    chunk = F.expr(f"coalesce(timestamp div {chunk_seconds}, 0L)")
     step = F.lead if forward else F.lag
     ends, end_value = (F.min, F.min_by) if forward else (F.max, F.max_by)
     chunked = (
         points.select(*keys, "timestamp", "value")
-        .withColumn("_chunk", F.expr(f"timestamp div {chunk_seconds}"))
+        .withColumn("_chunk", chunk)
         .repartition(*keys, "_chunk")
     )
     edges = chunked.groupBy(*keys, "_chunk").agg(

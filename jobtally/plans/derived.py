@@ -48,11 +48,12 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("poll").alias("first_poll"),
         *[F.expr(f"sum(CASE WHEN poll = {day} THEN weight END) AS d{day}") for day in _DAYS],
     )
-    polls_seen = rows.select(F.collect_set("poll")).scalar()  # 31 numbers at most
+    polls_seen = F.broadcast(rows.select("poll").distinct())  # days of a month, 31 rows at most
     days = ", ".join(f"d{day}" for day in _DAYS)
     dense = (
         by_series.selectExpr(*series, "first_poll", f"posexplode(array({days})) AS (poll, grown)")
-        .where((F.col("poll") >= F.col("first_poll")) & F.array_contains(polls_seen, F.col("poll")))
+        .where("poll >= first_poll")
+        .join(polls_seen, "poll", "left_semi")
         .withColumn("era", F.expr("user_id % 10 = 0 AND poll >= 15"))
     )
     running = Window.partitionBy(*series, "era").orderBy("poll").rowsBetween(Window.unboundedPreceding, 0)

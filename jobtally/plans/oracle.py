@@ -206,6 +206,8 @@ def oracle_sql() -> dict[str, str]:
         "min_rate": _R + """SELECT poll, job_id, operation, value FROM r
             WHERE (poll, job_id) IN (SELECT (poll, job_id) FROM r WHERE operation = 'ops' AND value > 20)""",
         "long_min_rate": _OPS + "(poll, job_id) IN (SELECT (poll, job_id) FROM o WHERE operation = 'ops' AND value > 500)",
+        "active_jobs": _R + """SELECT poll, job_id, operation, value FROM r
+            WHERE (poll, job_id) IN (SELECT (poll, job_id) FROM r WHERE value <> 0)""",
         "filter_ops": _OPS + f"operation IN ({NINE})",
         "known_ops": _OPS + f"operation IN ({KNOWN})",
         "op_short_names": _M + f"""SELECT poll, job_id, short_name,

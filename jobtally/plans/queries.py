@@ -274,6 +274,11 @@ def long_min_rate(spark, sf):
     return _ops(filters.long_min_rate(_job_ops(spark, sf), 500))
 
 
+@query
+def active_jobs(spark, sf):
+    return _ops(filters.has_activity(merge.to_long(_rates(spark, sf))))
+
+
 @query
 def filter_ops(spark, sf):
     return _ops(filters.filter_ops(_job_ops(spark, sf)))
