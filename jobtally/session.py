@@ -41,11 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local master may fall back to a folder on this machine.
     """
-    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="jobtally-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
-        return folder
-    raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
+    if not context.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="jobtally-"))
+    return context.getCheckpointDir()

@@ -37,7 +37,7 @@ def load_peaks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_peaks_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A peak database in JSON: 28 operations at most, read as one document."""
-    db = spark.read.option("wholetext", True).text(path).select(F.from_json("value", JSON_PEAKS).alias("d"))
+    db = spark.read.text(path, wholetext=True).select(F.from_json("value", JSON_PEAKS).alias("d"))
     ops = db.select(F.explode("d.top_ops").alias("operation", "p")).select("operation", "p.rate", "p.timestamp")
     jobs = (
         db.select(F.explode("d.top_job_per_op").alias("operation", "p"))

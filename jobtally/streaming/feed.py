@@ -18,9 +18,11 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from jobtally.functions.layout import JobIdLayout
 from jobtally.operators import merge, peaks, rates, shares
+from jobtally.session import shared_dir
 from jobtally.sinks.peaks import write_peaks
 from jobtally.sinks.points import fan_out
 from jobtally.sources.dumps import parse_job_stats
+from jobtally.sources.raw_log import stream_raw_log
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -128,6 +130,28 @@ def writer(stream: DataFrame, batch: Sink, checkpoint: str, interval: int | None
     return out.trigger(availableNow=True) if interval is None else out.trigger(processingTime=f"{interval} seconds")
 
 
+def live_rates(
+    spark: SparkSession,
+    folder: str,
+    name: str,
+    sinks: Mapping[str, Sink],
+    mode: str = "rate",
+    delay: str = "30 seconds",
+    interval: int | None = 10,
+    layout: JobIdLayout | None = None,
+    groupby: str = "none",
+    include_bytes: bool = False,
+) -> StreamingQuery:
+    """Start the whole live view: logs in a folder to rates in every sink.
+
+    Checkpoint and reference polls are kept under ``name`` in the shared folder,
+    so a restarted driver goes on where the lost one stopped.
+    """
+    base = f"{shared_dir(spark)}/{name}"
+    merged = stream_merge(stream_raw_log(spark, folder), delay, layout, groupby, include_bytes)
+    return writer(merged, RateFeed(f"{base}/reference", sinks, mode), f"{base}/checkpoint", interval).start()
+
+
 def repeats_needed(repeats: int, mode: str) -> int:
     """Iterations to run: rates and differences need two polls at least."""
     return 2 if mode in ("rate", "diff") and repeats == 1 else repeats
