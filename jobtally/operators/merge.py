@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobtally.functions.arithmetic import any_of
 from jobtally.functions.layout import JobIdLayout
 from jobtally.functions.vocabulary import BYTE_OPERATIONS, LONG_NAMES, TOTAL
+from jobtally.operators.skew import salted_join
 
 POLL_COLUMNS = ("poll", "poll_ts", "poll_time")
 TIMES = ("snapshot_time", "start_time", "elapsed_time")
@@ -141,8 +141,6 @@ def poll_register(blocks: DataFrame) -> DataFrame:
     Numbering runs per day, so no task sorts more than one day of polls; the
     days before are added as an offset. Polls without any job count too.
     """
-    from pyspark.sql import Window
-
     day = F.call_function("div", F.col("poll_ts"), F.lit(86400).cast("bigint")).alias("_day")
     seen = blocks.select("poll_ts", day).distinct()
     per_day = seen.groupBy("_day").agg(F.count("*").alias("_n"))
@@ -157,9 +155,9 @@ def poll_register(blocks: DataFrame) -> DataFrame:
 
 
 def with_poll_numbers(df: DataFrame, register: DataFrame) -> DataFrame:
-    """Attach poll numbers to merged rows; the planner broadcasts the register
-    while it is small and shuffles on the poll time otherwise."""
-    return df.join(register, "poll_ts")
+    """Attach poll numbers to merged rows. A poll may hold most of the rows, so
+    its rows are spread over several join keys."""
+    return salted_join(df, register, ["poll_ts"], "job_id")
 
 
 def poll_summary(samples: DataFrame, polls: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,26 +41,33 @@ def write_raw_log(blocks: DataFrame, path: str, mode: str = "append", max_size:
     _text(lines, path, mode, records_per_file(lines, max_size))
 
 
+@contextmanager
+def _stored_in_millis(df: DataFrame) -> Iterator[None]:
+    """Write times as whole milliseconds, as other readers of the format expect."""
+    conf, key = df.sparkSession.conf, "spark.sql.parquet.outputTimestampType"
+    before = conf.get(key)
+    conf.set(key, "TIMESTAMP_MILLIS")
+    try:
+        yield
+    finally:
+        conf.set(key, before)
+
+
 def write_points_parquet(points: DataFrame, path: str, mode: str = "append", max_size: str | None = None) -> None:
     """Points as Parquet, one folder per day so that time filters skip files.
 
-    Rows are laid out by day and job: a task writes few folders, and no day is
-    bound to a single task.
+    Rebalancing joins small days and splits large ones by size at run time: few
+    files per day, and no day bound to a single task.
     """
-    at = F.timestamp_seconds("timestamp")
     rows = points.dropna(subset=["timestamp", "job_id", "operation", "value"]).select(
-        at.alias("timestamp"), "job_id", "operation", "value",
+        F.timestamp_seconds("timestamp").alias("timestamp"), "job_id", "operation", "value",
         F.date_from_unix_date(F.expr("CAST(timestamp div 86400 AS INT)")).alias("date"),
     )
-    writer = (
-        rows.repartitionByRange("date", "job_id")
-        .write.mode(mode)
-        .option("compression", "snappy")
-        .option("parquet.outputTimestampType", "TIMESTAMP_MILLIS")
-    )
+    writer = rows.hint("rebalance", "date").write.mode(mode).option("compression", "snappy")
     if max_size:
         writer = writer.option("maxRecordsPerFile", max(1, parse_size(max_size) // PARQUET_POINT_BYTES))
-    writer.partitionBy("date").parquet(path)
+    with _stored_in_millis(points):
+        writer.partitionBy("date").parquet(path)
 
 
 def _with_header(line: Column, header: str, every: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtally.functions.formats import parse_json_lines, parse_prometheus
@@ -27,10 +27,22 @@ FORMAT_ENDINGS = {
 _TIMES = ("timestamp", "timestamp_ntz")
 
 
-def read_points_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _at(seconds: int, kind: str) -> Column:
+    """Epoch seconds as a time of the stored kind; a zoneless time is UTC."""
+    if kind == "timestamp":
+        return F.timestamp_seconds(F.lit(seconds))
+    span = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds).cast("decimal(18,6)"))
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + span
+
+
+def read_points_parquet(
+    spark: SparkSession, path: str | list[str], start: int | None = None, end: int | None = None
+) -> DataFrame:
     """Exported Parquet; rows with a null are skipped, wrong columns an error.
 
     The stored time may be with or without a zone; both count from the epoch.
+    ``start`` and ``end`` (both included) skip whole days and row groups, which a
+    filter on the seconds this returns could not.
     """
     df = spark.read.parquet(*([path] if isinstance(path, str) else path))
     types = dict(df.dtypes)
@@ -38,13 +50,20 @@ def read_points_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame
     for name, allowed in wanted.items():
         if types.get(name) not in allowed:
             raise ValueError(f"column {name!r} must be {' or '.join(allowed)}, found {types.get(name)}")
-    rows = df.select(*wanted).dropna()
-    if types["timestamp"] == "timestamp":
+    kind = types["timestamp"]
+    day = lambda seconds: F.date_from_unix_date(F.lit(seconds // 86400))
+    by_day = types.get("date") == "date"
+    if start is not None:
+        df = df.where(F.col("timestamp") >= _at(start, kind))
+        df = df.where(F.col("date") >= day(start)) if by_day else df
+    if end is not None:
+        df = df.where(F.col("timestamp") < _at(end + 1, kind))
+        df = df.where(F.col("date") <= day(end)) if by_day else df
+    if kind == "timestamp":
         when = F.unix_seconds("timestamp")
-    else:  # a zoneless time is read as UTC, whatever the session time zone
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        when = F.timestamp_diff("SECOND", epoch, F.col("timestamp"))
-    return rows.select(when.alias("timestamp"), "job_id", "operation", "value")
+    else:
+        when = F.timestamp_diff("SECOND", _at(0, kind), F.col("timestamp"))
+    return df.select(*wanted).dropna().select(when.alias("timestamp"), "job_id", "operation", "value")
 
 
 def read_prometheus(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -78,10 +97,19 @@ def detect_format(path: str) -> str:
     raise ValueError(f"cannot tell the format of {path!r}; name it, or use one of {', '.join(FORMAT_ENDINGS)}")
 
 
-def load_points(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Points of a file, folder or glob of any format.
+def load_points(
+    spark: SparkSession, path: str, fmt: str | None = None, start: int | None = None, end: int | None = None
+) -> DataFrame:
+    """Points of a file, folder or glob of any format, within optional bounds.
 
     Exports of the pseudo metric ``job_id``, a marker some writers add, are
     dropped: the existence of a job is no counter.
     """
-    return READERS[fmt or detect_format(path)](spark, path).where(F.col("operation") != "job_id")
+    fmt = fmt or detect_format(path)
+    if fmt == "parquet":
+        points = read_points_parquet(spark, path, start, end)
+    else:
+        points = READERS[fmt](spark, path)
+        points = points if start is None else points.where(F.col("timestamp") >= start)
+        points = points if end is None else points.where(F.col("timestamp") <= end)
+    return points.where(F.col("operation") != "job_id")

@@ -55,17 +55,23 @@ class RateFeed:
         self.mode = mode
         self.failed: dict[str, Exception] = {}
 
-    def _version(self, batch_id: int) -> str:
-        return f"{self.state}/batch={batch_id}"
+    def _slot(self, batch_id: int) -> str:
+        """Where a batch keeps its reference: three folders are used in turn, so
+        a batch never writes over what it or its re-run reads."""
+        return f"{self.state}/slot={batch_id % 3}"
+
+    def _store(self, rows: DataFrame, batch_id: int) -> None:
+        rows.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(self._slot(batch_id))
 
     def reference(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
         """Rows of the last poll before a batch, None if there was none."""
         try:
-            return spark.read.parquet(self._version(batch_id - 1))
+            kept = spark.read.parquet(self._slot(batch_id - 1))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
+        return kept.where(F.col("_batch") == batch_id - 1).drop("_batch", "slot")
 
     def has_reference(self, spark: SparkSession, batch_id: int) -> bool:
         before = self.reference(spark, batch_id)
@@ -82,7 +88,7 @@ class RateFeed:
                 changed, {name: (lambda df, sink=sink: sink(df, batch_id)) for name, sink in self.sinks.items()}
             )
             last = rows.select(F.max("poll_ts")).scalar()
-            rows.where(F.col("poll_ts") == last).write.mode("overwrite").parquet(self._version(batch_id))
+            self._store(rows.where(F.col("poll_ts") == last), batch_id)
         finally:
             rows.unpersist()
 
@@ -90,8 +96,7 @@ class RateFeed:
         """Forget the reference, so that ``batch_id`` starts over."""
         before = self.reference(spark, batch_id)
         if before is not None:
-            nothing = spark.createDataFrame([], before.schema)
-            nothing.write.mode("overwrite").parquet(self._version(batch_id - 1))
+            self._store(spark.createDataFrame([], before.schema), batch_id - 1)
 
 
 def batch_table(path: str) -> Sink:

@@ -115,6 +115,23 @@ def test_parquet_with_or_without_a_zone(spark, rows, tmp_path):
         read_points_parquet(spark, str(tmp_path / "none.parquet"))
 
 
+def test_times_are_stored_in_millis_and_bounds_reach_the_files(spark, rows, points, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = tmp_path / "out.parquet"
+    sinks.write_points_parquet(points, str(path))
+    file = next(path.glob("date=2024-01-02/*.parquet"))
+    assert str(pq.ParquetFile(file).schema_arrow.field("timestamp").type) == "timestamp[ms, tz=UTC]"
+    low, high = T0 + 86400 + 50, T0 + 86400 + 200
+    found = load_points(spark, str(path), start=low, end=high)
+    assert rows(found, *COLUMNS) == rows(points.where(f"timestamp BETWEEN {low} AND {high}"), *COLUMNS)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "GreaterThanOrEqual(timestamp,2024-01-02" in plan
+    text = str(tmp_path / "out.prom")
+    sinks.write_prometheus(points, text)
+    assert rows(load_points(spark, text, start=low, end=high), *COLUMNS) == rows(found, *COLUMNS)
+
+
 def test_formats_by_name():
     names = {
         "a.parquet": "parquet", "d/b.raw.log": "raw", "b.raw": "raw", "x-raw.txt": "raw", "c.prom": "prometheus",

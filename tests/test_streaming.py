@@ -1,5 +1,7 @@
 """Streams over framed logs give what the batch operators give."""
 
+import uuid
+
 import pytest
 from conftest import framed
 from pyspark.sql import functions as F
@@ -161,7 +163,7 @@ def test_shared_folder_is_the_one_the_cluster_names(spark, tmp_path):
 def test_live_view(spark, rows, logs, tmp_path):
     out = str(tmp_path / "rates")
     query = feed.live_rates(
-        spark, str(logs), f"live-{tmp_path.name}", {"t": feed.batch_table(out)}, "diff", "1 second", None,
+        spark, str(logs), f"live-{uuid.uuid4().hex}", {"t": feed.batch_table(out)}, "diff", "1 second", None,
         JobIdLayout.parse("%j.%u"), "job",
     )
     query.awaitTermination(120)
