@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtally.functions.arithmetic import change_per
@@ -28,20 +28,23 @@ def job_rates(table: DataFrame, mode: str = "rate", polls_per_chunk: int = POLLS
     if mode not in ("rate", "diff"):
         raise ValueError(f"mode must be 'rate' or 'diff', not {mode!r}")
     names = operation_columns(table)
-    by_job = Window.partitionBy("job_id", "_chunk").orderBy("poll")
+    facts = ["poll", "poll_ts", "snapshot_time", *names]
     seconds = "sampling_window" if mode == "rate" else None
+    # One lag per column: all share a window, and columns a query leaves out are
+    # not carried through the shuffle.
+    before = [f"lag({name}) OVER (PARTITION BY job_id, _chunk ORDER BY poll) AS _b_{name}" for name in facts]
     return (
         table.withColumn("_chunk", F.explode(_chunks("poll", polls_per_chunk)))
-        .withColumn("_b", F.lag(F.struct("poll", "poll_ts", "snapshot_time", *names)).over(by_job))
-        .withColumn("sampling_window", F.expr("snapshot_time - _b.snapshot_time"))
-        .where("_b.poll = poll - 1 AND sampling_window > 0")
+        .selectExpr("job_id", *facts, *before)
+        .withColumn("sampling_window", F.expr("snapshot_time - _b_snapshot_time"))
+        .where("_b_poll = poll - 1 AND sampling_window > 0")
         .selectExpr(
             "poll",
             "poll_ts",
             "job_id",
             "sampling_window",
-            "poll_ts - _b.poll_ts AS query_duration",
-            *[f"{change_per(f'_b.{name}', name, seconds)} AS {name}" for name in names],
+            "poll_ts - _b_poll_ts AS query_duration",
+            *[f"{change_per(f'_b_{name}', name, seconds)} AS {name}" for name in names],
         )
     )
 
