@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__ as entry_points  # noqa: E402
 
 TABLES = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, SQL = entry_points.plans.registered(), entry_points.oracle.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables here")
 
