@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobtally.llm import quality, repeats, simhash
+from jobtally.llm import packing, quality, repeats, simhash
 from jobtally.llm.tables import documents, importable
 
 
@@ -20,6 +21,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary or public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = quality.judge(documents(spark, sf_dir))
     return verdict.select("doc_id", *quality.COUNTS, "base_failed", "kept", "removed_words")
@@ -29,6 +34,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "op4_substring_dedup": op4_substring_dedup,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
+        "op9_packing": op9_packing,
         "op10_quality_rules": op10_quality_rules,
     }
 
