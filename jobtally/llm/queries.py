@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobtally.llm import packing, quality, repeats, simhash
+from jobtally.llm import packing, private, quality, repeats, simhash
 from jobtally.llm.tables import documents, importable
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.find_private(documents(spark, sf_dir))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(documents(spark, sf_dir))
     return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
@@ -32,6 +36,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
+        "op2_pii": op2_pii,
         "op4_substring_dedup": op4_substring_dedup,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op9_packing": op9_packing,
