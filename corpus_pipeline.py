@@ -1,28 +1,68 @@
-"""From raw documents to packed training sequences, in stages that each pass Parquet to the next."""
+"""From raw documents to packed training sequences, in stages that each pass Parquet to the next.
+
+Every stage takes all rows its predecessor kept; all but the last return the columns of ``documents``. A stage that
+changes texts sets ``n_chars`` anew.
+"""
 
 from __future__ import annotations
 
 import sys
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from jobtally.llm import quality  # noqa: E402
+from jobtally.llm import packing, private, quality, repeats, simhash  # noqa: E402
 from jobtally.llm.tables import documents, importable, materialise  # noqa: E402
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that break the rules, and take lines that too many documents share out of the others."""
     importable(spark)
-    return quality.clean(docs)
+    return _counted(quality.clean(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of smallest id, of each group of near-duplicates."""
+    importable(spark)
+    return simhash.keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that stand in a document of smaller id."""
+    importable(spark)
+    return _counted(repeats.clean(docs))
+
+
+def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data masked."""
+    importable(spark)
+    return _counted(private.mask(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, placed in sequences."""
+    importable(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", quality_rules)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("mask_private", mask_private),
+    ("pack", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is a table in the shared folder before the next stage reads it."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
