@@ -96,13 +96,26 @@ def _probe(batches: Iterator[pa.RecordBatch], block: int, n: int) -> Iterator[pa
             )
 
 
+def _passed(bucket: int, rows: pd.DataFrame) -> pd.DataFrame:
+    """Directories (-1) and settled places (-2) as they came."""
+    if bucket == -1:
+        return pd.DataFrame({"slice": rows["slice"], "doc_ids": rows["places"], "firsts": rows["hashes"], "places": None})
+    return pd.DataFrame({"slice": rows["slice"], "doc_ids": None, "firsts": None, "places": rows["places"]})
+
+
+def _by_slice(numbers: np.ndarray, source: np.ndarray, places: np.ndarray) -> pd.DataFrame:
+    """One row per slice with the places that came from it."""
+    order = np.argsort(source, kind="stable")
+    source, places = source[order], places[order].astype(np.int64)
+    edge = _runs(source)
+    cut = [places[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
+    return pd.DataFrame({"slice": numbers[source[edge[:-1]]].astype(np.int64), "doc_ids": None, "firsts": None, "places": cut})
+
+
 def _answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Places of a bucket's probes that hit a block in another slice, by slice."""
-    empty = pd.DataFrame({"slice": pd.Series(dtype="int64"), "doc_ids": [], "firsts": [], "places": []})
-    if key[0] == -1:
-        return pd.DataFrame({"slice": rows["slice"], "doc_ids": rows["places"], "firsts": rows["hashes"], "places": None})
-    if key[0] == -2:
-        return pd.DataFrame({"slice": rows["slice"], "doc_ids": None, "firsts": None, "places": rows["places"]})
+    if key[0] < 0:
+        return _passed(key[0], rows)
     places = [np.cumsum(np.frombuffer(b, np.int32), dtype=np.int32) for b in rows["places"]]
     source = np.repeat(np.arange(len(places)), [len(p) for p in places])
     places = np.concatenate(places)
@@ -119,15 +132,7 @@ def _answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     # with the same words twice is one slice; documents that were cut apart are others.
     hit = (source[first] != source[np.maximum(runs[1:], 1) - 1]) & np.logical_or.reduceat(plain % 2 == 1, first)
     mine = np.repeat(hit, size) & ~settled
-    if not mine.any():
-        return empty
-    found, of = plain[mine] // 2, source[mine]
-    numbers = rows["slice"].to_numpy()
-    order = np.argsort(of, kind="stable")
-    found, of = found[order], of[order]
-    edge = _runs(of)
-    cut = [slice(a, b) for a, b in zip(edge[:-1], edge[1:])]
-    return pd.DataFrame({"slice": numbers[of[edge[:-1]]], "doc_ids": None, "firsts": None, "places": [found[c].astype(np.int64).tobytes() for c in cut]})
+    return _by_slice(rows["slice"].to_numpy(), source[mine], plain[mine] // 2)
 
 
 def _by_document(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -139,17 +144,22 @@ def _by_document(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     edge = _runs(owner)
     own = owner[edge[:-1]]
     local = places - firsts[owner]
-    return pd.DataFrame({"doc_id": ids[own], "anchors": [local[a:b].astype(np.int32).tobytes() for a, b in zip(edge[:-1], edge[1:])]})
+    return pd.DataFrame({"doc_id": ids[own], "places": [local[a:b].astype(np.int32).tobytes() for a, b in zip(edge[:-1], edge[1:])]})
+
+
+def _resolve(packed: DataFrame, decide) -> DataFrame:
+    """(doc_id, places): what ``decide`` finds in each bucket, brought back to the documents."""
+    # Directories and settled places pass through, dealt by slice.
+    dealt = packed.withColumn("deal", F.when(F.col("bucket") < 0, F.col("slice")).otherwise(F.lit(0).cast("long")))
+    hits = dealt.groupBy("bucket", "deal").applyInPandas(decide, HITS)
+    return hits.groupBy("slice").applyInPandas(_by_document, "doc_id long, places binary")
 
 
 def anchors(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, anchors): words where ``block`` words start that recur around a reference block elsewhere."""
     n = buckets(docs.sparkSession)
     packed = docs.mapInArrow(lambda batches: _probe(batches, block, n), PACKED)
-    # The directories and settled hits pass through, dealt by slice.
-    packed = packed.withColumn("deal", F.when(F.col("bucket") < 0, F.col("slice")).otherwise(F.lit(0).cast("long")))
-    hits = packed.groupBy("bucket", "deal").applyInPandas(_answer, HITS)
-    return hits.groupBy("slice").applyInPandas(_by_document, "doc_id long, anchors binary")
+    return _resolve(packed, _answer).withColumnRenamed("places", "anchors")
 
 
 def _merged(blobs) -> np.ndarray:
@@ -157,9 +167,11 @@ def _merged(blobs) -> np.ndarray:
 
 
 def _extend(batches: Iterator[pa.RecordBatch], window: int, block: int, n: int) -> Iterator[pa.RecordBatch]:
-    """Windows around anchors: those settled in the slice (bucket -1), others by bucket for the smallest id."""
+    """Windows around anchors, packed like probes: settled ones (bucket -2), others by bucket for the smallest id."""
+    part = 0
     for batch in batches:
         for rows in W.slices(batch, batch.schema.get_field_index("text"), SLICE):
+            number, part = _number(part), part + 1
             ids = rows.column("doc_id").to_numpy()
             w = W.words(rows.column("text"))
             near = np.zeros(len(w.hashes) + 1, np.int64)
@@ -172,50 +184,45 @@ def _extend(batches: Iterator[pa.RecordBatch], window: int, block: int, n: int)
             two = W.windows(w, window, 2)[1]
             use = np.cumsum(near)[at] > 0
             at, one, two = at[use], one[use], two[use]
-            owner = np.searchsorted(w.first, at, side="right") - 1
-            seen = ids[owner]
+            seen = ids[np.searchsorted(w.first, at, side="right") - 1]
             order = np.lexsort((at, seen, two, one))
-            at, one, two, owner, seen = at[order], one[order], two[order], owner[order], seen[order]
-            new = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])) if len(one) else np.zeros(0, np.int64)
-            least = np.repeat(seen[new], np.diff(np.append(new, len(one))))
-            gone = seen > least
-            local = (at - w.first[owner]).astype(np.int32)
-            yield _rows(np.full(int(gone.sum()), -1, np.int32), one[gone], two[gone], seen[gone], local[gone], n, settled=True)
-            yield _rows(_bucket(one[~gone], n), one[~gone], two[~gone], seen[~gone], local[~gone], n)
-
-
-def _rows(where, one, two, seen, local, n: int, settled: bool = False) -> pa.RecordBatch:
-    names = ["bucket", "one", "two", "ids", "places"]
-    if settled:
-        order = np.lexsort((local, seen))
-        edge = _runs(seen[order])
-        keys = np.full(len(edge) - 1, -1, np.int32)
-    else:
-        order = np.argsort(where, kind="stable")
-        edge = _runs(where[order])
-        keys = where[order][edge[:-1]]
-    one, two, seen, local = one[order], two[order], seen[order], local[order]
-    cut = [slice(a, b) for a, b in zip(edge[:-1], edge[1:])]
-    blob = lambda x: pa.array([x[c].tobytes() for c in cut], pa.binary())
-    hidden = pa.array([b""] * len(cut), pa.binary())
-    ids = pa.array([seen[c][:1].tobytes() for c in cut], pa.binary()) if settled else blob(seen)
-    return pa.RecordBatch.from_arrays([pa.array(keys), hidden if settled else blob(one), hidden if settled else blob(two), ids, blob(local)], names)
-
-
-def _least(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Window starts of a bucket whose words also start in a document of smaller id, by document."""
-    if key[0] == -1:
-        return pd.DataFrame({"doc_id": [int(np.frombuffer(b, np.int64)[0]) for b in rows["ids"]], "places": rows["places"]})
-    one, two, seen, local = (np.frombuffer(b"".join(rows[c]), t) for c, t in (("one", np.uint64), ("two", np.uint64), ("ids", np.int64), ("places", np.int32)))
+            at, one, two, seen = at[order], one[order], two[order], seen[order]
+            gone = seen > _least_id(one, two, seen)
+            settled = np.sort(at[gone])
+            at, one, two, seen = at[~gone], one[~gone], two[~gone], seen[~gone]
+            where = _bucket(one, n)
+            edge = np.searchsorted(where, np.arange(n + 1))  # buckets follow the order of ``one``
+            full = np.flatnonzero(np.diff(edge))
+            cut = [slice(edge[i], edge[i + 1]) for i in full]
+            keys = np.stack([one, two, seen.view(np.uint64)], axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([full, [-1, -2]]).astype(np.int32)),
+                    pa.array(np.full(len(full) + 2, number, np.int64)),
+                    pa.array([*[at[c].astype(np.int32).tobytes() for c in cut], ids.astype(np.int64).tobytes(), settled.astype(np.int64).tobytes()], pa.binary()),
+                    pa.array([*[keys[c].tobytes() for c in cut], w.first.astype(np.int64).tobytes(), b""], pa.binary()),
+                ],
+                ["bucket", "slice", "places", "hashes"],
+            )
+
+
+def _least_id(one: np.ndarray, two: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """For windows in order of both hashes and id: the smallest id that has the same window."""
+    new = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])) if len(one) else np.zeros(0, np.int64)
+    return np.repeat(seen[new], np.diff(np.append(new, len(one))))
+
+
+def _decide(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Places of a bucket's windows whose words also start in a document of smaller id, by slice."""
+    if key[0] < 0:
+        return _passed(key[0], rows)
+    keys = np.frombuffer(b"".join(rows["hashes"]), np.uint64).reshape(-1, 3)
+    one, two, seen = keys[:, 0], keys[:, 1], keys[:, 2].view(np.int64)
+    places = np.frombuffer(b"".join(rows["places"]), np.int32)
+    source = np.repeat(np.arange(len(rows)), [len(b) // 4 for b in rows["places"]])
     order = np.lexsort((seen, two, one))
-    one, two, seen, local = one[order], two[order], seen[order], local[order]
-    new = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
-    gone = seen > np.repeat(seen[new], np.diff(np.append(new, len(one))))
-    seen, local = seen[gone], local[gone]
-    order = np.argsort(seen, kind="stable")
-    seen, local = seen[order], local[order]
-    edge = _runs(seen)
-    return pd.DataFrame({"doc_id": seen[edge[:-1]], "places": [local[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]})
+    gone = order[seen[order] > _least_id(one[order], two[order], seen[order])]
+    return _by_slice(rows["slice"].to_numpy(), source[gone], places[gone])
 
 
 def covered(docs: DataFrame, found: DataFrame, window: int, block: int) -> DataFrame:
@@ -223,9 +230,8 @@ def covered(docs: DataFrame, found: DataFrame, window: int, block: int) -> DataF
     n = buckets(docs.sparkSession)
     gathered = found.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
     around = docs.join(gathered, "doc_id").select("doc_id", "text", "anchors")
-    packed = around.mapInArrow(lambda batches: _extend(batches, window, block, n), "bucket int, one binary, two binary, ids binary, places binary")
-    packed = packed.withColumn("deal", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("ids", "places"), F.lit(n))).otherwise(F.lit(0).cast("long")))
-    return packed.groupBy("bucket", "deal").applyInPandas(_least, "doc_id long, places binary").groupBy("doc_id").agg(F.collect_list("places").alias("starts"))
+    packed = around.mapInArrow(lambda batches: _extend(batches, window, block, n), PACKED)
+    return _resolve(packed, _decide).groupBy("doc_id").agg(F.collect_list("places").alias("starts"))
 
 
 def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
