@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobtally.llm import packing, private, quality, repeats, simhash
+from jobtally.llm import bytebpe, packing, private, quality, repeats, simhash
 from jobtally.llm.tables import documents, importable
 
 
@@ -15,6 +15,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.find_private(documents(spark, sf_dir))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    path = vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = bytebpe.tokens(documents(spark, sf_dir), path, public_tokenizers.PATTERN, full=False)
+    return found.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(documents(spark, sf_dir))
     return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
@@ -37,6 +43,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "op2_pii": op2_pii,
+        "op3_byte_bpe": op3_byte_bpe,
         "op4_substring_dedup": op4_substring_dedup,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op9_packing": op9_packing,
