@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobtally.llm import bytebpe, packing, private, quality, repeats, simhash
+from jobtally.llm import bytebpe, classlm, packing, private, quality, repeats, simhash
 from jobtally.llm.tables import documents, importable
 
 
@@ -31,6 +31,11 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classlm.score(documents(spark, sf_dir))
+    return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary or public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,6 +51,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": op3_byte_bpe,
         "op4_substring_dedup": op4_substring_dedup,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
+        "op8_class_lm": op8_class_lm,
         "op9_packing": op9_packing,
         "op10_quality_rules": op10_quality_rules,
     }
