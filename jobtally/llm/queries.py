@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobtally.llm import bytebpe, classlm, packing, private, quality, repeats, simhash
+from jobtally.llm import bytebpe, classlm, hostpages, packing, private, quality, repeats, simhash, toxicity
 from jobtally.llm.tables import documents, importable
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.find_private(documents(spark, sf_dir))
 
@@ -31,6 +35,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostpages.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classlm.score(documents(spark, sf_dir))
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
@@ -47,10 +55,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
+        "op1_toxicity": op1_toxicity,
         "op2_pii": op2_pii,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_substring_dedup": op4_substring_dedup,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
+        "op7_html_extraction": op7_html_extraction,
         "op8_class_lm": op8_class_lm,
         "op9_packing": op9_packing,
         "op10_quality_rules": op10_quality_rules,
