@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobtally.llm import bytebpe, classlm, hostpages, packing, private, quality, repeats, simhash, toxicity
+from jobtally.llm import bm25, bytebpe, classlm, hostpages, packing, private, quality, repeats, simhash, toxicity
 from jobtally.llm.tables import documents, importable
 
 
@@ -30,6 +30,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return bm25.top_k(docs, docs.where("doc_id % 100 = 0"), k=10)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -59,6 +64,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": op2_pii,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_bm25_search": op5_bm25_search,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_html_extraction": op7_html_extraction,
         "op8_class_lm": op8_class_lm,
