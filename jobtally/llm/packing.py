@@ -7,8 +7,9 @@ return to the pieces by rank: pieces are numbered within their length, and a slo
 the data, says which numbers of a length go to which sequence and offset.
 
 A piece's number comes from counts by length and salt, so a length that most documents share is numbered in parallel.
-Words are encoded once per slice and kept over slices; the tokenizer drops white space and splits at it, so the ids of
-a text are those of its words.
+Words are lower-cased (A-Z, as the tokenizer does), cut where letters and punctuation meet, encoded once and kept over
+slices; the tokenizer drops white space and splits there, too, so the ids of a text are those of its words. Words of
+a-z alone go to the tokenizer's model, others through all of its steps. Strings of special tokens are ordinary text.
 
 Odd input: a null text is empty and has the end id alone; null and repeated ids are packed row by row.
 """
@@ -20,6 +21,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,10 @@ SLICE = 8_000_000
 REMEMBERED = 400_000
 _GAP = np.zeros(256, bool)
 _GAP[[32, 10]] = True
+# Where these meet, the tokenizer's pattern always splits; an apostrophe is neither, as it may start a suffix.
+_KIND = np.zeros(256, np.int8)
+_KIND[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = 1
+_KIND[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = 2
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -49,6 +55,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(self.path)
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         # A mark of one id between words, to encode many of them in a call.
         marks = ((m, self.tokenizer.encode(m, add_special_tokens=False).ids) for m in map(chr, range(0x3041, 0x3097)))
         self.mark, ids = next((m, i) for m, i in marks if len(i) == 1)
@@ -74,11 +82,16 @@ class Encoder:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = list(range(len(keys)))
-        raw = data.tobytes()
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for i, ids in zip(part, self.many([raw[starts[i] : ends[i]].decode() for i in part])):
-                self.known[keys[i]] = ids
+        raw, others = data.tobytes(), []
+        for i in new:
+            word = raw[starts[i] : ends[i]].lower()
+            if word.isalpha():  # bytes: a-z only
+                self.known[keys[i]] = pack(f"<{len(ids := [t.id for t in self.model.tokenize(word.decode())])}I", *ids)
+            else:
+                others.append((keys[i], word.decode()))
+        for at in range(0, len(others), 5000):
+            part = others[at : at + 5000]
+            self.known.update(zip([k for k, _ in part], self.many([w for _, w in part])))
         return [self.known[k] for k in keys]
 
 
@@ -91,7 +104,10 @@ def token_ids(texts: pa.Array, path: str, end: int = END) -> tuple[np.ndarray, n
     """Ids of all texts in order, each text's followed by ``end``, and where each text's ids start."""
     data, offsets = W.raw(texts)
     starts, ends = W.spans(data, offsets, _GAP)
-    hashes, which, inverse = np.unique(W.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    kind = _KIND[data]
+    meet = np.flatnonzero(kind[:-1] * kind[1:] == 2) + 1
+    starts, ends = np.union1d(starts, meet), np.union1d(ends, meet)
+    hashes, which, inverse = np.unique(W.span_hashes(data, starts, ends, lower=True), return_index=True, return_inverse=True)
     coded = encoder(path).words(data, starts[which], ends[which], hashes)
     coded.append(np.array([end], np.uint32).tobytes())
     size = np.array([len(c) // 4 for c in coded], np.int64)
@@ -198,7 +214,7 @@ def numbered(pieces: DataFrame) -> DataFrame:
     return ranked.join(firsts, ["length", "salt"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("within")).alias("rank"))
 
 
-def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, id_col="doc_id", text_col="text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, size: int = SIZE, end: int = END, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per piece with its sequence and its offset there."""
     pieces = materialise(cut(docs, path, size, end, id_col, text_col), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``size`` rows

@@ -50,7 +50,7 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), vocabulary or public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(documents(spark, sf_dir), vocabulary or public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
