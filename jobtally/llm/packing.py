@@ -100,13 +100,19 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Both sorted and once each."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+
+
 def token_ids(texts: pa.Array, path: str, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in order, each text's followed by ``end``, and where each text's ids start."""
     data, offsets = W.raw(texts)
     starts, ends = W.spans(data, offsets, _GAP)
     kind = _KIND[data]
     meet = np.flatnonzero(kind[:-1] * kind[1:] == 2) + 1
-    starts, ends = np.union1d(starts, meet), np.union1d(ends, meet)
+    starts, ends = _joined(starts, meet), _joined(ends, meet)
     hashes, which, inverse = np.unique(W.span_hashes(data, starts, ends, lower=True), return_index=True, return_inverse=True)
     coded = encoder(path).words(data, starts[which], ends[which], hashes)
     coded.append(np.array([end], np.uint32).tobytes())
