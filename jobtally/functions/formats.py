@@ -33,11 +33,9 @@ def escape_label(text: Column) -> Column:
 
 
 def unescape_label(text: Column) -> Column:
-    """The inverse of ``escape_label``; escaped backslashes wait as NUL."""
-    out = F.replace(text, F.lit("\\\\"), F.lit("\0"))
-    out = F.replace(out, F.lit('\\"'), F.lit('"'))
-    out = F.replace(out, F.lit("\\n"), F.lit("\n"))
-    return F.replace(out, F.lit("\0"), F.lit("\\"))
+    """The inverse of ``escape_label``: what stands between escaped backslashes is undone piece by piece."""
+    undo = lambda piece: F.replace(F.replace(piece, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"'))
+    return F.array_join(F.transform(F.split(text, r"\\\\", -1), undo), "\\")
 
 
 def prometheus_line() -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -32,10 +31,17 @@ class JobIdLayout:
 
     @classmethod
     def parse(cls, template: str) -> JobIdLayout:
-        found = {code: template.find(code) for code in COMPONENT_CODES}
-        codes = sorted((code for code, at in found.items() if at >= 0), key=found.__getitem__)
-        leftover = re.sub("|".join(COMPONENT_CODES), "", template)
-        return cls(tuple(COMPONENT_CODES[code] for code in codes), leftover[:1] or DEFAULT_SEPARATOR)
+        """Read a template from left to right; the first character of no code separates."""
+        names: dict[str, None] = {}
+        separator, rest = "", template
+        while rest:
+            name = COMPONENT_CODES.get(rest[:2])
+            if name:
+                names.setdefault(name)
+            else:
+                separator = separator or rest[0]
+            rest = rest[2 if name else 1 :]
+        return cls(tuple(names), separator or DEFAULT_SEPARATOR)
 
     def position(self, component: str) -> int:
         if component not in self.components:

@@ -1,17 +1,19 @@
-"""Numbers behind the bar and line charts of the current top jobs."""
+"""Numbers behind the bar and line charts of the top jobs, of every poll or of one state."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtally.functions.vocabulary import DEFAULT_OPERATIONS
 from jobtally.operators.filters import filter_ops, since
+from jobtally.operators.merge import poll_keys
+from jobtally.operators.series import latest_rate, series_rate
 
 
-def _columns(operations: list[str]) -> list:
+def _columns(operations: list[str]) -> list[Column]:
     return [
         F.expr(f"CAST(coalesce(sum(CASE WHEN operation = '{name}' THEN value END), 0) AS BIGINT) AS {name}")
         for name in operations
@@ -19,25 +21,47 @@ def _columns(operations: list[str]) -> list:
 
 
 def visible_op_totals(visible: DataFrame, enabled: Iterable[str] = DEFAULT_OPERATIONS) -> DataFrame:
-    """Sum of each enabled operation over the visible jobs, 0 where absent."""
-    enabled = list(enabled)
-    return filter_ops(visible, enabled).agg(*_columns(enabled)).unpivot([], enabled, "operation", "value")
+    """Sum of each enabled operation over the visible jobs of a poll, 0 where absent."""
+    enabled, keys = list(enabled), poll_keys(visible)
+    sums = visible.groupBy(*keys).agg(*_columns(enabled)) if keys else visible.agg(*_columns(enabled))
+    return sums.unpivot(keys, enabled, "operation", "value")
+
+
+def _cells(values: DataFrame, top: DataFrame, enabled: list[str], keys: list[str]) -> DataFrame:
+    """Every enabled operation of every top job, also of jobs without a row in ``values``."""
+    wide = filter_ops(values, enabled).groupBy(*keys).agg(*_columns(enabled))
+    cells = top.select(*keys).join(wide, keys, "left").na.fill(0, enabled)
+    return cells.unpivot(keys, enabled, "operation", "value")
 
 
 def top_job_bars(job_ops: DataFrame, top: DataFrame, enabled: Iterable[str] = DEFAULT_OPERATIONS) -> DataFrame:
-    """The value of every enabled operation of every top job, 0 where absent.
+    """The value of every enabled operation of every top job, 0 where absent."""
+    keys = [*(k for k in poll_keys(job_ops) if k in top.columns), "job_id"]
+    return _cells(job_ops, top, list(enabled), keys)
 
-    ``top`` is a limited list (at most ``MAX_TOP`` ids), hence the broadcast.
-    """
+
+def top_job_rates(
+    points: DataFrame, top: DataFrame, now: int, window: int = 60, enabled: Iterable[str] = DEFAULT_OPERATIONS
+) -> DataFrame:
+    """The last rate, within a trailing window, of every enabled operation of every top job, 0 where unseen."""
     enabled = list(enabled)
-    ids = F.broadcast(top.select("job_id"))
-    cells = filter_ops(job_ops, enabled).join(ids, "job_id", "left_semi").groupBy("job_id").agg(*_columns(enabled))
-    return cells.unpivot(["job_id"], enabled, "operation", "value")
+    mine = filter_ops(points, enabled).join(top.select("job_id"), "job_id", "left_semi")
+    return _cells(latest_rate(mine, now, window), top, enabled, ["job_id"])
+
+
+def _of_top(points: DataFrame, top: DataFrame, start: int, enabled: Iterable[str]) -> DataFrame:
+    return filter_ops(since(points, start), list(enabled)).join(top.select("job_id"), "job_id", "left_semi")
 
 
 def top_job_series(
     points: DataFrame, top: DataFrame, start: int, enabled: Iterable[str] = DEFAULT_OPERATIONS
 ) -> DataFrame:
     """The points of the enabled operations of the top jobs from a time on."""
-    ids = F.broadcast(top.select("job_id"))
-    return filter_ops(since(points, start), enabled).join(ids, "job_id", "left_semi")
+    return _of_top(points, top, start, enabled)
+
+
+def top_job_rate_series(
+    points: DataFrame, top: DataFrame, start: int, enabled: Iterable[str] = DEFAULT_OPERATIONS
+) -> DataFrame:
+    """The rates between those points."""
+    return series_rate(_of_top(points, top, start, enabled))

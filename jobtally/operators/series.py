@@ -12,10 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtally.operators.filters import since
-from jobtally.operators.skew import beside
+from jobtally.operators.skew import CHUNK_SECONDS, beside
 
 SERIES = ["job_id", "operation"]
-MAX_POINTS = 1000
 
 
 def points_of(job_ops: DataFrame) -> DataFrame:
@@ -80,10 +79,12 @@ def _rate(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def series_rate(points: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def series_rate(
+    points: DataFrame, keys: list[str] | None = None, chunk_seconds: int = CHUNK_SECONDS
+) -> DataFrame:
     """Per-second change between consecutive points of each series."""
     keys = SERIES if keys is None else keys
-    return _rate(beside(points, keys), keys)
+    return _rate(beside(points, keys, chunk_seconds=chunk_seconds), keys)
 
 
 def op_series_rate(points: DataFrame, start: int | None = None) -> DataFrame:
@@ -122,7 +123,7 @@ def latest_op_rate(points: DataFrame, operations: Iterable[str], now: int, windo
     return row.unpivot([], operations, "operation", "value")
 
 
-def cap_series(points: DataFrame, count: int = MAX_POINTS) -> DataFrame:
+def cap_series(points: DataFrame, count: int) -> DataFrame:
     """The newest ``count`` points of each series.
 
     Every task passes on at most ``count`` points of a series, so a long series

@@ -13,8 +13,6 @@ from jobtally.functions.vocabulary import DEFAULT_OPERATIONS, TOTAL, check_opera
 from jobtally.operators import filters
 from jobtally.operators.merge import operation_columns, poll_keys
 
-MAX_TOP = 50  # the longest list an interactive view offers
-
 
 def _ranked(table: DataFrame, sortby: str, count: int, skip: int) -> DataFrame:
     """Rank by one column, ties by job id, and keep ``count`` after ``skip``.
@@ -77,27 +75,37 @@ def job_totals(job_ops: DataFrame, enabled: Iterable[str] = DEFAULT_OPERATIONS)
 def top_jobs_filtered(
     visible: DataFrame, enabled: Iterable[str] = DEFAULT_OPERATIONS, count: int = 10
 ) -> DataFrame:
-    """The jobs of one state with the largest positive sum of enabled operations."""
-    ranked = job_totals(visible, enabled).where("total > 0").orderBy(F.desc("total"), "job_id")
-    return ranked.limit(min(max(count, 1), MAX_TOP))
+    """The jobs with the largest positive sum of enabled operations, of every poll or of one state."""
+    if count < 1:
+        raise ValueError("count must be at least 1")
+    return _ranked(job_totals(visible, enabled).where("total > 0"), "total", count, 0)
 
 
 def page(top: DataFrame, skip: int, count: int) -> DataFrame:
-    """Scroll a top list: leave out ``skip`` rows, show ``count``."""
-    return top.orderBy(F.desc("total"), "job_id").offset(skip).limit(count)
+    """Scroll a top list: leave out ``skip`` rows of each poll, show ``count``."""
+    return top.where((F.col("rank") > skip) & (F.col("rank") <= skip + count))
+
 
+def latest(polls: DataFrame) -> DataFrame:
+    """The rows of the newest poll."""
+    newest = polls.agg(F.max("poll").alias("poll"))
+    return polls.join(newest, "poll")
 
-def job_columns(visible: DataFrame, enabled: Iterable[str] = DEFAULT_OPERATIONS, shown: int = 6) -> DataFrame:
-    """Jobs with their total and the first enabled operations as columns."""
+
+def job_columns(
+    visible: DataFrame, enabled: Iterable[str] = DEFAULT_OPERATIONS, shown: Iterable[str] | None = None
+) -> DataFrame:
+    """Jobs of every poll with their total and each enabled operation, or each of ``shown``, as a column."""
     enabled = list(enabled)
+    columns = enabled if shown is None else list(shown)
     return (
         filters.filter_ops(visible, enabled)
-        .groupBy("job_id")
+        .groupBy(*poll_keys(visible), "job_id")
         .agg(
             F.sum("value").cast("bigint").alias("total"),
             *[
                 F.expr(f"CAST(sum(CASE WHEN operation = '{name}' THEN value ELSE 0 END) AS BIGINT) AS {name}")
-                for name in enabled[:shown]
+                for name in columns
             ],
         )
         .where("total > 0")

@@ -48,13 +48,13 @@ def _timed_part(job: Column) -> Column:
 def _last_metrics(lines: Column) -> Column:
     """Lines that give a metric, the last one of each name."""
     keyed = F.transform(
-        F.filter(lines, _is_metric), lambda line: F.struct(line.alias("line"), _name(_bare(line)).alias("name"))
+        F.filter(lines, _is_metric), lambda line: F.struct(line.alias("line"), _line_key(line).alias("name"))
     )
     return keep_last(keyed, "name")["line"]
 
 
 def _line_key(line: Column) -> Column:
-    return F.substring_index(_name(F.replace(line, F.lit(" "), F.lit(""))), ":", 1)
+    return _name(_bare(line))
 
 
 def keep_last(entries: Column, key: str) -> Column:
@@ -112,7 +112,7 @@ def parse_job_stats(blocks: DataFrame, keep_empty: bool = False) -> DataFrame:
         F.btrim(F.substring_index("_job", "\n", 1), F.lit(BLANKS)).alias("job_id"),
         _timed_part(F.col("_job")).alias("_timed"),
         F.slice(lines, 2, F.size(lines)).alias("_lines"),
-    ).withColumn("_keys", F.transform("_lines", _line_key))
+    ).withColumn("_keys", F.transform(F.filter("_lines", _is_metric), _line_key))
     # Metrics hardly ever repeat within a job; lines are only compared where one does.
     once = F.size(F.array_distinct(keys)) == F.size(keys)
     job = [*rest, "job_id", *TIME_KEYS]

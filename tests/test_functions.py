@@ -11,8 +11,8 @@ from jobtally.operators import filters
 
 @pytest.mark.parametrize(
     "text, size",
-    [("1024", 1024), ("1k", 1024), ("1K", 1024), ("1M", 1024**2), ("100M", 100 * 1024**2), ("1G", 1024**3),
-     ("1T", 1024**4), ("1P", 1024**5), ("1.5k", 1536), (" 2k ", 2048)],
+    [("0", 0), ("77", 77), ("3k", 3072), ("7K", 7168), ("0.25M", 1 << 18), ("12m", 12 << 20), ("2g", 2 << 30), ("5T", 5 << 40),
+     ("2P", 2 << 50), ("\t6k ", 6144)],
 )
 def test_sizes(text, size):
     assert parse_size(text) == size
@@ -124,3 +124,9 @@ def test_labels(spark):
     odd = ['a"b', "back\\slash", "line\nend", "\\n", '\\"', "plain"]
     assert values(spark, odd, formats.unescape_label(formats.escape_label(v))) == [(x,) for x in odd]
     assert values(spark, ['a"\\\n'], formats.escape_label(v)) == [('a\\"\\\\\\n',)]
+
+
+def test_labels_come_back_whole(spark):
+    texts = ["plain", 'q"q', "b\\b", "n\nn", "\\n", "\\\\n", '\\"', "nul\0nul", "\\", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "v STRING")
+    assert [r[0] for r in df.select(formats.unescape_label(formats.escape_label(F.col("v")))).collect()] == texts

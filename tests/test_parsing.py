@@ -1,5 +1,6 @@
 """Framed logs and dumps: the golden log, odd text, and the flat dialect."""
 
+import pytest
 from conftest import POLL_1, TIME_1, framed
 
 from jobtally.functions.layout import JobIdLayout
@@ -145,6 +146,27 @@ def test_scopes(spark, rows):
     assert rows(merge.scope_sources(samples, servers=["b"]), "host") == [("b",)]
     assert rows(merge.scope_sources(samples, param="mdt.fs-MDT000?.job_stats"), "host") == [("a",)]
     assert rows(merge.scope_sources(samples, param="mdt.fs_*"), "host") == [("b",)]
+    assert rows(merge.scope_sources(samples, param="mdt.fs-MDT000[0-3].job_stats"), "host") == [("a",)]
+    assert rows(merge.scope_sources(samples, param="mdt.fs-MDT000[!0-3].job_stats"), "host") == []
+    for glob in ("mdt.[0-3", "{mdt,ost}.*"):
+        with pytest.raises(ValueError):
+            merge.scope_sources(samples, param=glob)
+
+
+def test_globs_against_the_standard_library():
+    import fnmatch
+    import re
+
+    texts = ["a", "ab", "a.b", "a-b", "a]b", "a\\b", "x1y", "x9y", "a\nb", "a^b", "a&&b"]
+    for glob in ("*", "?", "a?b", "a.b", "x[0-5]y", "x[!0-5]y", "a[.-]b", "a[]]b", "a*", "a[^x]b", "a[&&]*"):
+        if glob != "a[^x]b":  # this library takes ^ like !, the standard one as a character
+            assert [bool(re.match(merge.glob_pattern(glob).replace("\\z", "\\Z"), t)) for t in texts] == [fnmatch.fnmatchcase(t, glob) for t in texts], glob
+
+
+def test_repeats_behind_tabs_and_blank_lines(spark, rows):
+    dump = "job_stats:\n- job_id: j\n  snapshot_time: 5\n  open: { samples: 3 }\n\n\n\topen: { samples: 4 }\n  sync:{ samples: 1 }\n"
+    blocks = spark.createDataFrame([("h", "p", 1, dump)], "host STRING, param STRING, poll_ts BIGINT, data STRING")
+    assert rows(parse_job_stats(blocks), "operation", "samples") == [("open", 4), ("sync", 1)]
 
 
 def test_header_time_is_kept_to_microseconds(spark, golden_log):
