@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from jobtally.functions.vocabulary import DEFAULT_OPERATIONS, LONG_BY_SHORT, LONG_NAMES, SHORT_BY_LONG
-from jobtally.plans.queries import IDS, JOB, LAST_POLL, PIVOT_OPS, START
+from jobtally.plans.queries import END, IDS, JOB, PIVOT_OPS, START
 
 KNOWN = ", ".join(f"'{name}'" for name in LONG_NAMES)
 NINE = ", ".join(f"'{name}'" for name in DEFAULT_OPERATIONS)
@@ -78,9 +78,11 @@ TOTALS = f"""
 tot AS (SELECT poll, poll_ts, operation, CAST(sum(value) AS BIGINT) AS value
         FROM o WHERE operation IN ({KNOWN}) GROUP BY poll, poll_ts, operation)"""
 STATE = f"""
-st AS (SELECT job_id, operation, value FROM o WHERE poll = {LAST_POLL} AND job_id LIKE '%exe1%'),
-top AS (SELECT job_id, CAST(sum(value) AS BIGINT) AS total FROM st WHERE operation IN ({NINE})
-        GROUP BY job_id HAVING sum(value) > 0 ORDER BY total DESC, job_id LIMIT 10)"""
+st AS (SELECT poll, job_id, operation, value FROM o WHERE job_id LIKE '%exe1%'),
+top AS (SELECT * FROM (SELECT poll, job_id, CAST(sum(value) AS BIGINT) AS total,
+          CAST(row_number() OVER (PARTITION BY poll ORDER BY sum(value) DESC, job_id) AS BIGINT) AS rank
+          FROM st WHERE operation IN ({NINE}) GROUP BY poll, job_id HAVING sum(value) > 0) WHERE rank <= 10),
+last_top AS (SELECT job_id FROM top WHERE poll = (SELECT max(poll) FROM top))"""
 
 
 def _with(*ctes: str) -> str:
@@ -133,6 +135,12 @@ _LONG = " ".join(f"WHEN '{short}' THEN '{long}'" for short, long in LONG_BY_SHOR
 _MATCH = "(contains(job_id, 'exe1') OR contains(job_id, '.3.'))"
 _QUOTED = """SELECT "timestamp", concat('"', job_id, '"') AS job_id, operation, value FROM points"""
 _BY = "GROUP BY poll, job_id, operation"
+_OF_TOP = f""" "timestamp" >= {START + 100} AND operation IN ({NINE}) AND job_id IN (SELECT job_id FROM last_top)"""
+_FRAMES = """, f AS (SELECT unnest(range((SELECT min("timestamp") FROM points),
+              (SELECT max("timestamp") FROM points) + 1, 25)) AS frame)
+            SELECT frame, job_id, operation, value FROM (SELECT f.frame, p.job_id, p.operation, p.value, row_number() OVER (
+              PARTITION BY f.frame, p.job_id, p.operation ORDER BY p."timestamp" DESC) AS n
+              FROM f JOIN points p ON p."timestamp" <= f.frame) WHERE n = 1"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -224,19 +232,26 @@ def oracle_sql() -> dict[str, str]:
         + _top("pc", "ops", "CAST(ops AS BIGINT) AS ops", "ops > 0", 1, 5),
         "top_jobs_matching": _M + _top("o", "ops", "ops", f"ops > 1 AND {_MATCH}", 1, 3),
         "top_jobs_exact": _M + _top("o", "ops", "ops", f"ops > 0 AND job_id NOT IN ({EXACT})", 1, 5),
-        "top_jobs_filtered": _with(MERGED, STATE) + "SELECT job_id, total FROM top",
-        "scrolled_jobs": _with(MERGED, STATE) + "SELECT job_id, total FROM top ORDER BY total DESC, job_id LIMIT 5 OFFSET 2",
-        "job_table_pivot": _M + f"""SELECT job_id, CAST(sum(value) AS BIGINT) AS total, {", ".join(
+        "top_jobs_filtered": _with(MERGED, STATE) + "SELECT poll, rank, job_id, total FROM top",
+        "scrolled_jobs": _with(MERGED, STATE) + "SELECT poll, rank, job_id, total FROM top WHERE rank BETWEEN 3 AND 7",
+        "job_table_pivot": _M + f"""SELECT poll, job_id, CAST(sum(value) AS BIGINT) AS total, {", ".join(
             f"CAST(sum(CASE WHEN operation = '{n}' THEN value ELSE 0 END) AS BIGINT) AS \"{n}\"" for n in PIVOT_OPS)}
-            FROM o WHERE poll = {LAST_POLL} AND operation IN ({", ".join(f"'{n}'" for n in PIVOT_OPS)})
-            GROUP BY job_id HAVING sum(value) > 0""",
-        "top_job_bars": _with(MERGED, STATE) + f"""SELECT top.job_id, n.operation, CAST(coalesce(st.value, 0) AS BIGINT) AS value
+            FROM o WHERE operation IN ({", ".join(f"'{n}'" for n in PIVOT_OPS)})
+            GROUP BY poll, job_id HAVING sum(value) > 0""",
+        "top_job_bars": _with(MERGED, STATE) + f"""SELECT top.poll, top.job_id, n.operation, CAST(coalesce(st.value, 0) AS BIGINT) AS value
             FROM top CROSS JOIN (VALUES {NINE_ROWS}) n(operation)
-            LEFT JOIN st ON st.job_id = top.job_id AND st.operation = n.operation""",
-        "top_job_series": _with(MERGED, STATE) + f"""SELECT * FROM points WHERE "timestamp" >= {START + 100}
-            AND operation IN ({NINE}) AND job_id IN (SELECT job_id FROM top)""",
-        "op_totals_filtered": _with(MERGED, STATE) + f"""SELECT n.operation, CAST(coalesce(sum(st.value), 0) AS BIGINT) AS value
-            FROM (VALUES {NINE_ROWS}) n(operation) LEFT JOIN st ON st.operation = n.operation GROUP BY n.operation""",
+            LEFT JOIN st ON st.poll = top.poll AND st.job_id = top.job_id AND st.operation = n.operation""",
+        "top_job_rates": _with(MERGED, STATE, f"""
+            lr AS ({_LAST.format(keys="job_id, operation", source="points", low=END - 60, high=END)})""")
+        + f"""SELECT last_top.job_id, n.operation, CAST(coalesce(lr.value, 0) AS BIGINT) AS value
+            FROM last_top CROSS JOIN (VALUES {NINE_ROWS}) n(operation)
+            LEFT JOIN lr ON lr.job_id = last_top.job_id AND lr.operation = n.operation""",
+        "top_job_series": _with(MERGED, STATE) + "SELECT * FROM points WHERE " + _OF_TOP,
+        "top_job_rate_series": _with(MERGED, STATE, "tp AS (SELECT * FROM points WHERE " + _OF_TOP + ")")
+        + _series_rate("tp", "job_id, operation"),
+        "op_totals_filtered": _with(MERGED, STATE) + f"""SELECT p.poll, n.operation, CAST(coalesce(sum(st.value), 0) AS BIGINT) AS value
+            FROM (SELECT DISTINCT poll FROM st) p CROSS JOIN (VALUES {NINE_ROWS}) n(operation)
+            LEFT JOIN st ON st.poll = p.poll AND st.operation = n.operation GROUP BY p.poll, n.operation""",
         "time_range": _M + 'SELECT min("timestamp") AS first, max("timestamp") AS last FROM points',
         "distinct_ops": _M + "SELECT DISTINCT operation FROM points",
         "distinct_jobs": _M + "SELECT DISTINCT job_id FROM points",
@@ -250,6 +265,8 @@ def oracle_sql() -> dict[str, str]:
         "jobs_with_ops": _M + f"""SELECT DISTINCT job_id FROM points
             WHERE operation IN ('open', 'read') AND "timestamp" >= {START + 50}""",
         "series_rate": _M + _series_rate("points", "job_id, operation"),
+        "series_rate_chunked": _M + _series_rate("points", "job_id, operation"),
+        "rates_chunked": _R + "SELECT poll, job_id, operation, value FROM r",
         "latest_rate": _M + _LAST.format(keys="job_id, operation", source="points", low=START + 230, high=START + 290),
         "latest_op_rate": _with(MERGED, _OPSER, f"""
             lr AS ({_LAST.format(keys="operation", source="os", low=START + 230, high=START + 290)})""")
@@ -260,11 +277,10 @@ def oracle_sql() -> dict[str, str]:
         "state_at": _M + f"""SELECT job_id, operation, value FROM (SELECT *, row_number() OVER (
             PARTITION BY job_id, operation ORDER BY "timestamp" DESC) AS n FROM points
             WHERE "timestamp" <= {START + 155}) WHERE n = 1""",
-        "replay_frames": _M + """, f AS (SELECT unnest(range((SELECT min("timestamp") FROM points),
-              (SELECT max("timestamp") FROM points) + 1, 25)) AS frame)
-            SELECT frame, job_id, operation, value FROM (SELECT f.frame, p.job_id, p.operation, p.value, row_number() OVER (
-              PARTITION BY f.frame, p.job_id, p.operation ORDER BY p."timestamp" DESC) AS n
-              FROM f JOIN points p ON p."timestamp" <= f.frame) WHERE n = 1""",
+        "replay_intervals": _M + """SELECT job_id, operation, "timestamp" AS "from", lead("timestamp") OVER (
+            PARTITION BY job_id, operation ORDER BY "timestamp") AS "to", value FROM points""",
+        "replay_frames": _M + _FRAMES,
+        "replay_frames_chunked": _M + _FRAMES,
         "downsample": _M + f"""SELECT "timestamp", job_id, operation, value FROM (SELECT *, row_number() OVER (
             PARTITION BY ("timestamp" - {START}) // (290 // 7), job_id, operation ORDER BY "timestamp" DESC) AS n
             FROM points WHERE "timestamp" BETWEEN {START} AND {START + 290}) WHERE n = 1""",

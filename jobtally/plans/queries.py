@@ -16,7 +16,7 @@ from jobtally.sources import dumps, raw_log
 Query = Callable[[SparkSession, str], DataFrame]
 
 START = derived.POLL_ZERO
-LAST_POLL = 29
+END = derived.POLL_ZERO + 290
 JOB = "exe1.1.n1"
 IDS = ["exe1.1.n1", "exe0.8.n8"]
 PATTERNS = ["exe1", ".3."]
@@ -53,9 +53,13 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
     return series.points_of(_job_ops(spark, sf))
 
 
-def _last_state(spark: SparkSession, sf: str) -> DataFrame:
-    last = derived.samples(spark, sf).where(F.col("poll") == LAST_POLL)
-    return filters.filter_components(merge.merge_jobs(last), derived.LAYOUT, "exe1")
+def _states(spark: SparkSession, sf: str) -> DataFrame:
+    """What passes the text filter, at every poll."""
+    return filters.filter_components(_job_ops(spark, sf), derived.LAYOUT, "exe1")
+
+
+def _latest_top(spark: SparkSession, sf: str) -> DataFrame:
+    return topn.latest(topn.top_jobs_filtered(_states(spark, sf)))
 
 
 def _ops(df: DataFrame) -> DataFrame:
@@ -351,36 +355,43 @@ def top_jobs_exact(spark, sf):
 
 @query
 def top_jobs_filtered(spark, sf):
-    return topn.top_jobs_filtered(_last_state(spark, sf)).select("job_id", "total")
+    return _listed(topn.top_jobs_filtered(_states(spark, sf)), "total")
 
 
 @query
 def scrolled_jobs(spark, sf):
-    top = topn.top_jobs_filtered(_last_state(spark, sf))
-    return topn.page(top, 2, 5).select("job_id", "total")
+    return _listed(topn.page(topn.top_jobs_filtered(_states(spark, sf)), 2, 5), "total")
 
 
 @query
 def job_table_pivot(spark, sf):
-    last = derived.samples(spark, sf).where(F.col("poll") == LAST_POLL)
-    return topn.job_columns(merge.merge_jobs(last), PIVOT_OPS)
+    return topn.job_columns(_job_ops(spark, sf), PIVOT_OPS).drop("poll_ts")
 
 
 @query
 def top_job_bars(spark, sf):
-    state = _last_state(spark, sf)
-    return bars.top_job_bars(state, topn.top_jobs_filtered(state))
+    states = _states(spark, sf)
+    return bars.top_job_bars(states, topn.top_jobs_filtered(states)).drop("poll_ts")
+
+
+@query
+def top_job_rates(spark, sf):
+    return bars.top_job_rates(_points(spark, sf), _latest_top(spark, sf), END)
 
 
 @query
 def top_job_series(spark, sf):
-    top = topn.top_jobs_filtered(_last_state(spark, sf))
-    return bars.top_job_series(_points(spark, sf), top, START + 100)
+    return bars.top_job_series(_points(spark, sf), _latest_top(spark, sf), START + 100)
+
+
+@query
+def top_job_rate_series(spark, sf):
+    return bars.top_job_rate_series(_points(spark, sf), _latest_top(spark, sf), START + 100)
 
 
 @query
 def op_totals_filtered(spark, sf):
-    return bars.visible_op_totals(_last_state(spark, sf))
+    return bars.visible_op_totals(_states(spark, sf)).drop("poll_ts")
 
 
 # Series and replay.
@@ -431,6 +442,18 @@ def series_rate(spark, sf):
     return series.series_rate(_points(spark, sf))
 
 
+@query
+def series_rate_chunked(spark, sf):
+    """In chunks shorter than the gaps of many series, so that edges are carried over whole chunks."""
+    return series.series_rate(_points(spark, sf), chunk_seconds=15)
+
+
+@query
+def rates_chunked(spark, sf):
+    """Few polls to a chunk: most pairs of polls have one on either side of an edge."""
+    return _ops(merge.to_long(rates.job_rates(_table(spark, sf), polls_per_chunk=3)))
+
+
 @query
 def latest_rate(spark, sf):
     return series.latest_rate(_points(spark, sf), START + 290)
@@ -451,9 +474,19 @@ def state_at(spark, sf):
     return replay.state_at(_points(spark, sf), START + 155).select("job_id", "operation", "value")
 
 
+@query
+def replay_intervals(spark, sf):
+    return replay.replay_intervals(_points(spark, sf))
+
+
 @query
 def replay_frames(spark, sf):
-    return replay.replay_frames(_points(spark, sf), 25)
+    return replay.replay_frames(_points(spark, sf), 25, START, END)
+
+
+@query
+def replay_frames_chunked(spark, sf):
+    return replay.replay_frames(_points(spark, sf), 25, START, END, chunk_seconds=15)
 
 
 @query

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from jobtally.functions import vocabulary
 from jobtally.operators import bars, filters, replay, series, topn
 from jobtally.operators.skew import beside
 
@@ -17,11 +18,11 @@ def one_series(spark, pairs):
 @pytest.mark.parametrize(
     "pairs, expected",
     [
+        ([(7, 3)], []),
         ([], []),
-        ([(100, 1000)], []),
-        ([(100, 1000), (105, 1500)], [(105, 100)]),
-        ([(100, 1000), (110, 2000), (120, 2500)], [(110, 100), (120, 50)]),
-        ([(100, 1000), (110, 500)], [(110, 0)]),
+        ([(40, 12), (44, 30), (47, 31), (60, 31)], [(44, 4), (47, 0), (60, 0)]),
+        ([(40, 90), (41, 8), (48, 64)], [(41, 0), (48, 8)]),
+        ([(-5, 1), (4, 73)], [(4, 8)]),
     ],
 )
 def test_rate_of_a_series(spark, rows, pairs, expected):
@@ -81,7 +82,7 @@ def test_frames_against_brute_force(spark, rows, step, start, end):
             past = [v for t, v in line if t <= frame]
             if past:
                 expected.append((frame, *key, past[-1]))
-    found = replay.replay_frames(spark.createDataFrame(points, POINTS), step, start, end)
+    found = replay.replay_frames(spark.createDataFrame(points, POINTS), step, low, high)
     assert rows(found, "frame", "job_id", "operation", "value") == sorted(expected, key=repr)
 
 
@@ -151,11 +152,45 @@ def test_interactive_lists(spark, rows):
     state = spark.createDataFrame(ops, "job_id STRING, operation STRING, value BIGINT")
     top = topn.top_jobs_filtered(state, count=2)
     assert [(r.job_id, r.total) for r in top.collect()] == [("a.2", 9), ("b.1", 9)]
-    assert rows(topn.page(topn.top_jobs_filtered(state), 1, 5)) == [("a.1", 5), ("b.1", 9)]
+    assert rows(topn.page(topn.top_jobs_filtered(state), 1, 5), "job_id", "total") == [("a.1", 5), ("b.1", 9)]
+    with pytest.raises(ValueError):
+        topn.top_jobs_filtered(state, count=0)
     visible = topn.visible_jobs(state, full="a.", selected=["a.1"], mode="exclusive")
-    assert rows(topn.top_jobs_filtered(visible)) == [("a.2", 9)]
+    assert rows(topn.top_jobs_filtered(visible), "job_id", "total") == [("a.2", 9)]
     assert rows(bars.visible_op_totals(state, ["read", "open", "punch"])) == [("open", 9), ("punch", 0), ("read", 14)]
     assert rows(bars.top_job_bars(state, top, ["read", "open"])) == [
         ("a.2", "open", 0), ("a.2", "read", 9), ("b.1", "open", 9), ("b.1", "read", 0),
     ]
-    assert rows(topn.job_columns(state, ["read", "open"], shown=1)) == [("a.1", 5, 5), ("a.2", 9, 9), ("b.1", 9, 0)]
+    assert rows(topn.job_columns(state, ["read", "open"], shown=["read"])) == [("a.1", 5, 5), ("a.2", 9, 9), ("b.1", 9, 0)]
+    assert topn.job_columns(state).columns[2:] == list(vocabulary.DEFAULT_OPERATIONS)
+
+
+def test_lists_of_every_poll(spark, rows):
+    ops = [(p, f"j{j:03}", "read", 1000 * p + j) for p in (1, 2) for j in range(120)] + [(2, "late", "sync", 5)]
+    states = spark.createDataFrame(ops, "poll BIGINT, job_id STRING, operation STRING, value BIGINT")
+    top = topn.top_jobs_filtered(states, count=100)
+    assert rows(top.groupBy("poll").count()) == [(1, 100), (2, 100)]
+    assert top.where("rank = 1").orderBy("poll").select("poll", "job_id", "total").collect() == [(1, "j119", 1119), (2, "j119", 2119)]
+    assert rows(topn.page(top, 2, 1), "poll", "job_id") == [(1, "j117"), (2, "j117")]
+    assert rows(topn.latest(top).select("poll").distinct()) == [(2,)]
+    totals = bars.visible_op_totals(states, ["read", "open"])
+    assert rows(totals.where("operation = 'read'"), "poll", "value") == [(1, 127140), (2, 247140)]
+    assert topn.job_columns(states, ["read"]).where("job_id = 'j001'").count() == 2
+
+
+def test_bars_keep_top_jobs_without_values(spark, rows):
+    top = spark.createDataFrame([("a",), ("gone",)], "job_id STRING")
+    points = spark.createDataFrame([(10, "a", "read", 5), (20, "a", "read", 45), (20, "b", "read", 1)], POINTS)
+    state = points.where("timestamp = 20").drop("timestamp")
+    assert rows(bars.top_job_bars(state, top, ["read"])) == [("a", "read", 45), ("gone", "read", 0)]
+    assert rows(bars.top_job_rates(points, top, 20, enabled=["read"])) == [("a", "read", 4), ("gone", "read", 0)]
+    assert rows(bars.top_job_rate_series(points, top, 0, ["read"]), "job_id", "timestamp", "value") == [("a", 20, 4)]
+
+
+def test_frames_need_a_period_and_stay_in_it(spark, rows):
+    points = spark.createDataFrame([(0, "j", "read", 1), (31_536_000, "j", "read", 2)], POINTS)
+    assert rows(replay.replay_frames(points, 10, 100, 120), "frame", "value") == [(100, 1), (110, 1), (120, 1)]
+    assert replay.replay_frames(points, 1, 50, 5049).count() == 5000
+    assert rows(replay.replay_intervals(points), "from", "to", "value") == [(0, 31_536_000, 1), (31_536_000, None, 2)]
+    with pytest.raises(ValueError):
+        replay.replay_frames(points, 10, 5, 4)
