@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,12 +15,29 @@ def write_peaks(ops: DataFrame, jobs: DataFrame, path: str) -> None:
     jobs.coalesce(1).write.mode("append").parquet(f"{path}/jobs")
 
 
+def _swap(spark: SparkSession, new: str, path: str) -> None:
+    """Put a complete folder in the place of another; at any moment one of the two is there whole."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    target, fresh, old = folder(path), folder(new), folder(f"{path}.old")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    if files.exists(target):
+        files.rename(target, old)
+    files.rename(fresh, target)
+    files.delete(old, True)
+
+
 def write_peaks_json(ops: DataFrame, jobs: DataFrame, path: str) -> None:
-    """Peaks as one JSON document; both tables have 28 rows at most."""
+    """Peaks as one JSON document; both tables have 28 rows at most.
+
+    The document is written beside ``path`` and takes its place when complete, so peaks that were read from
+    ``path`` can be folded and written back to it.
+    """
     entry = lambda value: F.map_from_entries(F.collect_list(F.struct("operation", value)))
     top_ops = ops.select(entry(F.struct("rate", "timestamp"))).scalar()
     top_jobs = jobs.select(entry(F.struct("job_id", "ops", "timestamp"))).scalar()
     one = ops.sparkSession.range(1)
     one.select(F.to_json(F.struct(top_ops.alias("top_ops"), top_jobs.alias("top_job_per_op"))).alias("value")).write.mode(
         "overwrite"
-    ).text(path)
+    ).text(f"{path}.new")
+    _swap(ops.sparkSession, f"{path}.new", path)

@@ -123,7 +123,7 @@ WRITERS = {
 def fan_out(df: DataFrame, sinks: Mapping[str, Callable[[DataFrame], None]]) -> dict[str, Exception]:
     """Give the same rows to several sinks; one that fails does not stop the rest.
 
-    Returns the failures by sink name.
+    Returns the failures by sink name; ``must`` raises what they hold.
     """
     failed: dict[str, Exception] = {}
     df = df.persist()
@@ -137,3 +137,13 @@ def fan_out(df: DataFrame, sinks: Mapping[str, Callable[[DataFrame], None]]) ->
     finally:
         df.unpersist()
     return failed
+
+
+class SinksFailed(RuntimeError):
+    """Some sinks failed; the others have the rows."""
+
+
+def must(failed: Mapping[str, Exception]) -> None:
+    """Raise if any sink failed, so that whoever gave the rows gives them again."""
+    if failed:
+        raise SinksFailed(", ".join(f"{name}: {error}" for name, error in failed.items())) from next(iter(failed.values()))

@@ -18,9 +18,8 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from jobtally.functions.layout import JobIdLayout
 from jobtally.operators import merge, peaks, rates, shares
-from jobtally.session import shared_dir
 from jobtally.sinks.peaks import write_peaks
-from jobtally.sinks.points import fan_out
+from jobtally.sinks.points import fan_out, must
 from jobtally.sources.dumps import parse_job_stats
 from jobtally.sources.raw_log import stream_raw_log
 
@@ -46,10 +45,14 @@ class RateFeed:
     """Turns merged polls into rates, batch by batch, for ``foreachBatch``.
 
     A new ``state`` folder starts without a reference poll; use one per
-    checkpoint. ``failed`` holds the sinks that failed in the latest batch.
+    checkpoint. ``failed`` holds the sinks that failed in the latest batch. A
+    failure ends the batch, after all sinks had their turn, so that it is run
+    again: sinks keyed by batch take a repeat. With ``go_on`` failures are only
+    logged and the rows are lost to that sink.
     """
 
-    def __init__(self, state: str, sinks: Mapping[str, Sink], mode: str = "rate"):
+    def __init__(self, state: str, sinks: Mapping[str, Sink], mode: str = "rate", go_on: bool = False):
+        self.go_on = go_on
         self.state = state.rstrip("/")
         self.sinks = sinks
         self.mode = mode
@@ -87,6 +90,8 @@ class RateFeed:
             self.failed = fan_out(
                 changed, {name: (lambda df, sink=sink: sink(df, batch_id)) for name, sink in self.sinks.items()}
             )
+            if not self.go_on:
+                must(self.failed)
             last = rows.select(F.max("poll_ts")).scalar()
             self._store(rows.where(F.col("poll_ts") == last), batch_id)
         finally:
@@ -113,18 +118,30 @@ def peak_store(path: str) -> Sink:
     return write
 
 
-def long_points(write: Callable[[DataFrame], None]) -> Sink:
-    """A sink for exporters: counters as points."""
-    return lambda table, batch_id: write(
-        merge.to_long(table).select(F.col("poll_ts").alias("timestamp"), "job_id", "operation", "value")
-    )
+def long_points(write: Callable[[DataFrame, str, str], None], path: str) -> Sink:
+    """A sink for exporters: a wide table as points.
 
+    ``write`` is one of the point writers (rows, path, mode). Each batch has a
+    folder of its own below ``path``, replaced on a re-run.
+    """
+
+    def points(table: DataFrame, batch_id: int) -> None:
+        rows = merge.to_long(table).select(F.col("poll_ts").alias("timestamp"), "job_id", "operation", "value")
+        write(rows, f"{path}/batch_id={batch_id}", "overwrite")
+
+    return points
 
-def every_batch(sinks: Mapping[str, Sink]) -> Sink:
-    """Give each micro-batch to several sinks; one that fails stops no other."""
+
+def every_batch(sinks: Mapping[str, Sink], go_on: bool = False) -> Sink:
+    """Give each micro-batch to several sinks; one that fails stops no other.
+
+    The batch then fails, to be run again, unless ``go_on`` lets it pass.
+    """
 
     def write(df: DataFrame, batch_id: int) -> None:
-        fan_out(df, {name: (lambda rows, sink=sink: sink(rows, batch_id)) for name, sink in sinks.items()})
+        failed = fan_out(df, {name: (lambda rows, sink=sink: sink(rows, batch_id)) for name, sink in sinks.items()})
+        if not go_on:
+            must(failed)
 
     return write
 
@@ -138,7 +155,7 @@ def writer(stream: DataFrame, batch: Sink, checkpoint: str, interval: int | None
 def live_rates(
     spark: SparkSession,
     folder: str,
-    name: str,
+    base: str,
     sinks: Mapping[str, Sink],
     mode: str = "rate",
     delay: str = "30 seconds",
@@ -149,10 +166,13 @@ def live_rates(
 ) -> StreamingQuery:
     """Start the whole live view: logs in a folder to rates in every sink.
 
-    Checkpoint and reference polls are kept under ``name`` in the shared folder,
-    so a restarted driver goes on where the lost one stopped.
+    Checkpoint and reference polls are kept below ``base``, a folder that every
+    executor and a restarted driver can reach, so that the latter goes on where
+    the lost one stopped.
     """
-    base = f"{shared_dir(spark)}/{name}"
+    base = base.rstrip("/")
+    if not base:
+        raise ValueError("live rates need a folder for their checkpoint")
     merged = stream_merge(stream_raw_log(spark, folder), delay, layout, groupby, include_bytes)
     return writer(merged, RateFeed(f"{base}/reference", sinks, mode), f"{base}/checkpoint", interval).start()
 

@@ -1,7 +1,5 @@
 """Streams over framed logs give what the batch operators give."""
 
-import uuid
-
 import pytest
 from conftest import framed
 from pyspark.sql import functions as F
@@ -9,7 +7,7 @@ from pyspark.sql import functions as F
 from jobtally.functions.layout import JobIdLayout
 from jobtally.operators import merge, rates
 from jobtally.session import shared_dir
-from jobtally.sinks.points import write_points_parquet
+from jobtally.sinks.points import SinksFailed, write_points_parquet
 from jobtally.sources.dumps import parse_job_stats
 from jobtally.sources.peaks import load_peaks
 from jobtally.sources.points import load_points
@@ -68,7 +66,7 @@ def test_stream_rates_equal_batch_rates(spark, rows, logs, tmp_path):
     sinks = {
         "table": feed.batch_table(out),
         "peaks": feed.peak_store(f"{base}/peaks"),
-        "points": feed.long_points(lambda df: write_points_parquet(df, f"{base}/points.parquet")),
+        "points": feed.long_points(write_points_parquet, f"{base}/points.parquet"),
     }
     rate_feed = run(spark, logs, sinks, base)
     assert rate_feed.failed == {}
@@ -123,9 +121,24 @@ def test_a_failing_sink_is_reported(spark, logs, tmp_path):
 
     out = str(tmp_path / "rates")
     table = merge.job_table(parse_job_stats(read_raw_log(spark, str(logs))))
-    rate_feed = feed.RateFeed(str(tmp_path / "state"), {"bad": broken, "good": feed.batch_table(out)})
+    rate_feed = feed.RateFeed(str(tmp_path / "state"), {"bad": broken, "good": feed.batch_table(out)}, go_on=True)
     rate_feed(table, 0)
     assert list(rate_feed.failed) == ["bad"] and spark.read.parquet(out).count() > 0
+    strict = feed.RateFeed(str(tmp_path / "strict"), {"bad": broken, "good": feed.batch_table(out)})
+    with pytest.raises(SinksFailed, match="no space"):
+        strict(table, 0)
+    assert not strict.has_reference(spark, 1)  # the batch is not over and will be run again
+    with pytest.raises(SinksFailed):
+        feed.every_batch({"bad": broken})(table, 0)
+    feed.every_batch({"bad": broken}, go_on=True)(table, 0)
+
+
+def test_a_batch_run_twice_stores_its_points_once(spark, logs, tmp_path):
+    table = merge.job_table(parse_job_stats(read_raw_log(spark, str(logs))))
+    sink = feed.long_points(write_points_parquet, str(tmp_path / "p.parquet"))
+    for batch_id in (0, 0, 1):
+        sink(table.where(F.col("poll_ts") % 2 == batch_id), batch_id)
+    assert load_points(spark, str(tmp_path / "p.parquet")).count() == merge.to_long(table).count()
 
 
 def test_merged_polls_go_to_every_sink(spark, rows, logs, tmp_path):
@@ -163,7 +176,7 @@ def test_shared_folder_is_the_one_the_cluster_names(spark, tmp_path):
 def test_live_view(spark, rows, logs, tmp_path):
     out = str(tmp_path / "rates")
     query = feed.live_rates(
-        spark, str(logs), f"live-{uuid.uuid4().hex}", {"t": feed.batch_table(out)}, "diff", "1 second", None,
+        spark, str(logs), str(tmp_path / "live"), {"t": feed.batch_table(out)}, "diff", "1 second", None,
         JobIdLayout.parse("%j.%u"), "job",
     )
     query.awaitTermination(120)
