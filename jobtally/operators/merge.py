@@ -161,7 +161,9 @@ def poll_register(blocks: DataFrame) -> DataFrame:
     Numbering runs per day, so no task sorts more than one day of polls; the
     days before are added as an offset. Polls without any job count too.
     """
-    day = F.call_function("div", F.col("poll_ts"), F.lit(86400).cast("bigint")).alias("_day")
+    # A day that cannot be null keeps the planner from filtering one branch of the join only, so that the logs are
+    # read once and both branches share the shuffle of distinct polls.
+    day = F.expr("coalesce(poll_ts div 86400L, 0L) AS _day")
     seen = blocks.select("poll_ts", day).distinct()
     per_day = seen.groupBy("_day").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
@@ -182,20 +184,24 @@ def with_poll_numbers(df: DataFrame, register: DataFrame) -> DataFrame:
 
 def poll_summary(samples: DataFrame, polls: DataFrame) -> DataFrame:
     """Jobs, servers and targets observed per poll, and seconds since the poll
-    before; 0 seconds where that poll was empty and rates start over."""
-    is_kind = lambda kind: F.when(
-        F.split_part("param", F.lit("."), F.lit(1)) == kind, F.struct("host", "param")
-    )
-    seen = samples.groupBy("poll").agg(
-        F.countDistinct("job_id").alias("total_jobs"),
-        F.countDistinct("host").alias("servers"),
-        F.countDistinct(is_kind("obdfilter")).alias("osts"),
-        F.countDistinct(is_kind("mdt")).alias("mdts"),
+    before; 0 seconds where that poll was empty and rates start over.
+
+    Jobs and targets are made distinct first, so no sample is multiplied; each
+    poll then meets the one before as a second row under the next number.
+    """
+    jobs = samples.select("poll", "job_id").distinct().groupBy("poll").agg(F.count(F.lit(1)).alias("total_jobs"))
+    kind = F.split_part("param", F.lit("."), F.lit(1))
+    targets = samples.select("poll", "host", "param").distinct().groupBy("poll").agg(
+        F.size(F.collect_set("host")).cast("bigint").alias("servers"),
+        F.count(F.when(kind == "obdfilter", 1)).alias("osts"),
+        F.count(F.when(kind == "mdt", 1)).alias("mdts"),
     )
     counts = ["total_jobs", "servers", "osts", "mdts"]
-    rows = polls.join(seen, "poll", "left").na.fill(0, counts)
-    before = rows.where("total_jobs > 0").select(
-        (F.col("poll") + 1).alias("poll"), F.col("poll_ts").alias("_before")
+    rows = polls.join(jobs, "poll", "left").join(targets, "poll", "left").na.fill(0, counts)
+    twice = rows.withColumn("_later", F.explode(F.array(F.lit(0), F.lit(1))))
+    met = twice.groupBy((F.col("poll") + F.col("_later")).alias("poll")).agg(
+        F.max(F.when(F.col("_later") == 0, F.struct("poll_ts", *counts))).alias("_own"),
+        F.max(F.when((F.col("_later") == 1) & (F.col("total_jobs") > 0), F.col("poll_ts"))).alias("_before"),
     )
-    waited = F.coalesce(F.col("poll_ts") - F.col("_before"), F.lit(0).cast("bigint"))
-    return rows.join(before, "poll", "left").select("poll", "poll_ts", *counts, waited.alias("query_duration"))
+    waited = F.expr("coalesce(_own.poll_ts - _before, 0L) AS query_duration")
+    return met.where("_own IS NOT NULL").select("poll", "_own.*", waited)

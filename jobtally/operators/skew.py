@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
 CHUNK_SECONDS = 86400
 
 
 def salted_join(
-    rows: DataFrame, small: DataFrame, keys: list[str], spread: str, how: str = "inner", salts: int = SALTS
+    rows: DataFrame, small: DataFrame, keys: list[str], spread: str, how: str = "inner", salts: int | None = None
 ) -> DataFrame:
     """Join ``rows`` to a side with one row per key, each key cut into ``salts``.
 
-    ``spread`` is a column of ``rows`` that varies within a key. The small side
+    ``spread`` is a column of ``rows`` that varies within a key; ``salts`` is by
+    default the number of shuffle partitions, so that one key can use them all.
+    The small side
     is repeated once per salt; it is broadcast only if the planner finds it under
     its own threshold, and shuffled on (key, salt) otherwise. Where both sides
     come from one aggregate, an inner join lets them read its shuffle once.
     """
+    salts = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.expr(f"coalesce(cast(pmod(xxhash64({spread}), {salts}) AS INT), 0)")
     salted = rows.withColumn("_salt", salt)
     copies = small.withColumn("_salt", F.expr(f"explode(sequence(0, {salts - 1}))"))
