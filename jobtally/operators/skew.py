@@ -15,10 +15,10 @@ def salted_join(
 
     ``spread`` is a column of ``rows`` that varies within a key; ``salts`` is by
     default the number of shuffle partitions, so that one key can use them all.
-    The small side
-    is repeated once per salt; it is broadcast only if the planner finds it under
-    its own threshold, and shuffled on (key, salt) otherwise. Where both sides
-    come from one aggregate, an inner join lets them read its shuffle once.
+    The small side is repeated once per salt; it is broadcast only if the planner
+    finds it under its own threshold, and shuffled on (key, salt) otherwise. Where
+    both sides come from one aggregate, an inner join lets them read its shuffle
+    once.
     """
     salts = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.expr(f"coalesce(cast(pmod(xxhash64({spread}), {salts}) AS INT), 0)")

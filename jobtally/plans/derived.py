@@ -152,6 +152,25 @@ def dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def messy_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``samples`` as odd but legal text, another kind for each executable.
+
+    Text before the first job, blank lines, tabs, a metric that is given twice,
+    histograms of two buckets and without braces, numbers that are none.
+    """
+    line = """CASE left(job_id, 4)
+        WHEN 'exe0' THEN concat('\\t', operation, ': { samples: 1, unit: reqs }\\n\\n  ', operation, ':    { samples: ', samples, ', unit: reqs }\\n')
+        WHEN 'exe1' THEN concat('\\n  ', operation, ': { samples: ', samples, ', unit: bytes, min: 1, max: 9, sum: 10, hist: { 4K: 1, 8K: ', samples, ' } }\\n')
+        WHEN 'exe2' THEN concat('  ', operation, ': { samples: x', samples, ', unit: reqs }\\n')
+        ELSE concat('  ', operation, ':{samples:', samples, ',unit:usecs,hist:7}\\n   \\n') END"""
+    job = ["poll_ts", "host", "param", "job_id"]
+    jobs = samples(spark, sf_dir).selectExpr(*job, f"{line} AS line").groupBy(*job).agg(
+        F.array_join(F.sort_array(F.collect_list("line")), "").alias("lines")
+    )
+    text = r"concat('a note { samples: 5 }\njob_stats:\n\n- job_id:\t', job_id, '\n', lines) AS data"
+    return jobs.selectExpr("host", "param", "poll_ts", text)
+
+
 def flat_dumps(points: DataFrame) -> DataFrame:
     """Points rendered in the flat dialect, a block per time and job.
 

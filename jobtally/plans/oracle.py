@@ -150,6 +150,10 @@ def oracle_sql() -> dict[str, str]:
             operation, samples, unit, "min", "max", "sum" FROM sb""",
         "parse_histogram": _with(BYTES) + """SELECT poll_ts, host, job_id, operation, '64K' AS bucket, samples AS "count"
             FROM sb WHERE unit = 'bytes'""",
+        "parse_messy_dumps": _with() + """SELECT poll_ts, host, param, job_id, operation,
+            CASE WHEN left(job_id, 4) IN ('exe0', 'exe1') THEN samples ELSE 0 END AS samples,
+            CASE left(job_id, 4) WHEN 'exe1' THEN 'bytes' WHEN 'exe3' THEN '' ELSE 'reqs' END AS unit,
+            CASE left(job_id, 4) WHEN 'exe1' THEN concat('4K=1,8K=', samples) ELSE '' END AS buckets FROM samples""",
         "parse_flat_blocks": _M + "SELECT * FROM points",
         "raw_log_frames": _with(BYTES) + "SELECT poll_ts, host, param, job_id, operation, samples FROM sb",
         "rates_from_raw_log": _R

@@ -81,6 +81,13 @@ def parse_histogram(spark, sf):
     return dumps.parse_histogram(parsed).select("poll_ts", "host", "job_id", "operation", "bucket", "count")
 
 
+@query
+def parse_messy_dumps(spark, sf):
+    buckets = "array_join(transform(array_sort(map_entries(hist)), e -> concat(e.key, '=', e.value)), ',') AS buckets"
+    parsed = dumps.parse_job_stats(derived.messy_dumps(spark, sf))
+    return parsed.selectExpr("poll_ts", "host", "param", "job_id", "operation", "samples", "unit", buckets)
+
+
 @query
 def parse_flat_blocks(spark, sf):
     return dumps.parse_flat_blocks(derived.flat_dumps(_points(spark, sf)))

@@ -56,3 +56,27 @@ def test_plans_stay_in_the_jvm_and_join_on_keys(spark, name):
     plan = QUERIES[name](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
     for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert node not in plan
+
+
+def test_poll_numbers_come_from_one_read(spark, tmp_path):
+    from jobtally.operators import merge
+
+    spark.range(1000).selectExpr("id div 3 * 7000 AS poll_ts").write.parquet(str(tmp_path / "blocks"))
+    register = merge.poll_register(spark.read.parquet(str(tmp_path / "blocks")))
+    assert register.count() == 334 and register.agg({"poll": "max"}).first()[0] == 333
+    register.collect()
+    plan = register._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 1
+
+
+def test_skewed_joins_need_no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("percent_table", "percent_of_total"):
+            df = QUERIES[name](spark, TABLES)
+            assert df.count() > 0
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "_salt" in plan and "CartesianProduct" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
