@@ -26,29 +26,32 @@ from jobtally.llm import words as W
 from jobtally.llm.tables import inner
 
 LONG = 128
-GROUP = 20_000
-REMEMBERED = 500_000
+GROUP = 10_000
+REMEMBERED = 1_000_000  # some 300 MB of a worker
 SLICE = 8_000_000
 
-ENCODE = """
-WITH RECURSIVE state(piece, pos, token, live) AS (
-    SELECT piece, pos, token, true FROM bytes_of
+# A row's id holds piece and position (the low bits); a pair's key holds its rank and position, so that the least key of
+# a piece is its leftmost pair of least rank.
+CODE = """
+WITH RECURSIVE state(id, token, size, live) AS (
+    SELECT id, token, 1::BIGINT, true FROM bytes_of
   UNION ALL
-    SELECT piece, pos, CASE WHEN pair = best THEN rank ELSE token END, best IS NOT NULL
-    FROM (
-        SELECT piece, pos, token, rank, pair,
-               min(pair) OVER (PARTITION BY piece) AS best,
-               lag(pair) OVER (PARTITION BY piece ORDER BY pos) AS before
-        FROM (
-            SELECT s.piece, s.pos, s.token, m.rank, m.rank::BIGINT << 16 | s.pos AS pair
-            FROM (SELECT piece, pos, token, lead(token) OVER (PARTITION BY piece ORDER BY pos) AS next FROM state WHERE live) s
-            LEFT JOIN merges m ON m.first = s.token AND m.second = s.next
-        )
-    )
-    WHERE before IS DISTINCT FROM best OR best IS NULL
+    (WITH pairs AS (
+        SELECT s.id, n.id AS next, s.size + n.size AS size, m.rank << 16 | (s.id & 65535) AS key
+        FROM state s JOIN state n ON n.id = s.id + s.size JOIN merges m ON m.pair = (s.token << 32 | n.token)
+        WHERE s.live AND n.live),
+     best AS (
+        SELECT id >> 16 AS piece, min(key) AS key, arg_min(next, key) AS next, arg_min(size, key) AS size
+        FROM pairs GROUP BY piece)
+     SELECT s.id,
+            CASE WHEN s.id & 65535 = b.key & 65535 THEN b.key >> 16 ELSE s.token END,
+            CASE WHEN s.id & 65535 = b.key & 65535 THEN b.size ELSE s.size END,
+            b.piece IS NOT NULL
+     FROM state s LEFT JOIN best b ON b.piece = s.id >> 16
+     WHERE s.live AND (b.next IS NULL OR s.id <> b.next))
 )
-SELECT s.piece, string_agg(s.token::VARCHAR, ',' ORDER BY s.pos) AS ids, count(*) AS n
-FROM state s WHERE NOT live GROUP BY s.piece ORDER BY s.piece
+SELECT s.id >> 16 AS piece, string_agg(s.token::VARCHAR, ',' ORDER BY s.id) AS ids, string_agg(hex(t.bytes), '' ORDER BY s.id) AS decoded
+FROM state s JOIN tokens t ON t.id = s.token WHERE NOT s.live GROUP BY piece ORDER BY piece
 """
 
 DECODE = """
@@ -75,20 +78,19 @@ class Bpe:
         import duckdb
 
         self.ranks = load_ranks(path)
-        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", "preserve_insertion_order": False})
-        rows = np.array(merge_rows(self.ranks), np.int32)
-        merges = pa.table({"first": rows[:, 0], "second": rows[:, 1], "rank": rows[:, 2]})
-        tokens = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())})
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", "preserve_insertion_order": False})
+        rows = np.array(merge_rows(self.ranks), np.int64)
+        merges = pa.table({"pair": rows[:, 0] << 32 | rows[:, 1], "rank": rows[:, 2]})
+        tokens = pa.table({"id": pa.array(list(self.ranks.values()), pa.int64()), "bytes": pa.array(list(self.ranks), pa.binary())})
         for name, table in (("merges", merges), ("tokens", tokens)):
             self.db.register("loaded", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM loaded")
             self.db.unregister("loaded")
-        self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, bytes] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
 
     def long_ids(self, piece: bytes) -> list[int]:
-        """The rule of ``ENCODE`` for one long piece."""
+        """The rule of ``CODE`` for one long piece."""
         parts: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
 
@@ -115,46 +117,45 @@ class Bpe:
                     heapq.heappush(heap, p)
         return [self.ranks[p] for p in parts if p is not None]
 
-    def _encode(self, pieces: list[bytes]) -> list[bytes]:
-        found: list[bytes] = [b""] * len(pieces)
-        rest = []
+    def _code(self, pieces: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of pieces, joined by commas, and the bytes of their tokens in order."""
+        ids: list[bytes] = [b""] * len(pieces)
+        decoded: list[bytes] = [b""] * len(pieces)
+        rest, known = [], []
         for i, piece in enumerate(pieces):
             if piece in self.ranks:
-                found[i] = b"%d" % self.ranks[piece]
+                ids[i] = b"%d" % self.ranks[piece]
+                known.append(i)
             elif len(piece) > LONG:
-                found[i] = ",".join(map(str, self.long_ids(piece))).encode()
+                ids[i] = ",".join(map(str, self.long_ids(piece))).encode()
+                known.append(i)
             else:
                 rest.append(i)
         for at in range(0, len(rest), GROUP):
             part = rest[at : at + GROUP]
             sizes = np.array([len(pieces[i]) for i in part])
-            number = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
-            pos = (np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            number = np.repeat(np.arange(len(part)), sizes)
+            pos = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             token = self.byte[np.frombuffer(b"".join(pieces[i] for i in part), np.uint8)]
-            self.db.register("bytes_of", pa.table({"piece": number, "pos": pos, "token": token}))
-            for i, ids in zip(part, self.db.sql(ENCODE).to_arrow_table()["ids"].to_pylist(), strict=True):
-                found[i] = ids.encode()
-        return found
-
-    def _decode(self, coded: list[bytes]) -> list[bytes]:
-        found: list[bytes] = []
-        for at in range(0, len(coded), GROUP):
-            part = pa.table({"piece": pa.array(range(len(coded[at : at + GROUP])), pa.int32()), "ids": [c.decode() for c in coded[at : at + GROUP]]})
-            self.db.register("coded", part)
-            found += [bytes.fromhex(h) for h in self.db.sql(DECODE).to_arrow_table()["decoded"].to_pylist()]
-        return found
+            self.db.register("bytes_of", pa.table({"id": number << 16 | pos, "token": token}))
+            found = self.db.sql(CODE).to_arrow_table()
+            for i, own, back in zip(part, found["ids"].to_pylist(), found["decoded"].to_pylist(), strict=True):
+                ids[i], decoded[i] = own.encode(), bytes.fromhex(back)
+        for at in range(0, len(known), GROUP):
+            part = known[at : at + GROUP]
+            self.db.register("coded", pa.table({"piece": pa.array(range(len(part)), pa.int32()), "ids": [ids[i].decode() for i in part]}))
+            for i, back in zip(part, self.db.sql(DECODE).to_arrow_table()["decoded"].to_pylist(), strict=True):
+                decoded[i] = bytes.fromhex(back)
+        return ids, decoded
 
     def learn(self, pieces: set[str]) -> None:
-        """Make ``ids`` and ``decoded`` hold the pieces."""
-        new = [p for p in pieces if p not in self.ids]
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids.clear()
-            self.decoded.clear()
+        """Make ``known`` hold the ids and bytes of the pieces."""
+        new = list(pieces - self.known.keys())
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
             new = list(pieces)
         if new:
-            coded = self._encode([p.encode() for p in new])
-            self.ids.update(zip(new, coded))
-            self.decoded.update(zip(new, self._decode(coded)))
+            self.known.update(zip(new, zip(*self._code([p.encode() for p in new]))))
 
 
 @lru_cache(maxsize=2)
@@ -174,7 +175,8 @@ def encode(text: str, path: str, pattern: str) -> tuple[bytes, bytes]:
     pieces = splitter(pattern).findall(text)
     own = bpe(path)
     own.learn(set(pieces))
-    return b",".join(map(own.ids.__getitem__, pieces)), b"".join(map(own.decoded.__getitem__, pieces))
+    ids, decoded = zip(*map(own.known.__getitem__, pieces)) if pieces else ((), ())
+    return b",".join(ids), b"".join(decoded)
 
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str, full: bool) -> Iterator[pa.RecordBatch]:
@@ -185,9 +187,9 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str, full: b
             own.learn(set().union(*pieces))
             counts, ids, decoded = [], [], []
             for found in pieces:
-                coded = b",".join(map(own.ids.__getitem__, found))
+                both = zip(*map(own.known.__getitem__, found)) if found else ((), ())
+                coded, back = (sign.join(x) for sign, x in zip((b",", b""), both))
                 counts.append(coded.count(b",") + bool(found))
-                back = b"".join(map(own.decoded.__getitem__, found))
                 ids.append(list(map(int, coded.split(b","))) if full and found else [] if full else hashlib.sha256(coded).hexdigest())
                 decoded.append(back if full else hashlib.sha256(back).hexdigest())
             names = ["doc_id", "n_tokens", "ids", "decoded"]

@@ -249,8 +249,10 @@ def test_long_pieces_follow_the_same_rule():
     own = bytebpe.bpe(BPE)
     pieces = ["ab" * 40, "the" * 30, "-" * 90, "é" * 50, "日本語" * 12, "zzqx" * 20, "tionthtion" * 9]
     coded = [",".join(map(str, own.long_ids(p.encode()))).encode() for p in pieces]
-    assert own._encode([p.encode() for p in pieces]) == coded
-    assert own._decode(coded) == [p.encode() for p in pieces]
+    assert own._code([p.encode() for p in pieces]) == (coded, [p.encode() for p in pieces])
+    long = "".join(pieces) * 2
+    ids, decoded = own._code([long.encode()])
+    assert decoded == [long.encode()] and ids[0].count(b",") + 1 == len(own.long_ids(long.encode()))
 
 
 # Packing.
