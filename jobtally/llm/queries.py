@@ -32,7 +32,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return bm25.top_k(docs, docs.where("doc_id % 100 = 0"), k=10)
+    return bm25.top_k(docs, docs.where("doc_id % 100 = 0"), k=10).withColumn("score", F.round("score", 6))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,3 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return run
 
     return {name: ready(query) for name, query in found.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
