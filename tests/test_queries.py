@@ -80,3 +80,14 @@ def test_skewed_joins_need_no_broadcast(spark):
             assert "_salt" in plan and "CartesianProduct" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_the_library_stands_without_the_training_data_operators():
+    import subprocess
+
+    root = Path(__file__).resolve().parent.parent
+    code = "import sys; sys.modules['jobtally.llm'] = None; import __spark_entry__ as e; assert e.training is None and set(e.queries()) == set(e.oracle_sql())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+    for path in (root / "jobtally").rglob("*.py"):
+        if "llm" not in path.parts:
+            assert "jobtally.llm" not in path.read_text(), path
