@@ -6,10 +6,11 @@ job id), so folding old and new peaks together is associative and repeatable.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtally.operators.merge import operation_columns
+from jobtally.operators.rates import POLLS_PER_CHUNK
 from jobtally.operators.skew import first_by
 
 PEAK_OPS = "operation STRING, rate BIGINT, timestamp BIGINT"
@@ -76,3 +77,36 @@ def fold_peak_jobs(peaks: DataFrame) -> DataFrame:
         "map_from_entries(_b.entries) AS ops",
         "_b.timestamp AS timestamp",
     )
+
+
+def _running(best: DataFrame, polls_per_chunk: int) -> DataFrame:
+    """The least ``best`` of each operation up to each poll.
+
+    Polls are taken in chunks: a window group holds one chunk, and one row per
+    operation and chunk carries what came before.
+    """
+    chunked = best.withColumn("_chunk", F.expr(f"coalesce(poll div {polls_per_chunk}, 0L)"))
+    chunks = chunked.groupBy("operation", "_chunk").agg(F.min("best").alias("best"))
+    before = Window.partitionBy("operation").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = chunks.select("operation", "_chunk", F.min("best").over(before).alias("_carried"))
+    here = Window.partitionBy("operation", "_chunk").orderBy("poll").rowsBetween(Window.unboundedPreceding, 0)
+    within = chunked.withColumn("best", F.min("best").over(here))
+    return within.join(carried, ["operation", "_chunk"]).select("poll", "operation", F.least("best", "_carried").alias("best"))
+
+
+def running_peak_ops(totals: DataFrame, polls_per_chunk: int = POLLS_PER_CHUNK) -> DataFrame:
+    """``peak_ops`` as it stood after each poll in which the operation has a total."""
+    best = totals.selectExpr("poll", "operation", "struct(-value AS loss, poll_ts AS timestamp) AS best")
+    return _running(best, polls_per_chunk).selectExpr("poll", "operation", "-best.loss AS rate", "best.timestamp AS timestamp")
+
+
+def running_peak_jobs(table: DataFrame, polls_per_chunk: int = POLLS_PER_CHUNK) -> DataFrame:
+    """The best job of each operation as it stood after each poll in which a job used the operation."""
+    names = operation_columns(table)
+    leaders = table.groupBy("poll").agg(
+        *[F.expr(f"min(CASE WHEN {name} > 0 THEN struct(-{name} AS loss, poll_ts AS timestamp, job_id) END) AS {name}") for name in names]
+    )
+    best = leaders.unpivot("poll", names, "operation", "best").where("best IS NOT NULL")
+    return _running(best, polls_per_chunk).selectExpr(
+        "poll", "operation", "best.job_id AS job_id", "-best.loss AS rate", "best.timestamp AS timestamp"
+    )

@@ -210,6 +210,18 @@ def oracle_sql() -> dict[str, str]:
                    string_agg(concat(v.operation, '=', v.value), ',' ORDER BY v.operation) AS ops, b.poll_ts AS "timestamp"
             FROM b JOIN r v ON v.poll_ts = b.poll_ts AND v.job_id = b.job_id
             GROUP BY b.operation, b.job_id, b.value, b.poll_ts""",
+        "running_peak_ops": _R + """, s AS (SELECT poll, poll_ts, operation, CAST(sum(value) AS BIGINT) AS value FROM r GROUP BY ALL)
+            SELECT poll, operation, value AS rate, poll_ts AS "timestamp" FROM (
+              SELECT a.poll, a.operation, b.value, b.poll_ts, row_number() OVER (
+                PARTITION BY a.poll, a.operation ORDER BY b.value DESC, b.poll_ts) AS n
+              FROM s a JOIN s b ON b.operation = a.operation AND b.poll <= a.poll) WHERE n = 1""",
+        "running_peak_jobs": _R + """, u AS (SELECT DISTINCT poll, operation FROM r WHERE value > 0),
+            b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY poll, operation ORDER BY value DESC, job_id) AS n
+                  FROM r WHERE value > 0) WHERE n = 1)
+            SELECT poll, operation, job_id, value AS rate, poll_ts AS "timestamp" FROM (
+              SELECT u.poll, u.operation, b.job_id, b.value, b.poll_ts, row_number() OVER (
+                PARTITION BY u.poll, u.operation ORDER BY b.value DESC, b.poll_ts, b.job_id) AS n
+              FROM u JOIN b ON b.operation = u.operation AND b.poll <= u.poll) WHERE n = 1""",
         "filter_exclude": _OPS + f"NOT {_MATCH}",
         "filter_include": _OPS + _MATCH,
         "filter_exact": _OPS + f"job_id NOT IN ({EXACT})",

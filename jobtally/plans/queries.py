@@ -247,6 +247,17 @@ def peak_jobs(spark, sf):
     return peaks.peak_jobs(_rates(spark, sf)).selectExpr("operation", "job_id", "rate", entry, "timestamp")
 
 
+@query
+def running_peak_ops(spark, sf):
+    return peaks.running_peak_ops(shares.totals(_rates(spark, sf)))
+
+
+@query
+def running_peak_jobs(spark, sf):
+    """In chunks of four polls, so that most peaks are carried over edges."""
+    return peaks.running_peak_jobs(_rates(spark, sf), polls_per_chunk=4)
+
+
 # Filters.
 
 
