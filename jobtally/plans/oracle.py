@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from jobtally.functions.vocabulary import DEFAULT_OPERATIONS, LONG_BY_SHORT, LONG_NAMES, SHORT_BY_LONG
 from jobtally.plans.queries import END, IDS, JOB, PIVOT_OPS, START
+from jobtally.plans.report import DIFF_LABEL, RATE_LABEL, RATE_TOTAL_LABEL, TOTAL_LABEL
 
 KNOWN = ", ".join(f"'{name}'" for name in LONG_NAMES)
 NINE = ", ".join(f"'{name}'" for name in DEFAULT_OPERATIONS)
@@ -318,13 +319,20 @@ def oracle_sql() -> dict[str, str]:
         "short_ids": _with() + """SELECT DISTINCT job_id,
             CASE WHEN length(job_id) > 8 THEN concat(left(job_id, 5), '...') ELSE job_id END AS cut,
             rpad(concat(job_id, ':'), 17, ' ') AS padded FROM samples""",
-        "report_lines": _with(MERGED, TIMES, RATES) + _REPORT,
+        "report_lines": _with(MERGED, TIMES, RATES) + _report(5, RATE_LABEL, RATE_TOTAL_LABEL),
+        "report_diff": _with(MERGED, TIMES, "\nr AS " + _changes(DIFF)) + _report(3, DIFF_LABEL, TOTAL_LABEL),
     }
 
 
 _NUMBERS = "string_agg(concat(CASE operation {short} END, ': ', value), ', ' ORDER BY list_position([{names}], operation))".format(
     short=_SHORT, names=KNOWN
 )
+
+
+def _report(count: int, label: str, total: str) -> str:
+    return _REPORT.replace("<count>", str(count)).replace("<label>", label.format(count)).replace("<total>", total)
+
+
 _REPORT = f""",
 s AS (SELECT poll, count(DISTINCT job_id) AS jobs, count(DISTINCT host) AS servers,
         count(DISTINCT CASE WHEN param LIKE 'obdfilter.%' THEN concat(host, '|', param) END) AS osts,
@@ -333,7 +341,7 @@ h AS (SELECT p.poll, p.poll_ts, coalesce(s.jobs, 0) AS jobs, coalesce(s.servers,
         coalesce(s.mdts, 0) AS mdts FROM polls p JOIN s b ON b.poll = p.poll - 1 LEFT JOIN s ON s.poll = p.poll),
 j AS (SELECT poll, job_id, sampling_window, max(CASE WHEN operation = 'ops' THEN value END) AS ops, {_NUMBERS} AS numbers
         FROM r GROUP BY poll, job_id, sampling_window),
-tj AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY poll ORDER BY ops DESC, job_id) AS n FROM j WHERE ops > 1) WHERE n <= 5),
+tj AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY poll ORDER BY ops DESC, job_id) AS n FROM j WHERE ops > 1) WHERE n <= <count>),
 rt AS (SELECT poll, operation, CAST(sum(value) AS BIGINT) AS value FROM r GROUP BY poll, operation)
 SELECT poll, '---' AS line FROM h
 UNION ALL SELECT poll, concat('timestamp: ', poll_ts) FROM h
@@ -342,9 +350,9 @@ UNION ALL SELECT poll, concat('servers_queried: ', servers) FROM h
 UNION ALL SELECT poll, concat('osts_queried: ', osts) FROM h
 UNION ALL SELECT poll, concat('mdts_queried: ', mdts) FROM h
 UNION ALL SELECT poll, concat('total_jobs: ', jobs) FROM h
-UNION ALL SELECT poll, concat('top_5_job_operation_rates_during_query_windows:',
+UNION ALL SELECT poll, concat('<label>',
             CASE WHEN poll IN (SELECT poll FROM tj) THEN '' ELSE ' []' END) FROM h
 UNION ALL SELECT poll, concat('- ', rpad(concat(job_id, ':'), 17, ' '), ' {{', numbers, ', sw: ', sampling_window, '}}') FROM tj
-UNION ALL SELECT poll, 'total_rate_per_operation_during_query_window:' FROM h
+UNION ALL SELECT poll, '<total>' FROM h
 UNION ALL SELECT poll, concat('- ', rpad(concat(CASE operation {_SHORT} END, ':'), 10, ' '), ' {{rate: ', value, '}}') FROM rt
 UNION ALL SELECT poll, '...' FROM h"""

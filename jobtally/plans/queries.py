@@ -568,8 +568,16 @@ def short_ids(spark, sf):
     )
 
 
-@query
-def report_lines(spark, sf):
-    options = report.Options(mode="rate", total=True)
+def _report(spark: SparkSession, sf: str, options: report.Options) -> DataFrame:
     result = report.build(derived.samples(spark, sf), derived.polls(spark, sf), options)
     return report.lines(result, options).select("poll", "line")
+
+
+@query
+def report_lines(spark, sf):
+    return _report(spark, sf, report.Options(mode="rate", total=True))
+
+
+@query
+def report_diff(spark, sf):
+    return _report(spark, sf, report.Options(mode="diff", total=True, count=3))
