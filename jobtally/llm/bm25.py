@@ -30,7 +30,7 @@ from jobtally.llm import words as W
 from jobtally.llm.tables import buckets, inner, materialise
 
 K1, B = 1.2, 0.75
-SHARD, SLICE = 48_000_000, 4_000_000
+SHARD, SLICE = 16_000_000, 4_000_000
 BLOCK, LONG_LIST = 32, 48
 TERMS = 4_000_000
 SEED_SHARE = 16
@@ -133,7 +133,9 @@ class Index:
         self.ids, lengths = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["lengths"], np.int32)
         self.vocab, self.offsets = np.frombuffer(row["vocab"], np.uint64), np.frombuffer(row["offsets"], np.int64)
         self.docs, tf = np.frombuffer(row["docs"], np.int32), np.frombuffer(row["tfs"], np.int32)
-        self.part = tf * (K1 + 1) / (tf + (K1 * (1 - B) + K1 * B / max(mean, 1e-9) * lengths)[self.docs])
+        self.part = (K1 * (1 - B) + K1 * B / max(mean, 1e-9) * lengths)[self.docs]
+        self.part += tf
+        np.divide(tf * (K1 + 1), self.part, out=self.part)
         self.n, self.blocks = len(self.ids), -(-len(self.ids) // BLOCK)
         sizes = np.diff(self.offsets)
         long = np.flatnonzero(sizes >= LONG_LIST)
