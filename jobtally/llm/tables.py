@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -71,9 +70,3 @@ def fold(doc_id, modulus: int):
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def check_names(df: DataFrame, names: Sequence[str]) -> None:
-    missing = [name for name in names if name not in df.columns]
-    if missing:
-        raise ValueError(f"no columns {missing}")

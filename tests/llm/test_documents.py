@@ -100,7 +100,7 @@ def test_repeats(docs):
     assert found.select("host").distinct().collect()[0][0] == "own host"
 
 
-def test_repeats_over_many_slices(docs, monkeypatch):
+def test_repeats_of_shorter_windows(docs):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     got = repeats.remove_repeats(docs, window=7, block=4).select("doc_id", "__n_words", "__n_removed", "__kept").collect()
     assert sorted(map(tuple, got), key=repr) == brute_repeats(rows, 7)
