@@ -323,7 +323,7 @@ def test_class_probabilities_sum_to_one(spark, docs):
     dealt = slices.mapInArrow(lambda b: classlm._deal(b, 4), "bucket int, slice long, vocab binary, rules binary, counts binary")
 
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return classlm._count(key, rows, 31)
+        return classlm._count(key, rows, 30)
 
     counted = dealt.groupBy("bucket").applyInPandas(count, classlm.COUNTED)
     model = classlm.fit(slices, counted, 30, 4, 9)
