@@ -1,10 +1,9 @@
 """Quality rules: counts within a document, and lines that too many documents of a host share.
 
 A line is normalised by lower-casing A-Z and ignoring the kind and amount of white space. For each host (``source``)
-and line the *different* documents that hold it are counted: copies of one document count once. To tell documents
-apart by a few bytes, each is known to a line by the smallest hash of its other lines, so copies that differ in a few
-lines mostly count once, too. Lines in more documents than ``share`` of the host's different documents, and in more
-than ``least``, are removed. A document is depleted when fewer than ``min_words`` words or less than ``min_left`` of
+and line the *different* documents that hold it are counted: copies of one document count once, and documents differ
+when any byte does. Lines in more documents than ``share`` of the host's different documents, and in more than
+``least``, are removed. A document is depleted when fewer than ``min_words`` words or less than ``min_left`` of
 its words remain.
 
 Odd input: a null text is empty, a null host is a host of its own, null and repeated ids are judged row by row, other
@@ -32,7 +31,7 @@ _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-SCHEMA = "doc_id long, host string, digest long, " + ", ".join(f"{c} long" for c in COUNTS) + ", lines array<struct<h:long,sketch:long,words:int>>"
+SCHEMA = "doc_id long, host string, digest long, " + ", ".join(f"{c} long" for c in COUNTS) + ", lines array<struct<h:long,words:int>>"
 
 
 @dataclass(frozen=True)
@@ -96,13 +95,7 @@ def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
     h, owner = h[group], owner[group]
     lines = np.bincount(owner, minlength=n)
     edge = np.concatenate([[0], np.cumsum(lines)])
-    rank = np.arange(len(h)) - edge[owner]
-    smallest = np.zeros(n + 1, np.uint64)
-    second = np.zeros(n + 1, np.uint64)
-    smallest[owner[rank == 0]] = h[rank == 0]
-    second[owner[rank == 1]] = h[rank == 1]
-    sketch = np.where(rank == 0, second[owner], smallest[owner])
-    items = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(sketch.view(np.int64)), pa.array(total.astype(np.int32))], ["h", "sketch", "words"])
+    items = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(total.astype(np.int32))], ["h", "words"])
     counts = [w.counts, word_chars, n_symbols, n_dup, n_repeat]
     return pa.RecordBatch.from_arrays(
         [batch.column("doc_id"), batch.column("host"), batch.column("digest"), *[pa.array(c.astype(np.int64)) for c in counts], pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), items)],
@@ -123,7 +116,7 @@ def base_failed() -> Column:
 def frequent_lines(features: DataFrame, limits: Limits) -> DataFrame:
     """Host and line of every line above the limits, with the number of different documents."""
     hosts = features.select("host", "digest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
-    lines = features.select("host", F.explode("lines").alias("line")).select("host", "line.h", "line.sketch")
+    lines = features.select("host", "digest", F.explode("lines").alias("line")).select("host", "line.h", "digest")
     held = lines.distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("held_by")).where(F.col("held_by") > limits.least)
     return held.join(hosts, "host").where(F.col("held_by") > limits.share * F.col("documents")).select("host", "h", "held_by")
 

@@ -14,6 +14,7 @@ import xxhash
 
 from llm.conftest import CLASHES, lower, split
 from jobtally.llm import bm25, bytebpe, classlm, packing, private, quality, repeats, simhash
+from jobtally.llm.tables import importable
 
 BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -69,6 +70,17 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(boilerplate):
     assert 50 not in cleaned and "footer" in cleaned[200] and cleaned[3] == " ".join(f"own3w{i}" for i in range(12)) + "\n"
 
 
+def test_lines_of_a_template_go_however_many_it_has(spark):
+    importable(spark)
+    template = [f"menu entry{i}" for i in range(40)]
+    own = [" ".join(f"own{k}w{i}" for i in range(30)) for k in range(300)]
+    rows = [(k, "\n".join([*template[:10], own[k], *template[10:]]), "h") for k in range(300)]
+    verdicts = listed(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert all(r["kept"] and r["removed_words"] == 80 for r in verdicts)
+    cleaned = listed(quality.clean(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert all(r["text"].strip() == own[r["doc_id"]] for r in cleaned) and len(cleaned) == 300
+
+
 # Substring dedup.
 
 
