@@ -81,6 +81,19 @@ def test_main_text(pages, shard, monkeypatch):
     assert hostpages.main_text(pages.where("page_id < 0")).collect() == []
 
 
+@pytest.mark.parametrize("shard", [hostpages.SHARD, 5])
+def test_a_host_is_judged_as_a_whole(pages, spark, shard, monkeypatch):
+    """Whatever the shards, and however often a row is repeated."""
+    monkeypatch.setattr(hostpages, "SHARD", shard)
+    copies = spark.createDataFrame([(None, None, "<p>just some text that is the same each time it is read</p>", "own")] * 40, pages.schema)
+    found = hostpages.main_text(pages.unionByName(copies)).collect()
+    texts = {r.page_id: r.text for r in found if r.page_id is not None}
+    assert len(found) == pages.count() + 40
+    for k in range(12):
+        assert texts[k] == " ".join(f"word{k}x{i}" for i in range(30))
+    assert sum(r.text.startswith("just some text") for r in found) == 40
+
+
 # Toxicity.
 
 
