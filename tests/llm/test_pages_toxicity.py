@@ -94,6 +94,14 @@ def test_a_host_is_judged_as_a_whole(pages, spark, shard, monkeypatch):
     assert sum(r.text.startswith("just some text") for r in found) == 40
 
 
+def test_a_notice_on_many_pages_goes_however_large_the_host(spark):
+    importable(spark)
+    notice = "<div>Our invented office is closed for all of the coming week</div>"
+    rows = [(k, f"https://large.example.org/{k}", (notice if k % 6 == 0 else "") + "<p>" + " ".join(f"word{k}x{i}" for i in range(9)) + "</p>") for k in range(2000)]
+    found = hostpages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in found) == [(k, " ".join(f"word{k}x{i}" for i in range(9))) for k in range(2000)]
+
+
 # Toxicity.
 
 
