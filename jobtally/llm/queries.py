@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobtally.llm import bm25, bytebpe, classlm, hostpages, packing, private, quality, repeats, simhash, toxicity
+from jobtally.llm import bm25, bytebpe, centroids, classlm, hostpages, mixing, packing, private, quality, repeats, simhash, spelling, toxicity
 from jobtally.llm.tables import documents, importable
 
 
@@ -58,6 +58,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict.select("doc_id", *quality.COUNTS, "base_failed", "kept", "removed_words")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return centroids.with_inertia(found)
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.copies(documents(spark, sf_dir))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "op1_toxicity": op1_toxicity,
@@ -70,6 +84,9 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_class_lm": op8_class_lm,
         "op9_packing": op9_packing,
         "op10_quality_rules": op10_quality_rules,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_centroid_clustering": op12_centroid_clustering,
+        "op13_source_mixing": op13_source_mixing,
     }
 
     def ready(query):
