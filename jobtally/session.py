@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -14,6 +18,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
+    STATE_STORE: ROCKSDB,
 }
 
 
@@ -49,3 +54,12 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="jobtally-"))
     return context.getCheckpointDir()
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where it lies; clusters ship it with ``--py-files``."""
+    root = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    paths = [path for path in environment.get("PYTHONPATH", "").split(os.pathsep) if path]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])

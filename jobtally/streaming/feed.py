@@ -4,6 +4,8 @@ Blocks of a poll may arrive in several files, so polls are merged behind a
 watermark. Rates need the poll just before: each micro-batch stores the rows of
 its last poll as a small table under the checkpoint, and the next batch reads
 it. A batch that is run again after a failure reads and writes the same tables.
+With ``keyed`` state the last counters of each job stay in the state store
+instead, and a batch stores no more than the time of its last poll.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from jobtally.functions.layout import JobIdLayout
-from jobtally.operators import merge, peaks, rates, shares
+from jobtally.operators import merge, peaks, rates, shares, skew
 from jobtally.sinks.peaks import write_peaks
 from jobtally.sinks.points import fan_out, must
 from jobtally.sources.dumps import parse_job_stats
 from jobtally.sources.raw_log import stream_raw_log
+from jobtally.streaming import state as keyed_state
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -48,10 +51,21 @@ class RateFeed:
     checkpoint. ``failed`` holds the sinks that failed in the latest batch. A
     failure ends the batch, after all sinks had their turn, so that it is run
     again: sinks keyed by batch take a repeat. With ``go_on`` failures are only
-    logged and the rows are lost to that sink.
+    logged and the rows are lost to that sink. ``counters`` are sinks for the
+    merged polls themselves, which need no second pass over the logs.
     """
 
-    def __init__(self, state: str, sinks: Mapping[str, Sink], mode: str = "rate", go_on: bool = False):
+    def __init__(
+        self,
+        state: str,
+        sinks: Mapping[str, Sink],
+        mode: str = "rate",
+        go_on: bool = False,
+        counters: Mapping[str, Sink] | None = None,
+    ):
+        self.counters = dict(counters or {})
+        if shared := self.counters.keys() & sinks.keys():
+            raise ValueError(f"sinks of rates and of counters share the names {sorted(shared)}")
         self.go_on = go_on
         self.state = state.rstrip("/")
         self.sinks = sinks
@@ -87,16 +101,20 @@ class RateFeed:
             register = merge.poll_register(rows)
             numbered = merge.with_poll_numbers(rows.drop("poll_time").where("job_id IS NOT NULL"), register)
             changed = rates.job_rates(numbered, self.mode)
-            self.failed = fan_out(
-                changed, {name: (lambda df, sink=sink: sink(df, batch_id)) for name, sink in self.sinks.items()}
-            )
-            if not self.go_on:
-                must(self.failed)
+            self._give(changed, batch.where("job_id IS NOT NULL") if self.counters else None, batch_id)
             last = rows.select(F.max("poll_ts")).scalar()
             self._store(rows.where(F.col("poll_ts") == last), batch_id)
         finally:
             rows.unpersist()
 
+    def _give(self, changed: DataFrame, counters: DataFrame | None, batch_id: int) -> None:
+        bound = lambda sinks: {name: (lambda df, sink=sink: sink(df, batch_id)) for name, sink in sinks.items()}
+        self.failed = fan_out(changed, bound(self.sinks))
+        if counters is not None:
+            self.failed |= fan_out(counters, bound(self.counters))
+        if not self.go_on:
+            must(self.failed)
+
     def reset(self, spark: SparkSession, batch_id: int) -> None:
         """Forget the reference, so that ``batch_id`` starts over."""
         before = self.reference(spark, batch_id)
@@ -104,6 +122,50 @@ class RateFeed:
             self._store(spark.createDataFrame([], before.schema), batch_id - 1)
 
 
+def adjacent(changes: DataFrame, polls: DataFrame) -> DataFrame:
+    """Rates from rows of ``job_changes``: those since the poll just before, of all polls in ``polls`` (poll_ts)."""
+    register = merge.poll_register(polls)
+    before = register.select((F.col("poll") + 1).alias("poll"), F.col("poll_ts").alias("since"))
+    pairs = register.join(before, "poll")
+    found = changes.where("sampling_window > 0 AND job_id IS NOT NULL").drop("poll_time")
+    rated = skew.salted_join(found, pairs, ["poll_ts", "since"], "job_id")
+    names = merge.operation_columns(changes)
+    return rated.select("poll", "poll_ts", "job_id", "sampling_window", "query_duration", *names)
+
+
+class KeyedRateFeed(RateFeed):
+    """Turns a stream of ``state.job_changes`` into rates, for ``foreachBatch``.
+
+    The counters of the poll before are in the state of each job, so a batch
+    reads one row from its predecessor: the time of the last poll.
+    """
+
+    def has_reference(self, spark: SparkSession, batch_id: int) -> bool:
+        before = self.reference(spark, batch_id)
+        return before is not None and not before.isEmpty()
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        before = self.reference(batch.sparkSession, batch_id)
+        changes = batch.persist()
+        try:
+            polls = changes.select("poll_ts").distinct()
+            polls = polls if before is None else polls.unionByName(before)
+            self._give(adjacent(changes, polls), None, batch_id)
+            self._store(polls.agg(F.max("poll_ts").alias("poll_ts")).where("poll_ts IS NOT NULL"), batch_id)
+        finally:
+            changes.unpersist()
+
+
+def point_stream(merged: DataFrame) -> DataFrame:
+    """Merged polls of a stream as points that keep their event time.
+
+    Rows of empty polls have no values. A filter on the job would be pushed below
+    the watermark, which then would not see those polls.
+    """
+    points = merge.to_long(merged)
+    return points.select("poll_time", F.col("poll_ts").alias("timestamp"), "job_id", "operation", "value")
+
+
 def batch_table(path: str) -> Sink:
     """A sink that keeps each batch in its own folder, replaced on a re-run."""
     return lambda df, batch_id: df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
@@ -163,8 +225,13 @@ def live_rates(
     layout: JobIdLayout | None = None,
     groupby: str = "none",
     include_bytes: bool = False,
+    counters: Mapping[str, Sink] | None = None,
+    keyed: bool = False,
 ) -> StreamingQuery:
-    """Start the whole live view: logs in a folder to rates in every sink.
+    """Start the whole live view: logs in a folder to rates in every sink, and merged polls in those of ``counters``.
+
+    ``keyed`` keeps the last counters of each job in the state store; counters
+    then have no sinks, as the stream holds changes only.
 
     Checkpoint and reference polls are kept below ``base``, a folder that every
     executor and a restarted driver can reach, so that the latter goes on where
@@ -174,7 +241,36 @@ def live_rates(
     if not base:
         raise ValueError("live rates need a folder for their checkpoint")
     merged = stream_merge(stream_raw_log(spark, folder), delay, layout, groupby, include_bytes)
-    return writer(merged, RateFeed(f"{base}/reference", sinks, mode), f"{base}/checkpoint", interval).start()
+    if keyed and counters:
+        raise ValueError("a keyed feed has no counters to give")
+    if keyed:
+        merged = keyed_state.job_changes(merged, mode)
+        batch: Sink = KeyedRateFeed(f"{base}/reference", sinks, mode)
+    else:
+        batch = RateFeed(f"{base}/reference", sinks, mode, counters=counters)
+    return writer(merged, batch, f"{base}/checkpoint", interval).start()
+
+
+def live_series(
+    spark: SparkSession,
+    folder: str,
+    base: str,
+    gone: Sink,
+    window: int = 300,
+    count: int = 1000,
+    delay: str = "30 seconds",
+    interval: int | None = 10,
+    layout: JobIdLayout | None = None,
+    groupby: str = "none",
+) -> StreamingQuery:
+    """Start a view of the newest points of each series: ``count`` at most, none older than twice the ``window``.
+
+    ``state.held`` reads what it holds from the checkpoint below ``base``; what
+    leaves goes to ``gone``.
+    """
+    base = base.rstrip("/")
+    points = point_stream(stream_merge(stream_raw_log(spark, folder), delay, layout, groupby))
+    return writer(keyed_state.retain(points, count, 2 * window), gone, f"{base}/checkpoint", interval).start()
 
 
 def repeats_needed(repeats: int, mode: str) -> int:
