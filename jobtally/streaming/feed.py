@@ -20,7 +20,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from jobtally.functions.layout import JobIdLayout
 from jobtally.operators import merge, peaks, rates, shares, skew
-from jobtally.sinks.peaks import write_peaks
+from jobtally.sinks.peaks import PeakStore
 from jobtally.sinks.points import fan_out, must
 from jobtally.sources.dumps import parse_job_stats
 from jobtally.sources.raw_log import stream_raw_log
@@ -171,11 +171,12 @@ def batch_table(path: str) -> Sink:
     return lambda df, batch_id: df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def peak_store(path: str) -> Sink:
-    """A sink that keeps all-time peaks of the rates."""
+def peak_store(path: str, fold_every: int = 20) -> Sink:
+    """A sink that keeps all-time peaks of the rates, read by ``PeakStore(path).read``."""
+    store = PeakStore(path, fold_every)
 
     def write(rate_table: DataFrame, batch_id: int) -> None:
-        write_peaks(peaks.peak_ops(shares.totals(rate_table)), peaks.peak_jobs(rate_table), path)
+        store.add(peaks.peak_ops(shares.totals(rate_table)), peaks.peak_jobs(rate_table), batch_id)
 
     return write
 

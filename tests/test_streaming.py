@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from jobtally.functions.layout import JobIdLayout
 from jobtally.operators import merge, rates
 from jobtally.session import shared_dir
+from jobtally.sinks.peaks import PeakStore
 from jobtally.sinks.points import SinksFailed, write_points_parquet
 from jobtally.sources.dumps import parse_job_stats
-from jobtally.sources.peaks import load_peaks
 from jobtally.sources.points import load_points
 from jobtally.sources.raw_log import read_raw_log, stream_raw_log
 from jobtally.streaming import feed
@@ -78,7 +78,7 @@ def test_stream_rates_equal_batch_rates(spark, rows, logs, tmp_path):
     (logs / "999-0.raw").write_text(framed("oss0", "p", "2024-01-01T00:05:00+00:00", "job_stats:\n"))
     run(spark, logs, sinks, base)
     assert rows(spark.read.parquet(out), *COLUMNS) == rows(expected, *COLUMNS)
-    ops, jobs = load_peaks(spark, f"{base}/peaks")
+    ops, jobs = PeakStore(f"{base}/peaks").read(spark)
     best = rows(expected.groupBy("poll_ts").agg(F.sum("open").alias("v")).agg(F.max("v")))[0][0]
     assert rows(ops.where("operation = 'open'"), "rate") == [(best,)]
     assert jobs.where("operation = 'open'").count() == 1
