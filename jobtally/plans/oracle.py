@@ -291,9 +291,8 @@ def oracle_sql() -> dict[str, str]:
             FROM (VALUES {NINE_ROWS}) n(operation) LEFT JOIN lr ON lr.operation = n.operation""",
         "cap_series": _M + """SELECT "timestamp", job_id, operation, value FROM (SELECT *, row_number() OVER (
             PARTITION BY job_id, operation ORDER BY "timestamp" DESC) AS n FROM points) WHERE n <= 10""",
-        "state_at": _M + f"""SELECT job_id, operation, value FROM (SELECT *, row_number() OVER (
-            PARTITION BY job_id, operation ORDER BY "timestamp" DESC) AS n FROM points
-            WHERE "timestamp" <= {START + 155}) WHERE n = 1""",
+        "state_at": _M + _STATE,
+        "state_at_snapshots": _M + _STATE,
         "replay_intervals": _M + """SELECT job_id, operation, "timestamp" AS "from", lead("timestamp") OVER (
             PARTITION BY job_id, operation ORDER BY "timestamp") AS "to", value FROM points""",
         "replay_frames": _M + _FRAMES,
@@ -333,6 +332,10 @@ def _report(count: int, label: str, total: str) -> str:
     return _REPORT.replace("<count>", str(count)).replace("<label>", label.format(count)).replace("<total>", total)
 
 
+_STATE = f"""SELECT job_id, operation, value FROM (SELECT *, row_number() OVER (
+            PARTITION BY job_id, operation ORDER BY "timestamp" DESC) AS n FROM points
+            WHERE "timestamp" <= {START + 155}) WHERE n = 1"""
+
 _REPORT = f""",
 s AS (SELECT poll, count(DISTINCT job_id) AS jobs, count(DISTINCT host) AS servers,
         count(DISTINCT CASE WHEN param LIKE 'obdfilter.%' THEN concat(host, '|', param) END) AS osts,

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtally.functions import display, formats, vocabulary
-from jobtally.operators import bars, filters, merge, peaks, rates, replay, series, shares, topn
+from jobtally.operators import bars, filters, merge, peaks, rates, replay, series, shares, snapshots, topn
 from jobtally.plans import derived, report
+from jobtally.session import shared_dir
 from jobtally.sinks.points import victoriametrics_lines
 from jobtally.sources import dumps, raw_log
 
@@ -492,6 +494,19 @@ def state_at(spark, sf):
     return replay.state_at(_points(spark, sf), START + 155).select("job_id", "operation", "value")
 
 
+@query
+def state_at_snapshots(spark, sf):
+    """``state_at`` from stored states of a minute each, the last minutes taken in again."""
+    points = _points(spark, sf).persist()
+    try:
+        store = snapshots.SnapshotStore(spark, f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}", 60)
+        store.replace(points.where(F.col("timestamp") < START + 180))
+        store.replace(points.where(F.col("timestamp") >= START + 120))
+    finally:
+        points.unpersist()
+    return store.state_at(START + 155).select("job_id", "operation", "value")
+
+
 @query
 def replay_intervals(spark, sf):
     return replay.replay_intervals(_points(spark, sf))
