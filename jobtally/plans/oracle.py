@@ -157,6 +157,7 @@ def oracle_sql() -> dict[str, str]:
             CASE left(job_id, 4) WHEN 'exe1' THEN concat('4K=1,8K=', samples) ELSE '' END AS buckets FROM samples""",
         "parse_flat_blocks": _M + "SELECT * FROM points",
         "raw_log_frames": _with(BYTES) + "SELECT poll_ts, host, param, job_id, operation, samples FROM sb",
+        "parse_large_dumps": _with(BYTES) + "SELECT poll_ts, host, param, job_id, operation, samples FROM sb",
         "rates_from_raw_log": _R
         + "SELECT poll, job_id, operation, value FROM r",
         "poll_register": _with() + """SELECT CAST(row_number() OVER (ORDER BY poll_ts) - 1 AS BIGINT) AS poll, poll_ts

@@ -12,8 +12,8 @@ from jobtally.functions import display, formats, vocabulary
 from jobtally.operators import bars, filters, merge, peaks, rates, replay, series, shares, snapshots, topn
 from jobtally.plans import derived, report
 from jobtally.session import shared_dir
-from jobtally.sinks.points import victoriametrics_lines
-from jobtally.sources import dumps, raw_log
+from jobtally.sinks.points import victoriametrics_lines, write_raw_log
+from jobtally.sources import dumps, large_dumps, raw_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,6 +103,15 @@ def raw_log_frames(spark, sf):
     return parsed.select("poll_ts", "host", "param", "job_id", "operation", "samples")
 
 
+@query
+def parse_large_dumps(spark, sf):
+    """Dumps written as logs and read again, cut at their jobs instead of their blocks."""
+    folder = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    write_raw_log(derived.dumps(spark, sf), folder)
+    parsed = dumps.parse_job_stats(large_dumps.read_large_logs(spark, folder))
+    return parsed.select("poll_ts", "host", "param", "job_id", "operation", "samples")
+
+
 @query
 def rates_from_raw_log(spark, sf):
     blocks = derived.dumps(spark, sf)
