@@ -12,6 +12,14 @@ from jobtally.sinks.peaks import PeakStore
 OPS = ["open", "close", "read"]
 
 
+@pytest.fixture(scope="module")
+def spark(spark):
+    """Few partitions: batches are small here and many."""
+    few = spark.newSession()
+    few.conf.set("spark.sql.shuffle.partitions", "2")
+    return few
+
+
 def batch(spark, batch_id):
     """The peaks a batch found; later batches are sometimes better."""
     rng = random.Random(batch_id)
