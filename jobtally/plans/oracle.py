@@ -292,6 +292,8 @@ def oracle_sql() -> dict[str, str]:
             FROM (VALUES {NINE_ROWS}) n(operation) LEFT JOIN lr ON lr.operation = n.operation""",
         "cap_series": _M + """SELECT "timestamp", job_id, operation, value FROM (SELECT *, row_number() OVER (
             PARTITION BY job_id, operation ORDER BY "timestamp" DESC) AS n FROM points) WHERE n <= 10""",
+        "filter_many_patterns": _M + _PATTERNS.format("NOT"),
+        "keep_many_patterns": _M + _PATTERNS.format(""),
         "state_at": _M + _STATE,
         "state_at_snapshots": _M + _STATE,
         "replay_intervals": _M + """SELECT job_id, operation, "timestamp" AS "from", lead("timestamp") OVER (
@@ -333,6 +335,13 @@ def _report(count: int, label: str, total: str) -> str:
     return _REPORT.replace("<count>", str(count)).replace("<label>", label.format(count)).replace("<total>", total)
 
 
+_PATTERNS = """SELECT poll, job_id, operation, value FROM o WHERE job_id {} IN (
+            SELECT DISTINCT job_id FROM (SELECT DISTINCT job_id FROM o) j JOIN (
+              SELECT concat('.n', user_id) AS p FROM events WHERE user_id % 9 = 2
+              UNION SELECT concat(user_id % 25, '.n', user_id % 7) FROM events WHERE user_id % 13 = 5
+              UNION SELECT concat('n', user_id, '.') FROM events WHERE user_id % 50 = 7
+              UNION SELECT 'n99' FROM events WHERE user_id = 8) ON contains(job_id, p))"""
+
 _STATE = f"""SELECT job_id, operation, value FROM (SELECT *, row_number() OVER (
             PARTITION BY job_id, operation ORDER BY "timestamp" DESC) AS n FROM points
             WHERE "timestamp" <= {START + 155}) WHERE n = 1"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtally.functions import display, formats, vocabulary
-from jobtally.operators import bars, filters, merge, peaks, rates, replay, series, shares, snapshots, topn
+from jobtally.operators import bars, filters, merge, patterns, peaks, rates, replay, series, shares, snapshots, topn
 from jobtally.plans import derived, report
 from jobtally.session import shared_dir
 from jobtally.sinks.points import victoriametrics_lines, write_raw_log
@@ -272,6 +272,25 @@ def running_peak_jobs(spark, sf):
 # Filters.
 
 
+def _patterns(spark, sf):
+    """Ends, beginnings and middles of some ids, one of three characters and some that match nothing."""
+    users = derived.events(spark, sf).select("user_id").distinct()
+    each = """array(if(user_id % 9 = 2, concat('.n', user_id), NULL), if(user_id % 13 = 5, concat(user_id % 25, '.n', user_id % 7), NULL),
+              if(user_id % 50 = 7, concat('n', user_id, '.'), NULL), if(user_id = 8, 'n99', NULL))"""
+    return users.select(F.explode(F.expr(each)).alias("pattern"))
+
+
+@query
+def filter_many_patterns(spark, sf):
+    """Drops jobs by a table of patterns."""
+    return _ops(patterns.filter_jobs_by(_job_ops(spark, sf), _patterns(spark, sf)))
+
+
+@query
+def keep_many_patterns(spark, sf):
+    return _ops(patterns.filter_jobs_by(_job_ops(spark, sf), _patterns(spark, sf), invert=True))
+
+
 @query
 def filter_exclude(spark, sf):
     return _ops(filters.filter_jobs(_job_ops(spark, sf), PATTERNS))
