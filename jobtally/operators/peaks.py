@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobtally.functions.vocabulary import LONG_NAMES
 from jobtally.operators.merge import operation_columns
 from jobtally.operators.rates import POLLS_PER_CHUNK
 from jobtally.operators.skew import first_by
@@ -94,19 +95,36 @@ def _running(best: DataFrame, polls_per_chunk: int) -> DataFrame:
     return within.join(carried, ["operation", "_chunk"]).select("poll", "operation", F.least("best", "_carried").alias("best"))
 
 
-def running_peak_ops(totals: DataFrame, polls_per_chunk: int = POLLS_PER_CHUNK) -> DataFrame:
-    """``peak_ops`` as it stood after each poll in which the operation has a total."""
+def _at_polls(best: DataFrame, polls: DataFrame | None, names: list[str]) -> DataFrame:
+    """Rows for every one of ``polls`` and operation, with a null where there is no value; as they are without polls."""
+    if polls is None:
+        return best
+    every = polls.select("poll", F.explode(F.array(*[F.lit(name) for name in names])).alias("operation"))
+    return every.join(best, ["poll", "operation"], "left")
+
+
+def running_peak_ops(totals: DataFrame, polls_per_chunk: int = POLLS_PER_CHUNK, polls: DataFrame | None = None) -> DataFrame:
+    """``peak_ops`` as it stood after each poll in which the operation has a total, or after each of ``polls``."""
     best = totals.selectExpr("poll", "operation", "struct(-value AS loss, poll_ts AS timestamp) AS best")
-    return _running(best, polls_per_chunk).selectExpr("poll", "operation", "-best.loss AS rate", "best.timestamp AS timestamp")
+    found = _running(_at_polls(best, polls, LONG_NAMES), polls_per_chunk).where("best IS NOT NULL")
+    return found.selectExpr("poll", "operation", "-best.loss AS rate", "best.timestamp AS timestamp")
 
 
-def running_peak_jobs(table: DataFrame, polls_per_chunk: int = POLLS_PER_CHUNK) -> DataFrame:
-    """The best job of each operation as it stood after each poll in which a job used the operation."""
+def running_peak_jobs(
+    table: DataFrame, polls_per_chunk: int = POLLS_PER_CHUNK, polls: DataFrame | None = None, vectors: bool = False
+) -> DataFrame:
+    """The best job of each operation as it stood after each poll in which a job used the operation, or each of ``polls``.
+
+    With ``vectors`` all values that job had then are given, too, as the map ``ops``.
+    """
     names = operation_columns(table)
+    held = f", struct({', '.join(names)}) AS vector" if vectors else ""
     leaders = table.groupBy("poll").agg(
-        *[F.expr(f"min(CASE WHEN {name} > 0 THEN struct(-{name} AS loss, poll_ts AS timestamp, job_id) END) AS {name}") for name in names]
+        *[F.expr(f"min(CASE WHEN {name} > 0 THEN struct(-{name} AS loss, poll_ts AS timestamp, job_id{held}) END) AS {name}") for name in names]
     )
     best = leaders.unpivot("poll", names, "operation", "best").where("best IS NOT NULL")
-    return _running(best, polls_per_chunk).selectExpr(
-        "poll", "operation", "best.job_id AS job_id", "-best.loss AS rate", "best.timestamp AS timestamp"
+    pairs = ", ".join(f"'{name}', best.vector.{name}" for name in names)
+    ops = [f"map_filter(map({pairs}), (k, v) -> v IS NOT NULL) AS ops"] if vectors else []
+    return _running(_at_polls(best, polls, names), polls_per_chunk).where("best IS NOT NULL").selectExpr(
+        "poll", "operation", "best.job_id AS job_id", "-best.loss AS rate", *ops, "best.timestamp AS timestamp"
     )

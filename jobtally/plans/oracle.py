@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from jobtally.functions.vocabulary import DEFAULT_OPERATIONS, LONG_BY_SHORT, LONG_NAMES, SHORT_BY_LONG
 from jobtally.plans.queries import END, IDS, JOB, PIVOT_OPS, START
-from jobtally.plans.report import DIFF_LABEL, RATE_LABEL, RATE_TOTAL_LABEL, TOTAL_LABEL
+from jobtally.plans.report import DIFF_LABEL, PEAK_JOBS_LABEL, PEAK_OPS_LABEL, RATE_LABEL, RATE_TOTAL_LABEL, TOTAL_LABEL
 
 KNOWN = ", ".join(f"'{name}'" for name in LONG_NAMES)
 NINE = ", ".join(f"'{name}'" for name in DEFAULT_OPERATIONS)
@@ -322,6 +322,7 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN length(job_id) > 8 THEN concat(left(job_id, 5), '...') ELSE job_id END AS cut,
             rpad(concat(job_id, ':'), 17, ' ') AS padded FROM samples""",
         "report_lines": _with(MERGED, TIMES, RATES) + _report(5, RATE_LABEL, RATE_TOTAL_LABEL),
+        "report_peaks": _with(MERGED, TIMES, RATES) + _report(5, RATE_LABEL, RATE_TOTAL_LABEL).replace(",\nrt AS", _PEAK_TABLES + ",\nrt AS") + _PEAK_LINES,
         "report_diff": _with(MERGED, TIMES, "\nr AS " + _changes(DIFF)) + _report(3, DIFF_LABEL, TOTAL_LABEL),
     }
 
@@ -342,6 +343,23 @@ _PATTERNS = """SELECT poll, job_id, operation, value FROM o WHERE job_id {} IN (
               UNION SELECT concat('n', user_id, '.') FROM events WHERE user_id % 50 = 7
               UNION SELECT 'n99' FROM events WHERE user_id = 8) ON contains(job_id, p))"""
 
+_PEAK_TABLES = f""",
+po AS (SELECT * FROM (SELECT h.poll, t.operation, t.value, t.poll_ts, row_number() OVER (PARTITION BY h.poll, t.operation ORDER BY t.value DESC, t.poll_ts) AS n
+        FROM h JOIN (SELECT poll, poll_ts, operation, CAST(sum(value) AS BIGINT) AS value FROM r WHERE operation IN ({KNOWN}) GROUP BY ALL) t ON t.poll <= h.poll) WHERE n = 1),
+pb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY poll, operation ORDER BY value DESC, job_id) AS n
+        FROM r WHERE value > 0 AND operation IN ({KNOWN})) WHERE n = 1),
+pj AS (SELECT * FROM (SELECT h.poll, b.operation, b.job_id, b.poll AS best, b.poll_ts, row_number() OVER (
+        PARTITION BY h.poll, b.operation ORDER BY b.value DESC, b.poll_ts, b.job_id) AS n FROM h JOIN pb b ON b.poll <= h.poll) WHERE n = 1),
+pv AS (SELECT poll, job_id, string_agg(concat(CASE operation {_SHORT} END, ': ', value), ', ' ORDER BY value DESC, operation) AS numbers
+        FROM r WHERE operation IN ({KNOWN}) GROUP BY poll, job_id)"""
+
+_PEAK_LINES = f"""
+UNION ALL SELECT poll, '{PEAK_OPS_LABEL}' FROM h
+UNION ALL SELECT poll, '{PEAK_JOBS_LABEL}' FROM h
+UNION ALL SELECT poll, concat('- ', rpad(concat(CASE operation {_SHORT} END, ':'), 10, ' '), ' {{rate: ', rpad(concat(value, ','), 10, ' '), ' ts: ', poll_ts, '}}') FROM po
+UNION ALL SELECT pj.poll, concat('- ', rpad(concat(CASE operation {_SHORT} END, ':'), 10, ' '), ' {{', numbers, ', ts: ', poll_ts, ', job_id: ', pj.job_id, '}}')
+  FROM pj JOIN pv ON pv.poll = pj.best AND pv.job_id = pj.job_id"""
+
 _STATE = f"""SELECT job_id, operation, value FROM (SELECT *, row_number() OVER (
             PARTITION BY job_id, operation ORDER BY "timestamp" DESC) AS n FROM points
             WHERE "timestamp" <= {START + 155}) WHERE n = 1"""

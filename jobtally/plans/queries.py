@@ -621,6 +621,12 @@ def report_lines(spark, sf):
     return _report(spark, sf, report.Options(mode="rate", total=True))
 
 
+@query
+def report_peaks(spark, sf):
+    """With the peaks as they stood after each poll."""
+    return _report(spark, sf, report.Options(peaks=True))
+
+
 @query
 def report_diff(spark, sf):
     return _report(spark, sf, report.Options(mode="diff", total=True, count=3))

@@ -68,13 +68,18 @@ class Options:
 
 @dataclass(frozen=True)
 class Result:
-    """The tables of a report. ``shown`` is None unless totals were asked for."""
+    """The tables of a report; totals and peaks are None unless asked for.
+
+    ``peak_ops`` and ``peak_jobs`` are those of all polls, the running ones as they stood after each poll of the report.
+    """
 
     summary: DataFrame
     top: DataFrame
     totals: DataFrame | None
     peak_ops: DataFrame | None
     peak_jobs: DataFrame | None
+    running_ops: DataFrame | None = None
+    running_jobs: DataFrame | None = None
 
 
 def build(samples: DataFrame, polls: DataFrame, options: Options, layout: JobIdLayout | None = None) -> Result:
@@ -98,9 +103,15 @@ def build(samples: DataFrame, polls: DataFrame, options: Options, layout: JobIdL
         totals,
         peaks.peak_ops(totals) if options.peaks else None,
         peaks.peak_jobs(table) if options.peaks else None,
+        _shown(peaks.running_peak_ops(totals, polls=polls), summary) if options.peaks else None,
+        _shown(peaks.running_peak_jobs(table, polls=polls, vectors=True), summary) if options.peaks else None,
     )
 
 
+def _shown(running: DataFrame, summary: DataFrame) -> DataFrame:
+    return running.join(summary.select("poll"), "poll", "left_semi")
+
+
 def _numbers(names: list[str], fullname: bool) -> Column:
     """``op: n`` of every operation present, in vocabulary order, bytes left out."""
     cells = [
@@ -123,7 +134,6 @@ def _with_label(df: DataFrame, fullname: bool) -> DataFrame:
 
 def lines(result: Result, options: Options) -> DataFrame:
     """The report as rows (poll, part, pos, line), to be ordered by these."""
-    ends_here = not options.total
     known = merge.operation_columns(result.top)
     filled = result.top.groupBy("poll").agg(F.count("*").alias("_shown"))
     facts = [F.lit(DOCUMENT_START), F.concat(F.lit("timestamp: "), display.report_time(F.col("poll_ts"), options.human_time))]
@@ -156,16 +166,28 @@ def lines(result: Result, options: Options) -> DataFrame:
                 "poll", F.lit(2).alias("part"), "pos", total.alias("line")
             )
         )
-    if ends_here or not options.peaks:
-        parts.append(ending)
-    return reduce(DataFrame.unionByName, parts)
+    if result.running_ops is not None:
+        titles = F.inline(F.array(*[F.struct(F.lit(part).alias("part"), F.lit(0).alias("pos"), F.lit(title).alias("line")) for part, title in PEAK_TITLES]))
+        parts.append(result.summary.select("poll", titles))
+        parts += _peak_rows(result.running_ops, result.running_jobs, options, ["poll"])
+    return reduce(DataFrame.unionByName, [*parts, ending])
+
+
+PEAK_TITLES = ((3, PEAK_OPS_LABEL), (4, PEAK_JOBS_LABEL))
 
 
 def peak_lines(ops: DataFrame, jobs: DataFrame, options: Options) -> DataFrame:
     """Stored peaks as rows (part, pos, line); 28 operations at most."""
+    titles = [(part, 0, title) for part, title in (*PEAK_TITLES, (5, DOCUMENT_END))]
+    start = ops.sparkSession.createDataFrame(titles, "part INT, pos INT, line STRING")
+    return reduce(DataFrame.unionByName, _peak_rows(ops, jobs, options, []), start)
+
+
+def _peak_rows(ops: DataFrame, jobs: DataFrame, options: Options, by: list[str]) -> list[DataFrame]:
+    """Peaks of operations and of jobs as rows (by..., part, pos, line)."""
     at = display.report_time(F.col("timestamp"), options.human_time)
     clock = "timestamp" if options.fullname else "ts"
-    by_rate = Window.orderBy(F.desc("rate"), "operation")
+    by_rate = (Window.partitionBy(*by) if by else Window).orderBy(F.desc("rate"), "operation")
     best = F.concat(
         F.lit("- "), "label", F.lit(" {rate: "),
         display.pad_label(F.concat("rate", F.lit(",")), OPERATION_WIDTH), F.lit(f" {clock}: "), at, F.lit("}"),
@@ -181,11 +203,8 @@ def peak_lines(ops: DataFrame, jobs: DataFrame, options: Options) -> DataFrame:
         F.lit("- "), "label", F.lit(" {"), numbers,
         F.lit(f", {clock}: "), at, F.lit(", job_id: "), "job_id", F.lit("}"),
     )
-    spark = ops.sparkSession
-    titles = spark.createDataFrame(
-        [(3, 0, PEAK_OPS_LABEL), (4, 0, PEAK_JOBS_LABEL), (5, 0, DOCUMENT_END)], "part INT, pos INT, line STRING"
-    )
     ranked = lambda df: _with_label(df.withColumn("pos", F.row_number().over(by_rate)), options.fullname)
-    return titles.unionByName(ranked(ops).select(F.lit(3).alias("part"), "pos", best.alias("line"))).unionByName(
-        ranked(jobs).select(F.lit(4).alias("part"), "pos", holder.alias("line"))
-    )
+    return [
+        ranked(ops).select(*by, F.lit(3).alias("part"), "pos", best.alias("line")),
+        ranked(jobs).select(*by, F.lit(4).alias("part"), "pos", holder.alias("line")),
+    ]

@@ -83,9 +83,7 @@ def test_peaks_report(inputs):
     options = report.Options(peaks=True, mode="diff", percent=True)
     assert (options.mode, options.total, options.percent) == ("rate", True, False)
     result = report.build(*inputs, options)
-    assert text(result, options, 1)[-1] == "- wr:        {rate: 2}"
-    lines = report.peak_lines(result.peak_ops, result.peak_jobs, options).orderBy("part", "pos")
-    assert [row.line for row in lines.collect()] == [
+    expected = [
         "highest_rate_per_operation_in_logfile:",
         f"- ops:       {{rate: 2,         ts: {T0 + 10}}}",
         f"- wr:        {{rate: 2,         ts: {T0 + 10}}}",
@@ -94,6 +92,23 @@ def test_peaks_report(inputs):
         f"- wr:        {{ops: 2, wr: 2, ts: {T0 + 10}, job_id: dd.0.n1}}",
         "...",
     ]
+    assert text(result, options, 1)[-8:] == ["- wr:        {rate: 2}", *expected]
+    lines = report.peak_lines(result.peak_ops, result.peak_jobs, options).orderBy("part", "pos")
+    assert [row.line for row in lines.collect()] == expected
+
+
+def test_peaks_stand_as_they_were_after_each_poll(spark):
+    """A poll without the operation keeps its peak; a job that comes later does not change earlier polls."""
+    counts = {0: {"a": 0, "b": 0}, 1: {"a": 50, "b": 10}, 2: {"b": 10}, 3: {"a": 60, "b": 130}, 4: {"a": 60, "b": 140}}
+    rows = [(n, T0 + 10 * n, "h", "mdt.x.job_stats", job, T0 + 10 * n, op, value + 1) for n, jobs in counts.items() for job, value in jobs.items() for op in (("open", "read") if n != 2 else ("open",))]
+    samples = spark.createDataFrame(rows, "poll long, poll_ts long, host string, param string, job_id string, snapshot_time long, operation string, samples long")
+    polls = samples.select("poll", "poll_ts").distinct()
+    options = report.Options(peaks=True)
+    result = report.build(samples, polls, options)
+    held = lambda df, *columns: sorted(tuple(r) for r in df.where("operation = 'read'").select("poll", *columns).collect())
+    assert held(result.running_ops, "rate", "timestamp") == [(1, 6, T0 + 10), (2, 6, T0 + 10), (3, 6, T0 + 10), (4, 6, T0 + 10)]
+    assert held(result.running_jobs, "job_id", "rate") == [(1, "a", 5), (2, "a", 5), (3, "a", 5), (4, "a", 5)]
+    assert text(result, options, 2)[-1] == "..." and any("job_id: a" in line for line in text(result, options, 2))
 
 
 @pytest.mark.parametrize("bad", [{"mode": "speed"}, {"sortby": "samedir_rename"}])
