@@ -20,6 +20,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from jobtally.functions.layout import JobIdLayout
 from jobtally.operators import merge, peaks, rates, shares, skew
+from jobtally.sinks.ledger import SinkLedger
 from jobtally.sinks.peaks import PeakStore
 from jobtally.sinks.points import fan_out, must
 from jobtally.sources.dumps import parse_job_stats
@@ -50,7 +51,8 @@ class RateFeed:
     A new ``state`` folder starts without a reference poll; use one per
     checkpoint. ``failed`` holds the sinks that failed in the latest batch. A
     failure ends the batch, after all sinks had their turn, so that it is run
-    again: sinks keyed by batch take a repeat. With ``go_on`` failures are only
+    again, by the sinks that failed; a ledger under ``state`` tells which have it.
+    With ``go_on`` failures are only
     logged and the rows are lost to that sink. ``counters`` are sinks for the
     merged polls themselves, which need no second pass over the logs.
     """
@@ -68,6 +70,7 @@ class RateFeed:
             raise ValueError(f"sinks of rates and of counters share the names {sorted(shared)}")
         self.go_on = go_on
         self.state = state.rstrip("/")
+        self.ledger = SinkLedger(f"{self.state}/ledger")
         self.sinks = sinks
         self.mode = mode
         self.failed: dict[str, Exception] = {}
@@ -108,15 +111,18 @@ class RateFeed:
             rows.unpersist()
 
     def _give(self, changed: DataFrame, counters: DataFrame | None, batch_id: int) -> None:
-        bound = lambda sinks: {name: (lambda df, sink=sink: sink(df, batch_id)) for name, sink in sinks.items()}
-        self.failed = fan_out(changed, bound(self.sinks))
+        """Give rows to the sinks that do not have this batch yet."""
+        spark = changed.sparkSession
+        self.failed = fan_out(changed, self.ledger.bound(spark, self.sinks, batch_id))
         if counters is not None:
-            self.failed |= fan_out(counters, bound(self.counters))
+            self.failed |= fan_out(counters, self.ledger.bound(spark, self.counters, batch_id))
         if not self.go_on:
             must(self.failed)
+        self.ledger.trim(spark, batch_id)
 
     def reset(self, spark: SparkSession, batch_id: int) -> None:
         """Forget the reference, so that ``batch_id`` starts over."""
+        self.ledger.forget(spark, batch_id)
         before = self.reference(spark, batch_id)
         if before is not None:
             self._store(spark.createDataFrame([], before.schema), batch_id - 1)
@@ -195,16 +201,24 @@ def long_points(write: Callable[[DataFrame, str, str], None], path: str) -> Sink
     return points
 
 
-def every_batch(sinks: Mapping[str, Sink], go_on: bool = False) -> Sink:
+def every_batch(sinks: Mapping[str, Sink], go_on: bool = False, ledger: str | None = None) -> Sink:
     """Give each micro-batch to several sinks; one that fails stops no other.
 
-    The batch then fails, to be run again, unless ``go_on`` lets it pass.
+    The batch then fails, to be run again, unless ``go_on`` lets it pass. With a
+    ``ledger`` folder, one per checkpoint, only the sinks that failed take it again.
     """
+    notes = SinkLedger(ledger) if ledger else None
 
     def write(df: DataFrame, batch_id: int) -> None:
-        failed = fan_out(df, {name: (lambda rows, sink=sink: sink(rows, batch_id)) for name, sink in sinks.items()})
+        if notes:
+            due = notes.bound(df.sparkSession, sinks, batch_id)
+        else:
+            due = {name: (lambda rows, sink=sink: sink(rows, batch_id)) for name, sink in sinks.items()}
+        failed = fan_out(df, due)
         if not go_on:
             must(failed)
+        if notes:
+            notes.trim(df.sparkSession, batch_id)
 
     return write
 
