@@ -8,12 +8,12 @@ long size, and carries everything rates, shares, top lists and peaks need.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobtally.functions.globs import glob_pattern, scope_param
 from jobtally.functions.layout import JobIdLayout
 from jobtally.functions.vocabulary import BYTE_OPERATIONS, LONG_NAMES, TOTAL
 from jobtally.operators.skew import salted_join
@@ -27,26 +27,6 @@ def poll_keys(df: DataFrame) -> list[str]:
     return [name for name in POLL_COLUMNS if name in df.columns]
 
 
-def glob_pattern(glob: str) -> str:
-    """A glob of ``*``, ``?`` and classes such as ``[0-3]`` or ``[!ab]`` as an anchored regular expression."""
-    out, at = [], 0
-    while at < len(glob):
-        char = glob[at]
-        if char == "[":
-            end = glob.find("]", at + 2)
-            if end < 0:
-                raise ValueError(f"class without an end in {glob!r}")
-            body = glob[at + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
-            out.append(f"[^{body[1:]}]" if body[0] in "!^" else f"[{body}]")
-            at = end
-        elif char in "{}":
-            raise ValueError(f"{char!r} is not supported in {glob!r}")
-        else:
-            out.append({"*": ".*", "?": "."}.get(char) or re.escape(char))
-        at += 1
-    return f"(?s)^{''.join(out)}\\z"
-
-
 def scope_sources(
     samples: DataFrame,
     servers: Iterable[str] | None = None,
@@ -55,11 +35,7 @@ def scope_sources(
     mdt: bool = False,
 ) -> DataFrame:
     """Keep the given servers and the targets whose parameter fits a glob."""
-    if ost:
-        param = "obdfilter.*.job_stats"
-    elif mdt:
-        param = "mdt.*.job_stats"
-    kept = samples.where(F.col("param").rlike(glob_pattern(param)))
+    kept = samples.where(F.col("param").rlike(glob_pattern(scope_param(param, ost, mdt))))
     return kept if servers is None else kept.where(F.col("host").isin(*servers))
 
 

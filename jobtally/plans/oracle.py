@@ -158,6 +158,8 @@ def oracle_sql() -> dict[str, str]:
         "parse_flat_blocks": _M + "SELECT * FROM points",
         "raw_log_frames": _with(BYTES) + "SELECT poll_ts, host, param, job_id, operation, samples FROM sb",
         "parse_large_dumps": _with(BYTES) + "SELECT poll_ts, host, param, job_id, operation, samples FROM sb",
+        "scoped_log_store": _with(BYTES) + f"""SELECT poll_ts, host, param, job_id, operation, samples FROM sb
+            WHERE host IN ('oss0', 'oss2') AND param LIKE 'mdt.%.job_stats' AND poll_ts BETWEEN {START + 50} AND {START + 210}""",
         "rates_from_raw_log": _R
         + "SELECT poll, job_id, operation, value FROM r",
         "poll_register": _with() + """SELECT CAST(row_number() OVER (ORDER BY poll_ts) - 1 AS BIGINT) AS poll, poll_ts

@@ -12,7 +12,7 @@ from jobtally.functions import display, formats, vocabulary
 from jobtally.operators import bars, filters, merge, patterns, peaks, rates, replay, series, shares, snapshots, topn
 from jobtally.plans import derived, report
 from jobtally.session import shared_dir
-from jobtally.sinks.points import victoriametrics_lines, write_raw_log
+from jobtally.sinks.points import victoriametrics_lines, write_log_store, write_raw_log
 from jobtally.sources import dumps, large_dumps, raw_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +112,15 @@ def parse_large_dumps(spark, sf):
     return parsed.select("poll_ts", "host", "param", "job_id", "operation", "samples")
 
 
+@query
+def scoped_log_store(spark, sf):
+    """Metadata targets of two servers over some polls, from a store by day, kind of target and server."""
+    folder = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    write_log_store(derived.dumps(spark, sf), folder)
+    blocks = raw_log.read_log_store(spark, folder, ["oss0", "oss2"], mdt=True, start=START + 50, end=START + 210)
+    return dumps.parse_job_stats(blocks).select("poll_ts", "host", "param", "job_id", "operation", "samples")
+
+
 @query
 def rates_from_raw_log(spark, sf):
     blocks = derived.dumps(spark, sf)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from jobtally.functions.formats import PROMETHEUS_HEADER, json_line, millis, prometheus_line
 from jobtally.functions.sizes import parse_size
 from jobtally.operators.skew import CHUNK_SECONDS
-from jobtally.sources.raw_log import frame_text
+from jobtally.sources.raw_log import frame_text, log_day, target_kind
 
 log = logging.getLogger(__name__)
 
@@ -41,6 +41,17 @@ def write_raw_log(blocks: DataFrame, path: str, mode: str = "append", max_size:
     _text(lines, path, mode, records_per_file(lines, max_size))
 
 
+def write_log_store(blocks: DataFrame, path: str, mode: str = "append") -> None:
+    """Blocks as framed text in folders by day, kind of target and host, for ``raw_log.read_log_store``.
+
+    Rebalancing keeps few files per folder and cuts large ones by size at run time.
+    """
+    rows = blocks.select(
+        frame_text(blocks).alias("value"), log_day("poll_ts").alias("day"), target_kind("param").alias("kind"), F.col("host").alias("server")
+    )
+    rows.hint("rebalance", "day", "kind", "server").write.mode(mode).partitionBy("day", "kind", "server").text(path)
+
+
 @contextmanager
 def _stored_in_millis(df: DataFrame) -> Iterator[None]:
     """Write times as whole milliseconds, as other readers of the format expect."""

@@ -6,9 +6,13 @@ line. Files are cut at the headers by the text source, so they stay splittable.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobtally.functions.globs import glob_pattern, scope_param
+
 # The framing of a block.
 HEADER_START = "### HOST:"
 HEADER_PATTERN = r"^ ?(.*?) \| PARAM: (.*?) \| TIMESTAMP: "
@@ -69,3 +73,47 @@ def stream_raw_log(spark: SparkSession, folder: str, files_per_batch: int | None
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return split_frames(reader.text(folder))
+
+
+def log_day(seconds: str) -> Column:
+    """The UTC day of a poll, as a log store names it."""
+    return F.date_from_unix_date(F.expr(f"CAST({seconds} div 86400 AS INT)"))
+
+
+def target_kind(param: str) -> Column:
+    """What a parameter is about: its part before the first dot."""
+    return F.substring_index(param, ".", 1)
+
+
+def read_log_store(
+    spark: SparkSession,
+    path: str,
+    servers: Iterable[str] | None = None,
+    param: str = "*.*.job_stats",
+    ost: bool = False,
+    mdt: bool = False,
+    start: int | None = None,
+    end: int | None = None,
+) -> DataFrame:
+    """Blocks of a store of ``write_log_store``: those of some servers, targets and times (both ends included).
+
+    Servers, the kind of target and days pick folders before any text is read. Of a glob, the text up to the first dot
+    counts, if it has no wildcard; what is left to check is checked on the headers.
+    """
+    schema = "value string, day date, kind string, server string"
+    rows = spark.read.option("lineSep", LINE_SEP).schema(schema).text(path)
+    scope = scope_param(param, ost, mdt)
+    kind, dot, _ = scope.partition(".")
+    if dot and not set(kind) & set("*?["):
+        rows = rows.where(F.col("kind") == kind)
+    if servers is not None:
+        servers = list(servers)
+        rows = rows.where(F.col("server").isin(*servers))
+    day = lambda seconds: F.date_from_unix_date(F.lit(seconds // 86400))
+    if start is not None:
+        rows = rows.where(F.col("day") >= day(start))
+    if end is not None:
+        rows = rows.where(F.col("day") <= day(end))
+    blocks = split_frames(rows).where(F.col("param").rlike(glob_pattern(scope)))
+    blocks = blocks if start is None else blocks.where(F.col("poll_ts") >= start)
+    return blocks if end is None else blocks.where(F.col("poll_ts") <= end)
