@@ -4,34 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from jobtally.functions.vocabulary import DEFAULT_OPERATIONS
 from jobtally.operators.filters import filter_ops, since
 from jobtally.operators.merge import poll_keys
-from jobtally.operators.series import latest_rate, series_rate
-
-
-def _columns(operations: list[str]) -> list[Column]:
-    return [
-        F.expr(f"CAST(coalesce(sum(CASE WHEN operation = '{name}' THEN value END), 0) AS BIGINT) AS {name}")
-        for name in operations
-    ]
+from jobtally.operators.series import latest_rate, operation_sums, per_operation, series_rate
 
 
 def visible_op_totals(visible: DataFrame, enabled: Iterable[str] = DEFAULT_OPERATIONS) -> DataFrame:
     """Sum of each enabled operation over the visible jobs of a poll, 0 where absent."""
     enabled, keys = list(enabled), poll_keys(visible)
-    sums = visible.groupBy(*keys).agg(*_columns(enabled)) if keys else visible.agg(*_columns(enabled))
-    return sums.unpivot(keys, enabled, "operation", "value")
+    sums = visible.groupBy(*keys) if keys else visible.groupBy()
+    return per_operation(sums.agg(*operation_sums(enabled)), keys, enabled)
 
 
 def _cells(values: DataFrame, top: DataFrame, enabled: list[str], keys: list[str]) -> DataFrame:
     """Every enabled operation of every top job, also of jobs without a row in ``values``."""
-    wide = filter_ops(values, enabled).groupBy(*keys).agg(*_columns(enabled))
-    cells = top.select(*keys).join(wide, keys, "left").na.fill(0, enabled)
-    return cells.unpivot(keys, enabled, "operation", "value")
+    wide = filter_ops(values, enabled).groupBy(*keys).agg(*operation_sums(enabled))
+    return per_operation(top.select(*keys).join(wide, keys, "left"), keys, enabled)
 
 
 def top_job_bars(job_ops: DataFrame, top: DataFrame, enabled: Iterable[str] = DEFAULT_OPERATIONS) -> DataFrame:

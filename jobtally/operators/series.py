@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtally.operators.filters import since
@@ -114,13 +114,21 @@ def latest_op_rate(points: DataFrame, operations: Iterable[str], now: int, windo
     operations = list(operations)
     recent = points.where(F.col("timestamp").between(now - window, now) & F.col("operation").isin(*operations))
     found = latest_rate(op_series(recent), now, window, ["operation"])
-    row = found.agg(
-        *[
-            F.expr(f"coalesce(max(CASE WHEN operation = '{name}' THEN value END), 0L) AS {name}")
-            for name in operations
-        ]
-    )
-    return row.unpivot([], operations, "operation", "value")
+    return per_operation(found.agg(*operation_sums(operations)), [], operations)
+
+
+def operation_sums(names: list[str]) -> list[Column]:
+    """Sums of ``value`` by operation, in numbered columns: metric names are free text and may be no column names."""
+    return [F.sum(F.when(F.col("operation") == name, F.col("value"))).cast("bigint").alias(f"_op{n}") for n, name in enumerate(names)]
+
+
+def per_operation(wide: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Columns of ``operation_sums`` as rows (keys..., operation, value), 0 where there is none."""
+    if not names:
+        return wide.select(*keys, F.lit("").alias("operation"), F.lit(0).cast("bigint").alias("value")).where("false")
+    numbered = wide.unpivot(keys, [f"_op{n}" for n in range(len(names))], "_at", "value")
+    name = F.get(F.array(*[F.lit(name) for name in names]), F.substr("_at", F.lit(4)).cast("int"))
+    return numbered.select(*keys, name.alias("operation"), F.coalesce("value", F.lit(0)).cast("bigint").alias("value"))
 
 
 def cap_series(points: DataFrame, count: int) -> DataFrame:

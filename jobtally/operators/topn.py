@@ -104,7 +104,7 @@ def job_columns(
         .agg(
             F.sum("value").cast("bigint").alias("total"),
             *[
-                F.expr(f"CAST(sum(CASE WHEN operation = '{name}' THEN value ELSE 0 END) AS BIGINT) AS {name}")
+                F.sum(F.when(F.col("operation") == name, F.col("value")).otherwise(0)).cast("bigint").alias(name)
                 for name in columns
             ],
         )

@@ -194,3 +194,20 @@ def test_frames_need_a_period_and_stay_in_it(spark, rows):
     assert rows(replay.replay_intervals(points), "from", "to", "value") == [(0, 31_536_000, 1), (31_536_000, None, 2)]
     with pytest.raises(ValueError):
         replay.replay_frames(points, 10, 5, 4)
+
+
+def test_operations_of_any_name(spark, rows):
+    """Metric names are free text: quotes, dots, spaces, names of columns."""
+    from jobtally.operators import bars, topn
+
+    names = ["we'ird", "a.b", "c d", "`q`", "job_id", "poll", "ünï"]
+    states = spark.createDataFrame(
+        [(1, job, name, 10 * n + k) for n, name in enumerate(names, 1) for k, job in enumerate(("x", "y"))], "poll long, job_id string, operation string, value long"
+    )
+    assert rows(bars.visible_op_totals(states, names)) == sorted(((1, name, 20 * n + 1) for n, name in enumerate(names, 1)), key=repr)
+    top = states.select("poll", "job_id").distinct()
+    assert rows(bars.top_job_bars(states, top, names)) == rows(states)
+    quoted = topn.job_columns(states, names[:3])
+    assert quoted.columns == ["poll", "job_id", "total", *names[:3]] and rows(quoted) == [(1, "x", 60, 10, 20, 30), (1, "y", 63, 11, 21, 31)]
+    points = states.selectExpr("100L AS timestamp", "job_id", "operation", "value").unionByName(states.selectExpr("110L AS timestamp", "job_id", "operation", "value + 50 AS value"))
+    assert rows(series.latest_op_rate(points, names, 120)) == sorted(((name, 10) for name in names), key=repr)
