@@ -6,39 +6,67 @@ import logging
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtally.functions.formats import PROMETHEUS_HEADER, json_line, millis, prometheus_line
 from jobtally.functions.sizes import parse_size
 from jobtally.operators.skew import CHUNK_SECONDS
+from jobtally.session import importable
 from jobtally.sources.raw_log import frame_text, log_day, target_kind
 
 log = logging.getLogger(__name__)
 
 # Rough size of one stored point, for a bound on files that are compressed.
 PARQUET_POINT_BYTES = 16
+LARGEST_FILE = 128 << 20  # of text that is bounded
 
 
-def records_per_file(lines: DataFrame, max_size: str | None) -> int:
-    """Rows after which a text file is full, from the mean row length; 0 for no bound."""
-    if not max_size:
-        return 0
-    mean = lines.agg(F.avg(F.octet_length("value"))).first()[0]
-    return max(1, int(parse_size(max_size) / (mean + 1))) if mean is not None else 0
+def _packed(bound: int, header: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines as the texts of whole files: each as many as fit below the bound with the header, one at least."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([header + "\n".join(held)], pa.string())], ["value"])
 
-def _text(lines: DataFrame, path: str, mode: str, limit: int) -> None:
-    writer = lines.write.mode(mode)
-    if limit:
-        writer = writer.option("maxRecordsPerFile", limit)
-    writer.text(path)
+        start = len(header.encode())
+        held: list[str] = []
+        size = start
+        for batch in batches:
+            lines = pc.fill_null(batch.column(0), "")
+            for line, length in zip(lines.to_pylist(), pc.binary_length(lines).to_pylist(), strict=True):
+                if held and size + length + 1 > bound:
+                    yield full()
+                    held, size = [], start
+                held.append(line)
+                size += length + 1
+        if held:
+            yield full()
+
+    return pack
+
+
+def _text(lines: DataFrame, path: str, mode: str, max_size: str | None, header: str = "") -> None:
+    """Write lines in one pass. With a bound every file but the last of a task is within a line of it, and none above.
+
+    A bounded file is put together in memory, hence no larger than ``LARGEST_FILE``. A line longer than the bound is a
+    file of its own.
+    """
+    if max_size:
+        importable(lines.sparkSession)
+        files = lines.select("value").mapInArrow(_packed(min(parse_size(max_size), LARGEST_FILE), header), "value string")
+        files.write.mode(mode).option("maxRecordsPerFile", 1).text(path)
+    else:
+        headed = lines.select(_with_header(F.col("value"), header).alias("value")) if header else lines
+        headed.write.mode(mode).text(path)
 
 
 def write_raw_log(blocks: DataFrame, path: str, mode: str = "append", max_size: str | None = None) -> None:
     """Blocks as framed text."""
     lines = blocks.select(frame_text(blocks).alias("value"))
-    _text(lines, path, mode, records_per_file(lines, max_size))
+    _text(lines, path, mode, max_size)
 
 
 def write_log_store(blocks: DataFrame, path: str, mode: str = "append") -> None:
@@ -81,14 +109,13 @@ def write_points_parquet(points: DataFrame, path: str, mode: str = "append", max
         writer.partitionBy("date").parquet(path)
 
 
-def _with_header(line: Column, header: str, every: int) -> Column:
-    """Put a header before the first row of each file a task writes.
+def _with_header(line: Column, header: str) -> Column:
+    """Put a header before the first row of each task, hence of its file.
 
     The low 33 bits of the generated id count the rows of a task.
     """
     at = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
-    is_first = (at % every == 0) if every else (at == 0)
-    return F.when(is_first, F.concat(F.lit(header), line)).otherwise(line)
+    return F.when(at == 0, F.concat(F.lit(header), line)).otherwise(line)
 
 
 def write_prometheus(
@@ -96,10 +123,7 @@ def write_prometheus(
 ) -> None:
     """Points as exposition text, the metric described once per file."""
     lines = points.select(prometheus_line().alias("value"))
-    limit = records_per_file(lines, max_size)
-    if header:
-        lines = lines.select(_with_header(F.col("value"), PROMETHEUS_HEADER, limit).alias("value"))
-    _text(lines, path, mode, limit)
+    _text(lines, path, mode, max_size, PROMETHEUS_HEADER if header else "")
 
 
 def victoriametrics_lines(points: DataFrame, per_series: bool = False) -> DataFrame:
@@ -121,7 +145,7 @@ def write_victoriametrics(
     points: DataFrame, path: str, mode: str = "append", max_size: str | None = None, per_series: bool = False
 ) -> None:
     lines = victoriametrics_lines(points, per_series)
-    _text(lines, path, mode, records_per_file(lines, max_size))
+    _text(lines, path, mode, max_size)
 
 
 WRITERS = {

@@ -55,6 +55,29 @@ def test_files_are_bounded_and_each_has_a_header(spark, points, tmp_path):
         assert file.stat().st_size < 5000
 
 
+def test_files_are_within_a_line_of_their_bound(spark, tmp_path):
+    """Lines of very different lengths, one longer than the bound, from an input that is read once."""
+    lengths = [10, 900, 3, 1, 250, 400, 5000, 0, 70, 999, 1, 1, 640] * 40
+    lines = ["é" * (n // 2) + "x" * (n % 2) for n in lengths]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    frame = spark.createDataFrame(list(enumerate(lines)), "n long, value string").coalesce(1).sortWithinPartitions("n").select("value")
+    path = tmp_path / "bounded"
+    sinks._text(frame.mapInArrow(counted, "value string"), str(path), "append", "1k", "head\n")
+    files = [file.read_bytes() for file in sorted(path.glob("part-*.txt"))]
+    texts = [file.decode().split("\n") for file in files]
+    assert all(text[0] == "head" and text[-1] == "" for text in texts)
+    assert [line for text in texts for line in text[1:-1]] == lines and read.value == len(lines)
+    for file, after in zip(files, texts[1:]):
+        assert len(file) <= 1024 or file.count(b"\n") == 2
+        assert len(file) + len(after[1].encode()) + 1 > 1024
+
+
 def test_exported_lines(spark):
     one = spark.createDataFrame([(T0, 'a"b', "read", 7)], POINTS)
     assert sinks.victoriametrics_lines(one).first()[0] == json.dumps(
