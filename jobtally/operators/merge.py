@@ -162,18 +162,22 @@ def poll_summary(samples: DataFrame, polls: DataFrame) -> DataFrame:
     """Jobs, servers and targets observed per poll, and seconds since the poll
     before; 0 seconds where that poll was empty and rates start over.
 
-    Jobs and targets are made distinct first, so no sample is multiplied; each
-    poll then meets the one before as a second row under the next number.
+    Jobs and targets are made distinct in one pass over the samples, as rows of
+    two kinds that are combined within each task; each poll then meets the one
+    before as a second row under the next number.
     """
-    jobs = samples.select("poll", "job_id").distinct().groupBy("poll").agg(F.count(F.lit(1)).alias("total_jobs"))
+    no_param = F.lit(None).cast("string").alias("param")
+    both = F.array(F.struct(F.col("job_id").alias("name"), no_param), F.struct(F.col("host").alias("name"), "param"))
+    seen = samples.select("poll", F.inline(both)).distinct()
     kind = F.split_part("param", F.lit("."), F.lit(1))
-    targets = samples.select("poll", "host", "param").distinct().groupBy("poll").agg(
-        F.size(F.collect_set("host")).cast("bigint").alias("servers"),
+    counted = seen.groupBy("poll").agg(
+        F.count(F.when(F.col("param").isNull(), 1)).alias("total_jobs"),
+        F.size(F.collect_set(F.when(F.col("param").isNotNull(), F.col("name")))).cast("bigint").alias("servers"),
         F.count(F.when(kind == "obdfilter", 1)).alias("osts"),
         F.count(F.when(kind == "mdt", 1)).alias("mdts"),
     )
     counts = ["total_jobs", "servers", "osts", "mdts"]
-    rows = polls.join(jobs, "poll", "left").join(targets, "poll", "left").na.fill(0, counts)
+    rows = polls.join(counted, "poll", "left").na.fill(0, counts)
     twice = rows.withColumn("_later", F.explode(F.array(F.lit(0), F.lit(1))))
     met = twice.groupBy((F.col("poll") + F.col("_later")).alias("poll")).agg(
         F.max(F.when(F.col("_later") == 0, F.struct("poll_ts", *counts))).alias("_own"),

@@ -12,6 +12,7 @@ from jobtally.functions import display
 from jobtally.functions.layout import JobIdLayout
 from jobtally.functions.vocabulary import BYTE_OPERATIONS, SHORT_BY_LONG, TOTAL, check_operation, short_name
 from jobtally.operators import merge, peaks, rates, shares, topn
+from jobtally.session import written
 
 # The wording of the report.
 COUNTER_LABEL = "top_{}_jobs:"
@@ -86,12 +87,15 @@ def build(samples: DataFrame, polls: DataFrame, options: Options, layout: JobIdL
     """Counters to summary, top list, totals and peaks of every poll.
 
     Totals cover all jobs; filters and the minimum rate apply to the list only.
+    The summary, and the table all else is made from, are computed now and kept
+    in the shared folder.
     """
     table = merge.job_table(samples, layout, options.groupby, options.include_bytes)
     summary = merge.poll_summary(merge.rekey(samples, layout, options.groupby), polls)
     if options.mode != "counter":
         table = rates.job_rates(table, options.mode)
         summary = summary.where("query_duration > 0")
+    summary, table = written(summary, "summary"), written(table, "report")
     listed = shares.percent_table(table) if options.percent else table
     top = topn.top_jobs(
         listed, options.sortby, options.count, options.min_rate, options.patterns, options.invert

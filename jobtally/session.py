@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -56,6 +57,14 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from a table written now to the shared folder, for what is read several times or has to keep its size."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package from where it lies; clusters ship it with ``--py-files``."""
     root = str(Path(__file__).resolve().parents[1])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import threading
 from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 
@@ -80,16 +81,24 @@ def write_log_store(blocks: DataFrame, path: str, mode: str = "append") -> None:
     rows.hint("rebalance", "day", "kind", "server").write.mode(mode).partitionBy("day", "kind", "server").text(path)
 
 
+_ONE_AT_A_TIME = threading.Lock()
+
+
 @contextmanager
 def _stored_in_millis(df: DataFrame) -> Iterator[None]:
-    """Write times as whole milliseconds, as other readers of the format expect."""
+    """Write times as whole milliseconds, as other readers of the format expect.
+
+    Only a setting of the session says so. Writers of points take turns, so that none sees it half way; other writes of
+    the session should not run beside them. Streams have a session of their own for each batch.
+    """
     conf, key = df.sparkSession.conf, "spark.sql.parquet.outputTimestampType"
-    before = conf.get(key)
-    conf.set(key, "TIMESTAMP_MILLIS")
-    try:
-        yield
-    finally:
-        conf.set(key, before)
+    with _ONE_AT_A_TIME:
+        before = conf.get(key)
+        conf.set(key, "TIMESTAMP_MILLIS")
+        try:
+            yield
+        finally:
+            conf.set(key, before)
 
 
 def write_points_parquet(points: DataFrame, path: str, mode: str = "append", max_size: str | None = None) -> None:

@@ -9,14 +9,13 @@ line is left out whole, as when blocks are read one by one.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobtally.session import importable, shared_dir
+from jobtally.session import importable, written
 from jobtally.sources.raw_log import END_LINE, HEADER_START, LINE_SEP, split_frames
 
 JOB_SEP = "\n- job_id:"
@@ -136,9 +135,7 @@ def read_large_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     text = spark.read.option("lineSep", JOB_SEP).text(path)
     records = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
     pieces = records.mapInArrow(_pieces, PIECE)
-    stored = f"{shared_dir(spark)}/splits-{uuid.uuid4().hex}"
-    _edges(records.mapInArrow(_splits, SPLIT)).write.parquet(stored)
-    edges = spark.read.parquet(stored)
+    edges = written(_edges(records.mapInArrow(_splits, SPLIT)), "splits")
     kept = (
         F.when(F.col("own").isNull(), F.col("carried").isNotNull() & F.col("head_kept"))
         .when(F.col("own") == F.col("last_own"), F.col("tail_kept"))
