@@ -31,6 +31,14 @@ def time_range(points: DataFrame) -> DataFrame:
     return points.agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
 
 
+def by_time(points: DataFrame) -> DataFrame:
+    """Points in the order of time, for output; jobs and operations of one time in theirs.
+
+    A range sort: only the last step of a query should ask for it.
+    """
+    return points.orderBy("timestamp", *SERIES)
+
+
 def catalog_jobs(points: DataFrame) -> DataFrame:
     return points.select("job_id").distinct().orderBy("job_id")
 

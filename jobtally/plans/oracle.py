@@ -296,6 +296,8 @@ def oracle_sql() -> dict[str, str]:
             PARTITION BY job_id, operation ORDER BY "timestamp" DESC) AS n FROM points) WHERE n <= 10""",
         "filter_many_patterns": _M + _PATTERNS.format("NOT"),
         "keep_many_patterns": _M + _PATTERNS.format(""),
+        "points_by_time": _M + """SELECT *, CAST(row_number() OVER (PARTITION BY "timestamp" ORDER BY job_id, operation) AS INTEGER) AS place
+            FROM points""",
         "state_at": _M + _STATE,
         "state_at_snapshots": _M + _STATE,
         "replay_intervals": _M + """SELECT job_id, operation, "timestamp" AS "from", lead("timestamp") OVER (

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobtally.functions import display, formats, vocabulary
@@ -526,6 +526,16 @@ def cap_series(spark, sf):
     return series.cap_series(_points(spark, sf), 10)
 
 
+@query
+def points_by_time(spark, sf):
+    """Every point with its place in the order of time."""
+    ordered = series.by_time(_points(spark, sf)).select("timestamp", "job_id", "operation", "value")
+    at = F.monotonically_increasing_id().alias("at")
+    placed = ordered.select("*", at)
+    before = Window.partitionBy("timestamp").orderBy("at")
+    return placed.select("timestamp", "job_id", "operation", "value", F.row_number().over(before).alias("place"))
+
+
 @query
 def state_at(spark, sf):
     return replay.state_at(_points(spark, sf), START + 155).select("job_id", "operation", "value")
