@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from jobtally.llm.tables import inner
+from jobtally.llm.tables import apart, inner
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind, end
@@ -288,6 +288,7 @@ def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], batch.schema.names)
 
 
+@apart
 def mask(docs: DataFrame, text_col="text") -> DataFrame:
     """The documents with personal data masked in their texts."""
     schema = StructType([*docs.schema.fields, StructField("__text", StringType())])

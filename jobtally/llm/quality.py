@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from jobtally.llm import words as W
-from jobtally.llm.tables import inner, materialise
+from jobtally.llm.tables import apart, inner, materialise
 
 SLICE = 4_000_000
 SALTS = 16
@@ -164,6 +164,7 @@ def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], [*batch.schema.names[:-2], "__text"])
 
 
+@apart
 def clean(docs: DataFrame, limits: Limits = Limits(), id_col="doc_id", text_col="text", host_col="source") -> DataFrame:
     """The kept documents with all their columns, lines above the limits taken out of the text."""
     verdict = judge(docs, limits, id_col, text_col, host_col).where("kept").select(

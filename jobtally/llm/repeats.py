@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from jobtally.llm import words as W
-from jobtally.llm.tables import buckets, drop_table, inner, write_table
+from jobtally.llm.tables import apart, buckets, drop_table, inner, write_table
 
 WINDOW, BLOCK = 13, 7
 SLICE = 8_000_000
@@ -289,6 +289,7 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: in
     return joined.mapInArrow(lambda batches: _remove(batches, window), StructType([*docs.schema.fields, *added])).drop("__text")
 
 
+@apart
 def clean(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """The documents with repeats taken out of their texts."""
     found = remove_repeats(docs, id_col, text_col)

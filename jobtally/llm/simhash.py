@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtally.llm.graph import components
-from jobtally.llm.tables import inner, materialise
+from jobtally.llm.tables import apart, inner, materialise
 
 SHINGLE = 3
 BITS = 3
@@ -166,6 +166,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", hot: int
     return found.join(named.select("fp", "hub").join(names, "hub"), "fp").select("doc_id", "digest", "fp", "hub", "component_id")
 
 
+@apart
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """The row of smallest id of each component, with all its columns."""
     found = near_duplicates(docs, id_col, text_col)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -49,6 +51,22 @@ def inner(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def apart(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For stages that return the caller's columns: columns that begin like their own, with ``__``, get other names meanwhile."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **named) -> DataFrame:
+        given = {value for value in (*args, *named.values()) if isinstance(value, str)}
+        theirs = [c for c in docs.columns if c.startswith("__") and c not in given]
+        prefix = "callers_"
+        while any(c.lower().startswith(prefix) for c in docs.columns):
+            prefix += "_"
+        away = {c: f"{prefix}{n}" for n, c in enumerate(theirs)}
+        return stage(docs.withColumnsRenamed(away), *args, **named).withColumnsRenamed({new: c for c, new in away.items()})
+
+    return run
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package from where it lies; clusters ship it with ``--py-files``."""
     root = str(Path(__file__).resolve().parents[2])

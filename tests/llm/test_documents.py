@@ -11,6 +11,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from llm.conftest import CLASHES, lower, split
 from jobtally.llm import bm25, bytebpe, classlm, packing, private, quality, repeats, simhash
@@ -416,3 +417,23 @@ def test_other_columns_stay(docs):
     for cleaned in (quality.clean(docs), repeats.clean(docs), simhash.keep_one(docs), private.mask(docs)):
         row = cleaned.first().asDict()
         assert all(row[c] == f"own {c}" for c in CLASHES)
+
+
+@pytest.mark.parametrize("stage", [quality.clean, repeats.clean, simhash.keep_one, private.mask])
+def test_columns_named_as_those_of_the_stages_stay(docs, stage):
+    plain = docs.select("doc_id", "text", "source", "n_chars")
+    names = ["__id", "__ID2", "__no_id", "__digest", "__text", "__host", "__bad", "__kept", "__left", "__starts", "__n_words", "__n_removed", "callers_0"]
+    wide = plain.withColumns({name: F.concat(F.lit(name), "n_chars") for name in names})
+    found = stage(wide)
+    assert found.columns == wide.columns
+    assert found.where(" OR ".join(f"`{name}` <> concat('{name}', n_chars)" for name in names)).isEmpty()
+    expected = stage(plain)
+    assert sorted(map(tuple, found.select(*plain.columns).collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr)
+
+
+def test_the_pipeline_takes_an_empty_table(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    empty.select("doc_id", "text", F.lit("en").alias("lang"), "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    assert found.count() == 0 and "sequence_id" in found.columns
