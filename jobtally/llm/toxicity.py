@@ -101,8 +101,7 @@ def measure(text: str, known: Known) -> np.ndarray:
         x[at + 7] = len(hits)
     if any(c in text for c in "013457@$!"):
         x[at] = sum(bool(known[_WORD.match(t.lower().translate(_UNDO)).group()]) for t in _DISGUISED.findall(text) if _WORD.match(t.lower().translate(_UNDO)))
-    capitals = sum(map(str.isupper, text[:: max(1, len(text) // 2000)]))
-    x[at + 2] = capitals / max(1, len(text[:: max(1, len(text) // 2000)])) > 0.5
+    x[at + 2] = 2 * sum(map(str.isupper, text)) > len(text)
     x[at + 3] = bool(_STRETCHED.search(text))
     x[at + 4] = text.count("!") / n > 0.2
     clean = not hits and not x[at]

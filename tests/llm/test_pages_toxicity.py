@@ -185,7 +185,7 @@ def test_pipeline_stages(docs, tmp_path):
 def test_every_operator_has_a_registered_query():
     from jobtally.llm import queries
 
-    assert [name.split("_")[0] for name in queries.registered()] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in queries.registered()] == [f"op{n}" for n in range(1, 14)]
     assert len(corpus_pipeline.STAGES) == 5
 
 
@@ -200,3 +200,14 @@ def test_word_helper_agrees_with_the_pattern():
     assert w.counts.tolist() == [len(split(t)) for t in texts]
     assert [len(set(w.hashes[np.array(flat) == t].tolist())) for t in set(flat)] == [1] * len(set(flat))
     assert len(set(w.hashes.tolist())) == len(set(flat))
+
+
+def test_capitals_count_over_the_whole_text():
+    """Texts whose layout once fell in step with a sample of their characters, and long ones that shout late."""
+    known = toxicity.Known(toxicity.Lexicon({}, {}))
+    at = len(toxicity.GROUPS) + 2
+    shouts = lambda text: toxicity.measure(text, known)[at]
+    assert shouts("aB" * 10000) == shouts("Ba" * 10000) == 0
+    assert shouts("aBB" * 10000) == shouts("BBa" * 10000) == 1
+    assert shouts("a" * 9000 + "B" * 9001) == 1 and shouts("B" * 9000 + "a" * 9000) == 0
+    assert shouts("") == 0
