@@ -1,5 +1,7 @@
 """Streams over framed logs give what the batch operators give."""
 
+import os
+
 import pytest
 from conftest import framed
 from pyspark.sql import functions as F
@@ -39,7 +41,10 @@ def logs(tmp_path):
     folder.mkdir()
     for poll in range(POLLS):
         for host in range(2):
-            (folder / f"{poll:03}-{host}.raw").write_text(log_of(poll, host))
+            path = folder / f"{poll:03}-{host}.raw"
+            path.write_text(log_of(poll, host))
+            at = 1_700_000_000 + 2 * poll + host  # files are taken in this order; those of one moment in any
+            os.utime(path, (at, at))
     return folder
 
 
