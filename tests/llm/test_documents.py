@@ -9,12 +9,13 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from llm.conftest import CLASHES, lower, split
-from jobtally.llm import bm25, bytebpe, classlm, packing, private, quality, repeats, simhash
+from jobtally.llm import bm25, bytebpe, classlm, packing, private, quality, repeats, simhash, words as W
 from jobtally.llm.tables import importable
 
 BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -313,7 +314,7 @@ def test_patterns_hold_every_piece_and_little_room():
 
 def test_class_model(docs, empty):
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
-    found = listed(classlm.score(docs, vocabulary=20, classes=4, rounds=6))
+    found = listed(classlm.score(docs, least=3, classes=4, rounds=6))
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     tokens = {i: [*split(lower(t)), None] for i, t in texts.items()}
     counts = Counter(t for i in texts for _ in range(2 if i == 13 else 1) if not held(i) for t in tokens[i])
@@ -332,26 +333,149 @@ def test_class_probabilities_sum_to_one(spark, docs):
     rng = np.random.default_rng(1)
     texts = [" ".join(f"{'xy'[k % 2]}{rng.integers(40)}" for k in range(60)) for _ in range(40)]
     df = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "doc_id long, text string, out boolean")
+    totals = Counter(t for text in texts for t in split(lower(text)))
+    ordered = sorted(totals.values(), reverse=True)
+    least = ordered[29]
+    assert ordered[30] < least
     slices = df.selectExpr("doc_id", "text", "out as held").mapInArrow(classlm._slices, classlm.SLICES).cache()
     dealt = slices.mapInArrow(lambda b: classlm._deal(b, 4), "bucket int, slice long, vocab binary, rules binary, counts binary")
 
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return classlm._count(key, rows, 30)
+        return classlm._count(key, rows, least)
 
     counted = dealt.groupBy("bucket").applyInPandas(count, classlm.COUNTED)
-    model = classlm.fit(slices, counted, 30, 4, 9)
+    model = classlm.fit(slices, counted, 4, 9)
+    assert model.words == 30
     assert np.allclose((10**model.transitions).sum(axis=1), 1)
-    totals = Counter(t for text in texts for t in split(lower(text)))
     listed_words = {w for w, _ in sorted(totals.items(), key=lambda x: -x[1])[:30]}
     rest = {w: c for w, c in totals.items() if w not in listed_words}
     known = sum((c - model.discount) for c in rest.values())
     tail = model.totals[model.classes[model.words + 1 :]]
     assert math.isclose(known + sum(t * 10**h for t, h in zip(tail, model.held_back[model.classes[model.words + 1 :]]) if t), sum(rest.values()), rel_tol=1e-6)
     # x and y words take turns: no class holds both, apart from words met rarely.
-    score = listed(classlm.score(df, held="out", vocabulary=80, classes=4))
+    score = listed(classlm.score(df, held="out", least=1, classes=4))
     assert sum(r["score"] for r in score) > sum(r["base_score"] for r in score)
 
 
+def class_table(bigrams, classes, size):
+    table = np.zeros((size, size))
+    for (a, b), n in bigrams.items():
+        table[classes[a], classes[b]] += n
+    return table
+
+
+def some_bigrams(seed, symbols, tokens):
+    rng = np.random.default_rng(seed)
+    text = np.minimum(rng.geometric(0.06, tokens), symbols) - 1
+    text[rng.random(tokens) < 0.1] = 3  # also after itself
+    return Counter(zip(text[:-1].tolist(), text[1:].tolist()))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_best_class_against_recounted_likelihood(seed):
+    movable, symbols = 5, 40
+    bigrams = some_bigrams(seed, symbols, 3000)
+    classes = np.random.default_rng(seed).integers(0, movable, symbols)
+    classes[-2:] = movable, movable + 1  # those that stay
+    size = movable + 2
+    table = class_table(bigrams, classes, size)
+    for word in range(symbols - 2):
+        after = sum((n * np.eye(size)[classes[b]] for (a, b), n in bigrams.items() if a == word), np.zeros(size))
+        before = sum((n * np.eye(size)[classes[a]] for (a, b), n in bigrams.items() if b == word), np.zeros(size))
+        best, gain = classlm.best_class(classes[word], after, before, bigrams[word, word], table, movable)
+        by_class = []
+        for c in range(movable):
+            moved = classes.copy()
+            moved[word] = c
+            by_class.append(classlm.likelihood(class_table(bigrams, moved, size)) - classlm.likelihood(table))
+        assert math.isclose(gain, max(by_class), rel_tol=1e-6, abs_tol=1e-6)
+        assert math.isclose(by_class[best], max(by_class), rel_tol=1e-6, abs_tol=1e-6)
+
+
+@pytest.mark.parametrize("block", [500, 7])
+def test_exchange_ends_where_no_word_gains(spark, docs, block, monkeypatch):
+    monkeypatch.setattr(classlm, "BLOCK", block)
+    movable, words, size = 5, 37, 40  # the end, words, two classes by rule
+    bigrams = some_bigrams(9, size, 6000)
+    pairs = spark.createDataFrame([(a * size + b, n) for (a, b), n in bigrams.items()], "pair long, n long")
+    before, _ = classlm.exchange(pairs, words, size, movable, 0)
+    assert before.tolist() == [movable, *[i % movable for i in range(words)], movable + 1, movable + 2]
+    classes, table = classlm.exchange(pairs, words, size, movable, 100)
+    total = movable + size - words
+    assert np.array_equal(table, class_table(bigrams, classes, total))
+    assert classlm.likelihood(table) > classlm.likelihood(class_table(bigrams, before, total)) + 10
+    if block == 500:  # one block: the plain algorithm, word by word
+        plain, moving = before.copy(), True
+        while moving:
+            moving = False
+            for word in range(1, words + 1):
+                options = []
+                for c in range(movable):
+                    tried = plain.copy()
+                    tried[word] = c
+                    options.append(classlm.likelihood(class_table(bigrams, tried, total)))
+                if max(options) > options[plain[word]] + 1e-4:
+                    plain[word], moving = int(np.argmax(options)), True
+        assert classes.tolist() == plain.tolist()
+    for word in range(1, words + 1):
+        for c in range(movable):
+            tried = classes.copy()
+            tried[word] = c
+            assert classlm.likelihood(class_table(bigrams, tried, total)) < classlm.likelihood(table) + 1e-2
+
+
+def test_score_of_a_document_by_hand(spark, docs):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{'xy'[k % 2]}{min(rng.geometric(0.1), 30)}" for k in range(50)) for _ in range(30)]
+    rows = [(i, t, i % 5 == 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, out boolean")
+    seen = {}
+    real = classlm.fit
+
+    def kept(*args):
+        seen["model"] = real(*args)
+        return seen["model"]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(classlm, "fit", kept)
+        scores = {r["doc_id"]: r for r in listed(classlm.score(df, held="out", least=1, classes=3))}
+    m = seen["model"]
+    counts = Counter(w for _, t, out in rows if not out for w in t.split())
+    assert m.words == len(counts)
+    ranked = sorted(counts, key=lambda w: -counts[w])
+    assert m.tokens == sum(counts.values()) + sum(not out for *_, out in rows)
+    # The hashes of words tell which symbol each is.
+    number = {w: int(m.symbols.of(W.words(pa.array([w]), lower=True).hashes, np.zeros(1, np.uint8))[0]) for w in ranked}
+    assert sorted(number.values()) == list(range(1, len(ranked) + 1))
+    assert [counts[w] for w in sorted(ranked, key=number.get)] == sorted(counts.values(), reverse=True)
+    klass = {w: int(m.classes[k]) for w, k in number.items()}
+    end = int(m.classes[0])
+    table, of_class = Counter(), Counter()
+    for _, t, out in rows:
+        if not out:
+            before = end
+            for c in [*(klass[w] for w in t.split()), end]:
+                table[before, c] += 1
+                of_class[c] += 1
+                before = c
+    size = len(m.totals)
+    n = sum(of_class.values())
+    prior = {c: (of_class[c] + 1) / (n + size) for c in range(size)}
+    outgoing = Counter()
+    for (a, _), k in table.items():
+        outgoing[a] += k
+    for i, t, out in rows:
+        if any(w not in counts for w in t.split()):
+            continue
+        before, expected = end, 0.0
+        for w in [*t.split(), None]:
+            c = end if w is None else klass[w]
+            expected += math.log10((table[before, c] + classlm.BACKOFF * prior[c]) / (outgoing[before] + classlm.BACKOFF))
+            expected += 0.0 if w is None else math.log10(counts[w] / of_class[c])
+            before = c
+        assert math.isclose(scores[i]["score"], expected, rel_tol=1e-9)
+
+
 # Search.
 
 
