@@ -15,8 +15,10 @@ from jobtally.session import shared_dir
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write_table(df: DataFrame, name: str) -> str:
-    """Write ``df`` as Parquet below ``spark.checkpoint.dir``; returns its path.
+def write_table(df: DataFrame, name: str, rows: int = 0) -> str:
+    """Write ``df`` as Parquet below ``spark.checkpoint.dir``, in files of at most ``rows`` rows if given; returns its path.
+
+    A task that reads a file may hold all of its rows at once, so packed rows of many megabytes need such a bound.
 
     Shuffle files of the write go when it ends: the table replaces them, also after the loss of executors.
     """
@@ -26,7 +28,7 @@ def write_table(df: DataFrame, name: str) -> str:
     spark.conf.set(CLEANUP, "true")
     try:
         # Same plan in a new execution, which then takes the setting.
-        df.select("*").write.parquet(path)
+        df.select("*").write.option("maxRecordsPerFile", rows).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
@@ -35,9 +37,9 @@ def write_table(df: DataFrame, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
     """``df`` cut from its lineage by a written table."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name, rows))
 
 
 def drop_table(spark: SparkSession, path: str) -> None:

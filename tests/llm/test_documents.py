@@ -397,7 +397,8 @@ def test_exchange_ends_where_no_word_gains(spark, docs, block, monkeypatch):
     monkeypatch.setattr(classlm, "BLOCK", block)
     movable, words, size = 5, 37, 40  # the end, words, two classes by rule
     bigrams = some_bigrams(9, size, 6000)
-    pairs = spark.createDataFrame([(a * size + b, n) for (a, b), n in bigrams.items()], "pair long, n long")
+    packed = [(k, *[np.array(x, np.int64).tobytes() for x in zip(*[(a * size + b, n) for (a, b), n in bigrams.items() if a % 3 == k])]) for k in range(3)]
+    pairs = spark.createDataFrame(packed, classlm.PACKED)
     before, _ = classlm.exchange(pairs, words, size, movable, 0)
     assert before.tolist() == [movable, *[i % movable for i in range(words)], movable + 1, movable + 2]
     classes, table = classlm.exchange(pairs, words, size, movable, 100)
