@@ -1,25 +1,30 @@
-"""Main text of web pages: markup first, then a suffix array per host that finds boilerplate in what markup leaves open.
+"""Main text of web pages: zones from markup, and a suffix array per host that finds the boilerplate.
 
 A page becomes a stream of blocks, each with its zone: ``article`` (inside an article or main element), ``chrome``
 (menus, footers, sidebars, forms, and elements named like notices, adverts or comments) or ``open`` (anything else).
 The token streams of a host's pages are joined and their suffixes sorted by the first ``DEPTH`` tokens, by doubling. A
-run of tokens that recurs in enough different pages of the whole host is boilerplate; pages whose open and article text
-is the same count once, so copies of a page are no evidence. Blocks are kept when they are
-
-* in an article: what its markup claims is not put to the test, as articles quote each other and their adverts, or
-* open, on a page without an article, and not covered by recurring runs: the unique runs of such pages.
-
-Hosts with such pages are dealt into shards of about ``SHARD`` rows by a random number. Of ``n`` shards one at least
-holds an ``n``-th of the pages of any run, so only runs that some shard sees that often are counted: their pages are
-told apart over all shards, and what reaches the limit goes back to the shards. So a host is judged as a whole, and
-no task gathers more than a shard. Odd input: null html and pages without
-blocks give the empty text; pages without a url form one host; null or repeated page ids are pages of their own.
+run of tokens that recurs in enough different pages of the whole host is boilerplate. Pages whose open and article text
+is the same count once, as the one of least hash, so copies of a page are no evidence. Blocks are kept when they are
+
+* in an article, and not covered by runs that also recur outside articles on enough pages, and in ``LEAST_PAGES``
+  articles: that articles alone repeat a text (headings, quotes, near copies) is no evidence against it, nor that a
+  sidebar lists a heading, or
+* open, on a page without an article, and not covered by recurring runs, or
+* open, on a page with an article, where counts can tell: blocks of ``DEPTH`` tokens at least, on hosts of
+  ``LEAST_PAGES`` different pages at least, not covered by recurring runs.
+
+The different pages of a host are dealt into shards of about ``SHARD`` by their hash. There are fewer shards than the
+pages that make a run recur, so such a run stands in two pages of some shard at least. What does is counted in all
+shards; counts add up, as a page is in one shard. So a host is judged as a whole, and no task gathers more than a shard.
+Odd input: null html and pages without blocks give the empty text; pages without a url form one host; null or repeated
+page ids are pages of their own.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +40,9 @@ DEPTH = 8  # tokens; a power of two
 LEAST_PAGES, LEAST_SHARE, MOST_PAGES = 3, 0.2, 300  # a share of a host's pages, but never more than MOST_PAGES
 COVER = 0.8
 SHARD = 1500
-PARSED = "page_id long, url string, host string, zones binary, blocks array<string>, twin long, undecided boolean, salt long"
+PARSED = "page_id long, url string, host string, zones binary, body binary, twin long, variant long, fresh boolean, open boolean, salt long"
+COUNTS = ("h", "pages", "outside", "inside", "use")
+COUNTED = "host string, h long, pages long, outside long, inside long, use boolean"
 ARTICLE, OPEN, CHROME = 0, 1, 2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|title|textarea|iframe)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
@@ -151,20 +158,38 @@ def recurring(tokens: np.ndarray, page: np.ndarray, twin: np.ndarray, depth: int
     return covered(at[pages >= max(LEAST_PAGES, min(MOST_PAGES, LEAST_SHARE * len(np.unique(twin))))], len(tokens), depth)
 
 
+def _hash(texts: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(t.encode()) for t in texts], np.uint64).view(np.int64)
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    least: dict[tuple, int] = {}  # of each text of a host, the least variant so far
     for batch in batches:
         for rows in W.slices(batch, batch.schema.get_field_index("html"), 8_000_000):
             found = [blocks(h.as_py()) for h in rows.column("html")]
             zones = [bytes(z for z, _ in b) for b in found]
-            bodies = ["\n".join(t for z, t in b if z != CHROME) for b in found]
+            twin = _hash(["\n".join(t for z, t in b if z != CHROME) for b in found])
+            variant = _hash(["\n".join(f"{z}{t}" for z, t in b) for b in found])
+            fresh = []
+            for key, own in zip(zip(rows.column("host").to_pylist(), twin.tolist()), variant.tolist()):
+                fresh.append(key not in least or own < least[key])
+                if fresh[-1]:
+                    least[key] = own
             columns = [
                 pa.array(zones, pa.binary()),
-                pa.array([[t for _, t in b] for b in found], pa.list_(pa.string())),
-                pa.array(np.array([xxhash.xxh64_intdigest(b.encode()) for b in bodies], np.uint64).view(np.int64)),
-                pa.array([OPEN in z and ARTICLE not in z for z in zones], pa.bool_()),
+                pa.array([zlib.compress("\n".join(t for _, t in b).encode(), 1) for b in found], pa.binary()),
+                pa.array(twin),
+                pa.array(variant),
+                pa.array(fresh, pa.bool_()),
+                pa.array([OPEN in z for z in zones], pa.bool_()),
                 pa.array(np.random.default_rng().integers(0, 1 << 62, len(found))),
             ]
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("page_id", "url", "host")), *columns], ["page_id", "url", "host", "zones", "blocks", "twin", "undecided", "salt"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("page_id", "url", "host")), *columns], [c.split()[0] for c in PARSED.split(", ")])
+
+
+def _texts(zones: bytes, body: bytes) -> list[str]:
+    """The blocks of a page; they have no line ends inside."""
+    return zlib.decompress(body).decode().split("\n") if zones else []
 
 
 class _Shard:
@@ -173,7 +198,7 @@ class _Shard:
     def __init__(self, rows: pd.DataFrame):
         zones = [np.frombuffer(z, np.uint8) for z in rows["zones"]]
         sizes = np.array([len(z) for z in zones], np.int64)
-        self.flat = [t for texts in rows["blocks"] for t in texts]
+        self.flat = [t for page in zip(rows["zones"], rows["body"]) for t in _texts(*page)]
         self.zone = np.concatenate([*zones, np.zeros(0, np.uint8)])
         self.edge = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
         page_of_block = np.repeat(np.arange(len(rows)), sizes)
@@ -190,54 +215,91 @@ class _Shard:
         return np.bincount(self.block[inside], minlength=len(self.flat)) / np.maximum(np.bincount(self.block, minlength=len(self.flat)), 1)
 
 
-def _candidates(rows: pd.DataFrame) -> pd.DataFrame:
-    """Runs of undecided pages that so many pages of this shard hold that the host may reach its limit."""
-    shard = _Shard(rows)
-    at, pages = run_pages(shard.tokens, shard.page, rows["twin"].to_numpy())
-    least = rows["least"].iloc[0] / rows["shards"].iloc[0]
-    often = at[pages >= least]
-    # A run is of use where it covers open text of an undecided page.
-    of_use = (shard.zone[shard.block] == OPEN) & rows["undecided"].to_numpy()[shard.page]
-    before = np.concatenate([[0], np.cumsum(of_use)])
-    often = often[before[often + DEPTH] > before[often]]
-    return pd.DataFrame({"host": rows["host"].iloc[0], "h": np.unique(shard.runs[np.searchsorted(shard.at, often)])})
-
-
-def _holders(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-    """Each wanted run with the pages of this shard that hold it."""
-    if not len(rows) or not len(wanted):
-        return pd.DataFrame({"host": pd.Series([], dtype=str), "h": pd.Series([], dtype="int64"), "twin": pd.Series([], dtype="int64")})
+def _counts(rows: pd.DataFrame) -> pd.DataFrame:
+    """Each run of the shard: in how many different pages it stands, in how many outside and inside articles, and whether it covers open text."""
+    rows = rows.sort_values("variant").drop_duplicates("twin")
     shard = _Shard(rows)
-    hit = np.isin(shard.runs, wanted["h"].to_numpy())
-    found = pd.DataFrame({"h": shard.runs[hit], "twin": rows["twin"].to_numpy()[shard.page[shard.at[hit]]]}).drop_duplicates()
-    return found.assign(host=rows["host"].iloc[0])[["host", "h", "twin"]]
+    if not len(shard.at):
+        return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("h", "pages", "outside", "inside")}).assign(use=pd.Series([], dtype=bool))
+    rank = ranks(shard.tokens)[shard.at]
+    _, first, rank = np.unique(rank, return_index=True, return_inverse=True)
+    page, zone = shard.page[shard.at], shard.zone[shard.block]
+
+    def of_zone(wanted: int) -> np.ndarray:
+        before = np.concatenate([[0], np.cumsum(zone == wanted)])
+        return before[shard.at + DEPTH] - before[shard.at]
+
+    def pages(where: np.ndarray) -> np.ndarray:
+        different = np.unique(rank[where] * len(rows) + page[where])
+        return np.bincount(different // len(rows), minlength=len(first))
+
+    article = of_zone(ARTICLE)
+    use = np.bincount(rank, of_zone(OPEN) > 0, len(first)) > 0
+    counts = {"pages": pages(article >= 0), "outside": pages(article == 0), "inside": pages(article == DEPTH)}
+    return pd.DataFrame({"h": shard.runs[first], **counts, "use": use})
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of runs that so many pages of a shard hold that the host may reach its limit; for hosts of one shard, they are final."""
+    for row in _each(batches):
+        found = _counts(pd.DataFrame(row["different"]))
+        yield _counted(row, found[found["pages"] >= row["least"] / row["shards"]])
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the wanted runs in each shard."""
+    for row in _each(batches):
+        found = _counts(pd.DataFrame(row["different"]))
+        yield _counted(row, found[np.isin(found["h"], row["wanted"])])
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Row by row, so that one shard at a time is unpacked."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _counted(row: dict, found: pd.DataFrame) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([row["host"]] * len(found), pa.string()), *[pa.array(found[c].to_numpy()) for c in COUNTS]], ["host", *COUNTS])
 
 
 def _keep(rows: pd.DataFrame, frequent: pd.DataFrame) -> pd.DataFrame:
-    """The main text of undecided pages of a host, whose frequent runs are given."""
+    """The main text of pages of a host, whose frequent runs are given."""
     shard = _Shard(rows)
-    kept = (shard.zone == OPEN) & (shard.share(frequent["h"].to_numpy(np.int64)) < COVER)
+    runs, article = frequent["h"].to_numpy(np.int64), frequent["article"].to_numpy(bool)
+    sizes = np.bincount(shard.block, minlength=len(shard.flat))
+    page_of_block = np.repeat(np.arange(len(rows)), np.diff(shard.edge))
+    has_article = np.bincount(page_of_block[shard.zone == ARTICLE], minlength=len(rows)) > 0
+    tells = (sizes >= DEPTH) & (rows["pages"].to_numpy()[page_of_block] >= LEAST_PAGES) | ~has_article[page_of_block]
+    kept = (shard.zone == ARTICLE) & (shard.share(runs[article]) < COVER) | (shard.zone == OPEN) & tells & (shard.share(runs) < COVER)
     texts = ["\n".join(shard.flat[i] for i in range(a, b) if kept[i]) for a, b in zip(shard.edge[:-1], shard.edge[1:])]
     return pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": pd.Series(texts, index=rows.index, dtype=object)})
 
 
 def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The main text of pages that markup decides."""
+    """The main text of pages without open text, on hosts that have no boilerplate in articles."""
     for batch in batches:
-        texts = ["\n".join(t for z, t in zip(zones.as_py(), own.as_py()) if z == ARTICLE) for zones, own in zip(batch.column("zones"), batch.column("blocks"))]
+        texts = ["\n".join(t for z, t in zip(zones, _texts(zones, body)) if z == ARTICLE) for zones, body in zip(batch.column("zones").to_pylist(), batch.column("body").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def frequent_runs(dealt: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(host, h) of the runs that reach the limit of their host; ``dealt`` has all pages of ``hosts``."""
-    by_shard = dealt.select("host", "shard", "shards", "least", "zones", "blocks", "twin", "undecided")
-    found = by_shard.groupBy("host", "shard").applyInPandas(lambda rows: _candidates(rows), "host string, h long")
-    wanted = materialise(found.distinct(), "runs")
-    every = wanted.join(hosts, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), "h")
-    pages = by_shard.groupBy("host", "shard").cogroup(every.groupBy("host", "shard"))
-    held = pages.applyInPandas(lambda rows, runs: _holders(rows, runs), "host string, h long, twin long")
-    counted = held.distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("pages"))
-    return materialise(counted.join(hosts, "host").where("pages >= least").select("host", "h"), "frequent")
+    """(host, h, article) of the runs that reach the limit of their host, and whether they go from articles, too; ``dealt``
+    has the different pages of ``hosts``."""
+    own = F.struct("zones", "body", "twin", "variant")
+    # A shard is a row, so that both passes read it without a shuffle of texts.
+    shards = materialise(dealt.groupBy("host", "shard", "shards", "least").agg(F.collect_list(own).alias("different")), "shards", rows=8)
+    found = materialise(shards.mapInArrow(_candidates, COUNTED), "runs")
+    one = hosts.select("host", (F.col("shards") == 1).alias("one"))
+    counted = found.join(one.where("one"), "host", "left_semi")
+    wanted = found.join(one.where("NOT one"), "host", "left_semi").groupBy("host").agg(F.collect_set("h").alias("wanted"))
+    parts = shards.join(wanted, "host").mapInArrow(_wanted, COUNTED)
+    sums = [F.sum(c).alias(c) for c in ("pages", "outside", "inside")]
+    counted = counted.unionByName(parts.groupBy("host", "h").agg(*sums, F.max("use").alias("use")))
+    article = (F.col("outside") >= F.col("least")) & (F.col("inside") >= LEAST_PAGES)
+    reached = counted.join(hosts.select("host", "least"), "host").where("pages >= least").select("host", "h", article.alias("article"), "use")
+    return materialise(reached.where("use OR article").select("host", "h", "article"), "frequent")
 
 
 def main_text(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
@@ -245,16 +307,20 @@ def main_text(pages: DataFrame, id_col="page_id", url_col="url", html_col="html"
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
     own = inner(pages, page_id=id_col, url=url_col, html=html_col).withColumn("host", host)
     parsed = materialise(own.mapInArrow(_parse, PARSED), "parsed")
-    twins = parsed.groupBy("host", "twin").agg(F.count(F.lit(1)).alias("rows"), F.max("undecided").alias("undecided"))
-    counts = twins.groupBy("host").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("pages"), F.max("undecided").alias("undecided"))
+    twins = parsed.groupBy("host", "twin").agg(F.count(F.lit(1)).alias("rows"))
+    counts = twins.groupBy("host").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("pages"))
     least = F.greatest(F.lit(float(LEAST_PAGES)), F.least(F.lit(float(MOST_PAGES)), LEAST_SHARE * F.col("pages")))
-    # Hosts that markup decides everywhere need no counts.
-    hosts = materialise(counts.where("undecided").select("host", F.ceil(F.col("rows") / SHARD).alias("shards"), least.alias("least")), "hosts")
-    dealt = parsed.join(hosts, "host").withColumn("shard", F.pmod("salt", "shards"))
+    shards = F.least(F.ceil(F.col("pages") / SHARD), F.ceil("least") - 1)
+    hosts = materialise(counts.withColumn("least", least).withColumns({"shards": shards, "deal": F.ceil(F.col("rows") / SHARD)}), "hosts")
+    dealt = parsed.where("fresh").join(hosts.where(F.col("pages") >= LEAST_PAGES), "host").withColumn("shard", F.pmod("twin", "shards"))
     frequent = frequent_runs(dealt, hosts)
-    told = frequent.join(hosts, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), "h")
-    left = dealt.where("undecided").select("page_id", "url", "host", "shard", "zones", "blocks").groupBy("host", "shard")
+    # The rest is as markup has it: nothing open, and no run of the host that goes from articles.
+    in_articles = frequent.where("article").select("host", F.lit(True).alias("judged")).distinct()
+    ready = parsed.join(hosts.select("host", "pages", "deal"), "host").join(in_articles, "host", "left")
+    to_judge = F.col("open") | F.coalesce("judged", F.lit(False))
+    left = ready.where(to_judge).select("page_id", "url", "host", F.pmod("salt", "deal").alias("shard"), "zones", "body", "pages").groupBy("host", "shard")
+    told = frequent.join(hosts, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deal") - 1)).alias("shard"), "h", "article")
     schema = "page_id long, url string, text string"
-    decided = parsed.where(~F.col("undecided")).select("page_id", "url", "zones", "blocks").mapInArrow(_articles, schema)
+    decided = ready.where(~to_judge).select("page_id", "url", "zones", "body").mapInArrow(_articles, schema)
     found = decided.unionByName(left.cogroup(told.groupBy("host", "shard")).applyInPandas(lambda rows, runs: _keep(rows, runs), schema))
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -102,6 +102,40 @@ def test_a_notice_on_many_pages_goes_however_large_the_host(spark):
     assert sorted((r.page_id, r.text) for r in found) == [(k, " ".join(f"word{k}x{i}" for i in range(9))) for k in range(2000)]
 
 
+def _text(k, n=12, word="word"):
+    return " ".join(f"{word}{k}x{i}" for i in range(n))
+
+
+@pytest.mark.parametrize("shard", [hostpages.SHARD, 5])
+def test_counts_decide_beside_an_article(spark, shard, monkeypatch):
+    """Open text beside an article stays if it is unique and goes if it recurs; a host too small to tell leaves it to markup."""
+    monkeypatch.setattr(hostpages, "SHARD", shard)
+    importable(spark)
+    notice = "<div>Our invented office is closed for all of the coming week</div>"
+    page = lambda k: f"{notice}<main><p>teaser {k}</p></main><div>{_text(k)}</div><p>next</p>"
+    rows = [(k, f"https://news.example.org/{k}", page(k)) for k in range(12)] + [(20, "https://one.example.org/", page(20))]
+    found = hostpages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {**{k: f"teaser {k}\n{_text(k)}" for k in range(12)}, 20: "teaser 20"}
+
+
+@pytest.mark.parametrize("shard", [hostpages.SHARD, 5])
+def test_counts_decide_inside_an_article(spark, shard, monkeypatch):
+    """What recurs outside articles goes inside them, too; what only articles repeat stays, and a heading that a sidebar lists."""
+    monkeypatch.setattr(hostpages, "SHARD", shard)
+    importable(spark)
+    notice = "Our invented office is closed for all of the coming week"
+    quote = "As our invented founder used to say every day is a new day"
+    heading = "A heading of nine words that each sidebar lists here"
+    rows = []
+    for k in range(24):
+        inside = f"<p>{notice}</p>" if k % 2 else ""
+        outside = "" if k % 2 else f"<div class=notice>{notice}</div>"
+        title = f"<h1>{heading}</h1>" if k == 7 else ""
+        rows.append((k, f"https://news.example.org/{k}", f"{outside}<aside><p>{heading}</p></aside><article>{title}<p>{_text(k)}</p>{inside}<p>{quote}</p></article>"))
+    found = hostpages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {k: (f"{heading}\n" if k == 7 else "") + f"{_text(k)}\n{quote}" for k in range(24)}
+
+
 # Toxicity.
 
 
