@@ -14,6 +14,7 @@ from jobtally.functions.layout import JobIdLayout
 
 POLL_ZERO = 1704067200
 LAYOUT = JobIdLayout.parse("%e.%u.%H")
+_JOB = ["user_id", "host_no"]  # numbers that tell the jobs of a host apart
 _DAYS = range(31)  # days of a month, the widest a series can get
 
 
@@ -42,12 +43,19 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     One shuffle: the days of a series are summed side by side before it, and the
     running sum needs only a sort of what is already partitioned by series.
     """
+    return _samples(spark, sf_dir).drop(*_JOB)
+
+
+def _samples(spark: SparkSession, sf_dir: str, by_job: bool = False) -> DataFrame:
+    """``samples`` with the numbers of user and host; ``by_job``: dealt by them while a series is still one row."""
     rows = _classified(spark, sf_dir)
     series = ["user_id", "operation", "host_no"]
     by_series = rows.groupBy(*series).agg(
         F.min("poll").alias("first_poll"),
         *[F.expr(f"sum(CASE WHEN poll = {day} THEN weight END) AS d{day}") for day in _DAYS],
     )
+    if by_job:
+        by_series = by_series.repartition(*_JOB)
     polls_seen = F.broadcast(rows.select("poll").distinct())  # days of a month, 31 rows at most
     days = ", ".join(f"d{day}" for day in _DAYS)
     dense = (
@@ -75,6 +83,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
             "poll_ts + host_no - start AS elapsed_time",
             "operation",
             "samples",
+            *_JOB,
         )
     )
 
@@ -97,7 +106,12 @@ def samples_with_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every read and write row is followed by its byte counter, and each
     (poll, host, job) has one ``statfs`` metric of 0 samples.
     """
-    first = Window.partitionBy("poll", "host", "job_id").orderBy("operation")
+    return _samples_with_bytes(spark, sf_dir).drop(*_JOB)
+
+
+def _samples_with_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``samples_with_bytes`` with the numbers of user and host, dealt by them."""
+    first = Window.partitionBy("poll", *_JOB).orderBy("operation")
     count, zero = F.col("samples"), _long(0)
     no_hist = F.create_map().cast("map<string,bigint>")
     mdt = F.concat(F.lit("mdt.fs-MDT000"), F.right("host", F.lit(1)), F.lit(".job_stats"))
@@ -113,11 +127,11 @@ def samples_with_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.row_number().over(first) == 1, idle.cast(_METRIC)),
     )
     return (
-        samples(spark, sf_dir)
+        _samples(spark, sf_dir, by_job=True)
         .withColumn("_metrics", extra)
         .withColumn("metric", F.explode("_metrics"))
         .where("metric IS NOT NULL")
-        .select("poll", "poll_ts", "host", "job_id", "snapshot_time", "start_time", "elapsed_time", "metric.*")
+        .select("poll", "poll_ts", "host", "job_id", "snapshot_time", "start_time", "elapsed_time", "metric.*", *_JOB)
     )
 
 
@@ -137,10 +151,11 @@ def dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
               '  start_time:      ', start_time, '.5\n  elapsed_time:    ', elapsed_time, '.0\n')"""
     target = ["poll_ts", "host", "param"]
     job = ["job_id", "snapshot_time", "start_time", "elapsed_time"]
+    # By user and host no row moves, until the pages are put together.
     jobs = (
-        samples_with_bytes(spark, sf_dir)
-        .selectExpr(*target, *job, f"{line} AS line")
-        .groupBy(*target, *job)
+        _samples_with_bytes(spark, sf_dir)
+        .selectExpr(*target, *job, *_JOB, f"{line} AS line")
+        .groupBy(*target, *job, *_JOB)
         .agg(F.array_join(F.sort_array(F.collect_list("line")), "").alias("lines"))
     )
     page = f"CAST(split_part(job_id, '.n', 2) AS BIGINT) div {JOBS_PER_BLOCK} AS page"
@@ -164,7 +179,7 @@ def messy_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 'exe2' THEN concat('  ', operation, ': { samples: x', samples, ', unit: reqs }\\n')
         ELSE concat('  ', operation, ':{samples:', samples, ',unit:usecs,hist:7}\\n   \\n') END"""
     job = ["poll_ts", "host", "param", "job_id"]
-    jobs = samples(spark, sf_dir).selectExpr(*job, f"{line} AS line").groupBy(*job).agg(
+    jobs = _samples(spark, sf_dir, by_job=True).selectExpr(*job, *_JOB, f"{line} AS line").groupBy(*job, *_JOB).agg(
         F.array_join(F.sort_array(F.collect_list("line")), "").alias("lines")
     )
     text = r"concat('a note { samples: 5 }\njob_stats:\n\n- job_id:\t', job_id, '\n', lines) AS data"

@@ -27,10 +27,12 @@ def _whole(text: Column) -> Column:
     return F.coalesce(text.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def _pieces(data: Column, pattern: str) -> Column:
-    """The text of each job: whatever follows a job header, up to the next."""
-    parts = F.split(data, pattern)
-    return F.slice(parts, 2, F.size(parts))
+def _jobs(blocks: DataFrame, pattern: str, explode=F.explode) -> DataFrame:
+    """The text of each job as ``_job``: whatever follows a job header, up to the next."""
+    rest = [name for name in blocks.columns if name != "data"]
+    # A column of its own is cut once; inside the generator each mention would cut the block again.
+    parts = blocks.select(*rest, F.split("data", pattern).alias("_parts"))
+    return parts.select(*rest, explode(F.slice("_parts", 2, F.size("_parts"))).alias("_job"))
 
 
 def _time(text: Column, key: str) -> Column:
@@ -45,16 +47,10 @@ def _timed_part(job: Column) -> Column:
     return F.when(F.substr(job, F.length(head) + 1).contains("_time:"), job).otherwise(head)
 
 
-def _last_metrics(lines: Column) -> Column:
-    """Lines that give a metric, the last one of each name."""
-    keyed = F.transform(
-        F.filter(lines, _is_metric), lambda line: F.struct(line.alias("line"), _line_key(line).alias("name"))
-    )
-    return keep_last(keyed, "name")["line"]
-
-
-def _line_key(line: Column) -> Column:
-    return _name(_bare(line))
+def _last_metrics(bares: Column) -> Column:
+    """Metrics as ``_bare`` leaves them, the last one of each name."""
+    keyed = F.transform(bares, lambda bare: F.struct(bare.alias("bare"), _name(bare).alias("name")))
+    return keep_last(keyed, "name")["bare"]
 
 
 def keep_last(entries: Column, key: str) -> Column:
@@ -82,18 +78,22 @@ def _item(values: Column, key: str) -> Column:
     return F.when(values.contains(mark), F.substring_index(F.substring_index(values, mark, -1), ",", 1)).otherwise("")
 
 
-def _histogram(text: Column) -> Column:
-    """``4K:1,4M:2`` as a map; entries without a number are left out."""
+def _pairs(text: Column) -> Column:
+    """``4K:1,4M:2`` as (key, value); entries without a number are left out."""
     count = lambda item: F.substr(item, F.instr(item, F.lit(":")) + 1)
     pair = lambda item: F.struct(
         F.substring_index(item, ":", 1).alias("key"),
         F.when(item.contains(":"), count(item).try_cast("bigint")).alias("value"),
     )
-    pairs = F.filter(F.transform(F.split(text, ","), pair), lambda entry: entry["value"].isNotNull())
+    return F.when(text != "", F.filter(F.transform(F.split(text, ","), pair), lambda entry: entry["value"].isNotNull()))
+
+
+def _histogram(pairs: Column) -> Column:
+    """The pairs as a map, the last one of each key; without pairs an empty one."""
     keys = pairs["key"]
     once = F.size(F.array_distinct(keys)) == F.size(keys)
     full = F.map_from_entries(F.when(once, pairs).otherwise(keep_last(pairs, "key")))
-    return F.when(text == "", F.create_map().cast("map<string,bigint>")).otherwise(full)
+    return F.when(pairs.isNull(), F.create_map().cast("map<string,bigint>")).otherwise(full)
 
 
 def parse_job_stats(blocks: DataFrame, keep_empty: bool = False) -> DataFrame:
@@ -104,30 +104,26 @@ def parse_job_stats(blocks: DataFrame, keep_empty: bool = False) -> DataFrame:
     with a null job to show that the poll took place.
     """
     rest = [name for name in blocks.columns if name != "data"]
-    explode = F.explode_outer if keep_empty else F.explode
-    jobs = blocks.select(*rest, explode(_pieces(F.col("data"), JOB_START)).alias("_job"))
-    lines, keys = F.split("_job", "\n"), F.col("_keys")
+    jobs = _jobs(blocks, JOB_START, F.explode_outer if keep_empty else F.explode)
+    job = [*rest, "job_id", *TIME_KEYS]
+    # Each step is a column that the next ones use, so that nothing is worked out twice.
     cut = jobs.select(
         *rest,
         F.btrim(F.substring_index("_job", "\n", 1), F.lit(BLANKS)).alias("job_id"),
         _timed_part(F.col("_job")).alias("_timed"),
-        F.slice(lines, 2, F.size(lines)).alias("_lines"),
-    ).withColumn("_keys", F.transform(F.filter("_lines", _is_metric), _line_key))
-    # Metrics hardly ever repeat within a job; lines are only compared where one does.
-    once = F.size(F.array_distinct(keys)) == F.size(keys)
-    job = [*rest, "job_id", *TIME_KEYS]
-    kept = cut.select(
+        F.split("_job", "\n").alias("_lines"),
+    ).select(
         *rest,
         "job_id",
         *[_time(F.col("_timed"), key).alias(key) for key in TIME_KEYS],
-        F.when(once, F.col("_lines")).otherwise(_last_metrics(F.col("_lines"))).alias("_lines"),
-    )
-    # A null line stands for a job that has no metric.
-    some = F.when(F.exists("_lines", _is_metric), F.col("_lines"))
-    metrics = kept.select(*job, F.explode_outer(some).alias("_line")).where(
-        F.col("_line").isNull() | _is_metric(F.col("_line"))
+        F.transform(F.filter(F.slice("_lines", 2, F.size("_lines")), _is_metric), _bare).alias("_bares"),
     )
-    return _columns(metrics.select(*job, _bare(F.col("_line")).alias("_bare")), job)
+    named = cut.select(*job, "_bares", F.transform("_bares", _name).alias("_keys"))
+    # Metrics hardly ever repeat within a job; they are only compared where one does.
+    once = F.size(F.array_distinct("_keys")) == F.size("_keys")
+    kept = named.select(*job, F.when(once, F.col("_bares")).otherwise(_last_metrics(F.col("_bares"))).alias("_kept"))
+    # A job that has no metric is left with a null.
+    return _columns(kept.select(*job, F.explode_outer("_kept").alias("_bare")), job)
 
 
 def _columns(bare: DataFrame, job: list[str]) -> DataFrame:
@@ -151,22 +147,25 @@ def _columns(bare: DataFrame, job: list[str]) -> DataFrame:
             _whole(_item(items, "samples")).alias("samples"),
             _item(items, "unit").alias("unit"),
             *[_whole(_item(items, key)).alias(key) for key in NUMBER_KEYS[1:]],
-            _histogram(F.col("_hist")).alias("hist"),
+            _pairs(F.col("_hist")).alias("_pairs"),
         )
+        .withColumn("hist", _histogram(F.col("_pairs")))
+        .drop("_pairs")
     )
 
 
 def parse_histogram(samples: DataFrame) -> DataFrame:
     """One row per histogram bucket of a metric."""
     rest = [name for name in samples.columns if name != "hist"]
-    return samples.select(*rest, F.explode("hist").alias("bucket", "count"))
+    # For a plain explode the planner filters by size first, and works out each histogram again for that.
+    return samples.select(*rest, F.explode_outer("hist").alias("bucket", "count")).where("bucket IS NOT NULL")
 
 
 def parse_flat_blocks(blocks: DataFrame) -> DataFrame:
     """Points of the flat dialect: ``job_id: x`` and then ``op: N`` or
     ``op: { samples: N ... }`` lines, timed by the block."""
     lines = F.split("_job", "\n")
-    jobs = blocks.select("poll_ts", F.explode(_pieces(F.col("data"), FLAT_JOB_START)).alias("_job"))
+    jobs = _jobs(blocks.select("poll_ts", "data"), FLAT_JOB_START)
     parts = jobs.select(
         F.col("poll_ts").alias("timestamp"),
         F.btrim(F.substring_index("_job", "\n", 1), F.lit(BLANKS)).alias("job_id"),

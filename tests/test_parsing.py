@@ -5,6 +5,7 @@ from conftest import POLL_1, TIME_1, framed
 
 from jobtally.functions.layout import JobIdLayout
 from jobtally.operators import merge, rates
+from jobtally.plans import derived
 from jobtally.sources.dumps import parse_flat_blocks, parse_histogram, parse_job_stats
 from jobtally.sources.raw_log import read_raw_log
 
@@ -173,3 +174,22 @@ def test_header_time_is_kept_to_microseconds(spark, golden_log):
     first = read_raw_log(spark, golden_log).selectExpr("unix_micros(poll_time) AS t").agg({"t": "min"}).first()[0]
     assert first == T0 * 1000000 + 123456
     assert TIME_1.endswith("789+00:00")
+
+
+def test_a_histogram_is_worked_out_once(spark):
+    blocks = spark.createDataFrame([(T0, POLL_1)], "poll_ts BIGINT, data STRING")
+    plan = parse_histogram(parse_job_stats(blocks))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(_hist#") == 1
+
+
+def test_a_block_is_cut_once(spark):
+    blocks = spark.createDataFrame([(T0, POLL_1)], "poll_ts BIGINT, data STRING")
+    plan = parse_job_stats(blocks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("- job_id:") == 1
+
+
+def test_jobs_of_dumps_move_once(spark):
+    """By series, by job while a series is a row, and by page; not for each metric, nor to put a job together."""
+    for build, moves in ((derived.dumps, 3), (derived.messy_dumps, 2)):
+        plan = build(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(user_id") == 2 and plan.count("Exchange hashpartitioning(") == moves
