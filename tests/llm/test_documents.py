@@ -425,6 +425,22 @@ def test_exchange_ends_where_no_word_gains(spark, docs, block, monkeypatch):
             assert classlm.likelihood(class_table(bigrams, tried, total)) < classlm.likelihood(table) + 1e-2
 
 
+@pytest.mark.parametrize("others", [0, 3000])
+def test_the_same_words_are_clustered_however_large_the_corpus(spark, docs, monkeypatch, others):
+    texts = [" ".join([*(f"often{k}" for k in range(20)), f"seldom{i % 60}"]) for i in range(300)]
+    texts += [" ".join(f"once{i}x{k}" for k in range(10)) for i in range(others)]
+    real, words = classlm.fit, []
+
+    def fit(*given):
+        words.append(real(*given))
+        return words[-1]
+
+    monkeypatch.setattr(classlm, "fit", fit)
+    df = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "doc_id long, text string, out boolean")
+    assert classlm.score(df, held="out", classes=4, rounds=1).count() == len(texts)
+    assert words[0].words == 20
+
+
 def test_score_of_a_document_by_hand(spark, docs):
     rng = np.random.default_rng(5)
     texts = [" ".join(f"{'xy'[k % 2]}{min(rng.geometric(0.1), 30)}" for k in range(50)) for _ in range(30)]
