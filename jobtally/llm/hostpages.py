@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from jobtally.llm import words as W
-from jobtally.llm.tables import inner, materialise
+from jobtally.llm.tables import drop_table, inner, materialise, write_table
 
 DEPTH = 8  # tokens; a power of two
 LEAST_PAGES, LEAST_SHARE, MOST_PAGES = 3, 0.2, 300  # a share of a host's pages, but never more than MOST_PAGES
@@ -289,7 +289,9 @@ def frequent_runs(dealt: DataFrame, hosts: DataFrame) -> DataFrame:
     has the different pages of ``hosts``."""
     own = F.struct("zones", "body", "twin", "variant")
     # A shard is a row, so that both passes read it without a shuffle of texts.
-    shards = materialise(dealt.groupBy("host", "shard", "shards", "least").agg(F.collect_list(own).alias("different")), "shards", rows=8)
+    packed = dealt.groupBy("host", "shard", "shards", "least").agg(F.collect_list(own).alias("different"))
+    path = write_table(packed, "shards", rows=8)
+    shards = dealt.sparkSession.read.schema(packed.schema).parquet(path)
     found = materialise(shards.mapInArrow(_candidates, COUNTED), "runs")
     one = hosts.select("host", (F.col("shards") == 1).alias("one"))
     counted = found.join(one.where("one"), "host", "left_semi")
@@ -299,7 +301,9 @@ def frequent_runs(dealt: DataFrame, hosts: DataFrame) -> DataFrame:
     counted = counted.unionByName(parts.groupBy("host", "h").agg(*sums, F.max("use").alias("use")))
     article = (F.col("outside") >= F.col("least")) & (F.col("inside") >= LEAST_PAGES)
     reached = counted.join(hosts.select("host", "least"), "host").where("pages >= least").select("host", "h", article.alias("article"), "use")
-    return materialise(reached.where("use OR article").select("host", "h", "article"), "frequent")
+    frequent = materialise(reached.where("use OR article").select("host", "h", "article"), "frequent")
+    drop_table(dealt.sparkSession, path)
+    return frequent
 
 
 def main_text(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
