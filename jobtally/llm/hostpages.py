@@ -16,16 +16,19 @@ is the same count once, as the one of least hash, so copies of a page are no evi
 The different pages of a host are dealt into shards of about ``SHARD`` by their hash. There are fewer shards than the
 pages that make a run recur, so such a run stands in two pages of some shard at least. What does is counted in all
 shards; counts add up, as a page is in one shard. So a host is judged as a whole, and no task gathers more than a shard.
+Shards pass the shuffle in ``TURNS`` turns, each of which frees its files: beside the parsed pages, only a share of their
+texts is on disk at a time.
 Odd input: null html and pages without blocks give the empty text; pages without a url form one host; null or repeated
 page ids are pages of their own.
 """
 
 from __future__ import annotations
 
+import functools
 import html as references
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,14 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from jobtally.llm import words as W
-from jobtally.llm.tables import drop_table, inner, materialise, write_table
+from jobtally.llm.tables import inner, materialise
 
 DEPTH = 8  # tokens; a power of two
 LEAST_PAGES, LEAST_SHARE, MOST_PAGES = 3, 0.2, 300  # a share of a host's pages, but never more than MOST_PAGES
 COVER = 0.8
 SHARD = 1500
+TURNS = 4
 PARSED = "page_id long, url string, host string, zones binary, body binary, twin long, variant long, fresh boolean, open boolean, salt long"
-COUNTS = ("h", "pages", "outside", "inside", "use")
 COUNTED = "host string, h long, pages long, outside long, inside long, use boolean"
 ARTICLE, OPEN, CHROME = 0, 1, 2
 
@@ -128,6 +131,26 @@ def ranks(tokens: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     return rank
 
 
+def repeated(tokens: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """For each suffix its rank by the first ``depth`` tokens, or -1 if these stand nowhere else; such suffixes leave the doubling at once."""
+
+    def ranked(at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        _, which, times = np.unique(keys, return_inverse=True, return_counts=True)
+        again = times[which] > 1
+        rank = np.full(len(tokens), -1, np.int64)
+        rank[at[again]] = which[again]
+        return rank
+
+    rank = ranked(np.arange(len(tokens)), tokens)
+    step = 1
+    while step < depth:
+        at = np.flatnonzero(rank[: len(tokens) - step] >= 0) if step < len(tokens) else np.zeros(0, np.int64)
+        at = at[rank[at + step] >= 0]
+        rank = ranked(at, rank[at] * len(tokens) + rank[at + step])
+        step *= 2
+    return rank
+
+
 def run_pages(tokens: np.ndarray, page: np.ndarray, twin: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """Places at which ``depth`` tokens of one page start, and in how many different pages those tokens stand.
 
@@ -198,7 +221,7 @@ class _Shard:
     def __init__(self, rows: pd.DataFrame):
         zones = [np.frombuffer(z, np.uint8) for z in rows["zones"]]
         sizes = np.array([len(z) for z in zones], np.int64)
-        self.flat = [t for page in zip(rows["zones"], rows["body"]) for t in _texts(*page)]
+        self.flat = [t for page in rows["texts"] for t in page]
         self.zone = np.concatenate([*zones, np.zeros(0, np.uint8)])
         self.edge = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
         page_of_block = np.repeat(np.arange(len(rows)), sizes)
@@ -215,19 +238,25 @@ class _Shard:
         return np.bincount(self.block[inside], minlength=len(self.flat)) / np.maximum(np.bincount(self.block, minlength=len(self.flat)), 1)
 
 
-def _counts(rows: pd.DataFrame) -> pd.DataFrame:
-    """Each run of the shard: in how many different pages it stands, in how many outside and inside articles, and whether it covers open text."""
-    rows = rows.sort_values("variant").drop_duplicates("twin")
+def _counts(rows: pd.DataFrame, wanted: np.ndarray | None = None) -> pd.DataFrame:
+    """Each run that stands twice in the shard, or each that is wanted: in how many different pages it stands, in how many outside and inside articles, and whether it covers open text."""
+    rows = _unpacked(rows)
     shard = _Shard(rows)
-    if not len(shard.at):
+    if wanted is None:
+        rank = repeated(shard.tokens)[shard.at]
+        asked = rank >= 0
+    else:
+        rank = shard.runs
+        asked = np.isin(shard.runs, wanted)
+    at, runs, rank = shard.at[asked], shard.runs[asked], rank[asked]
+    if not len(at):
         return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("h", "pages", "outside", "inside")}).assign(use=pd.Series([], dtype=bool))
-    rank = ranks(shard.tokens)[shard.at]
     _, first, rank = np.unique(rank, return_index=True, return_inverse=True)
-    page, zone = shard.page[shard.at], shard.zone[shard.block]
+    page, zone = shard.page[at], shard.zone[shard.block]
 
-    def of_zone(wanted: int) -> np.ndarray:
-        before = np.concatenate([[0], np.cumsum(zone == wanted)])
-        return before[shard.at + DEPTH] - before[shard.at]
+    def of_zone(kind: int) -> np.ndarray:
+        before = np.concatenate([[0], np.cumsum(zone == kind)])
+        return before[at + DEPTH] - before[at]
 
     def pages(where: np.ndarray) -> np.ndarray:
         different = np.unique(rank[where] * len(rows) + page[where])
@@ -236,37 +265,57 @@ def _counts(rows: pd.DataFrame) -> pd.DataFrame:
     article = of_zone(ARTICLE)
     use = np.bincount(rank, of_zone(OPEN) > 0, len(first)) > 0
     counts = {"pages": pages(article >= 0), "outside": pages(article == 0), "inside": pages(article == DEPTH)}
-    return pd.DataFrame({"h": shard.runs[first], **counts, "use": use})
+    return pd.DataFrame({"h": runs[first], **counts, "use": use})
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of runs that so many pages of a shard hold that the host may reach its limit; for hosts of one shard, they are final."""
-    for row in _each(batches):
-        found = _counts(pd.DataFrame(row["different"]))
-        yield _counted(row, found[found["pages"] >= row["least"] / row["shards"]])
+PACKED = "host string, shard long, shards long, least double, pages binary, zones binary, texts binary, size long"
+PAGE = np.dtype([("twin", np.int64), ("variant", np.int64), ("blocks", np.int64)])
 
 
-def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the wanted runs in each shard."""
-    for row in _each(batches):
-        found = _counts(pd.DataFrame(row["different"]))
-        yield _counted(row, found[np.isin(found["h"], row["wanted"])])
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages of a batch in one row per shard, as texts of a host compress better together."""
+    squeeze = pa.Codec("zstd", compression_level=3)
+    for batch in batches:
+        rows = batch.to_pandas()
+        found = []
+        for (host, shard), own in rows.groupby(["host", "shard"], sort=False):
+            pages = np.empty(len(own), PAGE)
+            pages["twin"], pages["variant"], pages["blocks"] = own["twin"], own["variant"], own["zones"].str.len()
+            texts = "\n".join(t for page in zip(own["zones"], own["body"]) for t in _texts(*page)).encode()
+            found.append((host, shard, own["shards"].iloc[0], own["least"].iloc[0], pages.tobytes(), b"".join(own["zones"]), squeeze.compress(texts, asbytes=True), len(texts)))
+        names = [c.split()[0] for c in PACKED.split(", ")]
+        yield pa.RecordBatch.from_pandas(pd.DataFrame(found, columns=names), preserve_index=False)
+
+
+def _unpacked(rows: pd.DataFrame) -> pd.DataFrame:
+    """The different pages of a shard."""
+    squeeze, found = pa.Codec("zstd"), []
+    for pages, zones, texts, size in zip(rows["pages"], rows["zones"], rows["texts"], rows["size"]):
+        pages = np.frombuffer(pages, PAGE)
+        edge = np.concatenate([np.zeros(1, np.int64), np.cumsum(pages["blocks"])])
+        flat = squeeze.decompress(texts, size, asbytes=True).decode().split("\n") if size else []
+        found += [(t, v, zones[a:b], flat[a:b]) for t, v, a, b in zip(pages["twin"].tolist(), pages["variant"].tolist(), edge[:-1], edge[1:])]
+    return pd.DataFrame(found, columns=["twin", "variant", "zones", "texts"]).sort_values("variant").drop_duplicates("twin")
+
+
+def _candidates(rows: pd.DataFrame) -> pd.DataFrame:
+    """Counts of runs that so many pages of a shard hold that the host may reach its limit; for hosts of one shard, they are final."""
+    found = _counts(rows)
+    return _counted(rows, found[found["pages"] >= rows["least"].iloc[0] / rows["shards"].iloc[0]])
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Row by row, so that one shard at a time is unpacked."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+def _wanted(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    """Counts of the wanted runs in a shard; shards of a host may have no page."""
+    return _counted(rows, _counts(rows, wanted["h"].to_numpy(np.int64)))
 
 
-def _counted(row: dict, found: pd.DataFrame) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([row["host"]] * len(found), pa.string()), *[pa.array(found[c].to_numpy()) for c in COUNTS]], ["host", *COUNTS])
+def _counted(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    return found.assign(host=rows["host"].iloc[0] if len(rows) else "")[[c.split()[0] for c in COUNTED.split(", ")]]
 
 
 def _keep(rows: pd.DataFrame, frequent: pd.DataFrame) -> pd.DataFrame:
     """The main text of pages of a host, whose frequent runs are given."""
-    shard = _Shard(rows)
+    shard = _Shard(rows.assign(texts=[_texts(*page) for page in zip(rows["zones"], rows["body"])]))
     runs, article = frequent["h"].to_numpy(np.int64), frequent["article"].to_numpy(bool)
     sizes = np.bincount(shard.block, minlength=len(shard.flat))
     page_of_block = np.repeat(np.arange(len(rows)), np.diff(shard.edge))
@@ -287,23 +336,26 @@ def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent_runs(dealt: DataFrame, hosts: DataFrame) -> DataFrame:
     """(host, h, article) of the runs that reach the limit of their host, and whether they go from articles, too; ``dealt``
     has the different pages of ``hosts``."""
-    own = F.struct("zones", "body", "twin", "variant")
-    # A shard is a row, so that both passes read it without a shuffle of texts.
-    packed = dealt.groupBy("host", "shard", "shards", "least").agg(F.collect_list(own).alias("different"))
-    path = write_table(packed, "shards", rows=8)
-    shards = dealt.sparkSession.read.schema(packed.schema).parquet(path)
-    found = materialise(shards.mapInArrow(_candidates, COUNTED), "runs")
+    shard = ("host", "shard")
+    own = dealt.select(*shard, "shards", "least", "zones", "body", "twin", "variant")
+
+    def in_turns(count: Callable[[Callable[[DataFrame], DataFrame]], DataFrame], name: str) -> DataFrame:
+        """What ``count`` finds in the shards, a share of them after the other; it gets what picks the rows of a share."""
+        turns = [lambda df, turn=turn: df.where(F.pmod(F.xxhash64(*shard), F.lit(TURNS)) == turn) for turn in range(TURNS)]
+        return functools.reduce(DataFrame.unionByName, [materialise(count(share), name) for share in turns])
+
+    found = in_turns(lambda share: share(own).mapInArrow(_pack, PACKED).groupBy(*shard).applyInPandas(_candidates, COUNTED), "runs")
     one = hosts.select("host", (F.col("shards") == 1).alias("one"))
     counted = found.join(one.where("one"), "host", "left_semi")
-    wanted = found.join(one.where("NOT one"), "host", "left_semi").groupBy("host").agg(F.collect_set("h").alias("wanted"))
-    parts = shards.join(wanted, "host").mapInArrow(_wanted, COUNTED)
+    wanted = found.join(one.where("NOT one"), "host", "left_semi").select("host", "h").distinct()
+    told = wanted.join(hosts, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), "h")
+    asked = own.join(wanted.select("host").distinct(), "host", "left_semi")
+    parts = in_turns(lambda share: share(asked).mapInArrow(_pack, PACKED).groupBy(*shard).cogroup(share(told).groupBy(*shard)).applyInPandas(_wanted, COUNTED), "parts")
     sums = [F.sum(c).alias(c) for c in ("pages", "outside", "inside")]
     counted = counted.unionByName(parts.groupBy("host", "h").agg(*sums, F.max("use").alias("use")))
     article = (F.col("outside") >= F.col("least")) & (F.col("inside") >= LEAST_PAGES)
     reached = counted.join(hosts.select("host", "least"), "host").where("pages >= least").select("host", "h", article.alias("article"), "use")
-    frequent = materialise(reached.where("use OR article").select("host", "h", "article"), "frequent")
-    drop_table(dealt.sparkSession, path)
-    return frequent
+    return materialise(reached.where("use OR article").select("host", "h", "article"), "frequent")
 
 
 def main_text(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:

@@ -55,6 +55,19 @@ def test_recurring_runs_against_brute_force(seed):
     assert hostpages.recurring(tokens, page, twin, depth).tolist() == expected
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_repeated_ranks_against_all_ranks(seed):
+    rng = np.random.default_rng(seed)
+    for n in (0, 1, 3, 9, 400):
+        tokens = rng.integers(0, 3, n).astype(np.uint64)
+        found = hostpages.repeated(tokens)
+        starts = [tuple(tokens[i : i + 8].tolist()) for i in range(n)]
+        for i in range(n):
+            alone = len(starts[i]) < 8 or starts.count(starts[i]) == 1
+            assert (found[i] < 0) == alone
+            assert alone or [j for j in range(n) if found[j] == found[i]] == [j for j in range(n) if starts[j] == starts[i]]
+
+
 @pytest.fixture
 def pages(spark):
     importable(spark)
@@ -136,6 +149,29 @@ def test_counts_decide_inside_an_article(spark, shard, monkeypatch):
     assert {r.page_id: r.text for r in found} == {k: (f"{heading}\n" if k == 7 else "") + f"{_text(k)}\n{quote}" for k in range(24)}
 
 
+@pytest.mark.parametrize("shard", [hostpages.SHARD, 5])
+def test_texts_are_written_once_and_shuffled_in_shares(spark, shard, monkeypatch):
+    """Beside the parsed pages no table has texts, and no step shuffles those of all pages at once."""
+    monkeypatch.setattr(hostpages, "SHARD", shard)
+    importable(spark)
+    tables = []
+    real = hostpages.materialise
+
+    def written(df, name, *more):
+        out = real(df, name, *more)
+        tables.append((name, df.columns))
+        return out
+
+    monkeypatch.setattr(hostpages, "materialise", written)
+    monkeypatch.setattr(hostpages, "write_table", lambda df, name, *more: pytest.fail(f"table {name} beside the parsed pages"), raising=False)
+    notice = "<div>Our invented office is closed for all of the coming week</div>"
+    rows = [(k, f"https://site{k % 8}.example.org/{k}", f"{notice}<p>{_text(k)}</p>") for k in range(160)]
+    found = hostpages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {k: _text(k) for k in range(160)}
+    assert [name for name, columns in tables if {"body", "different"} & set(columns)] == ["parsed"]
+    assert [name for name, _ in tables].count("runs") == hostpages.TURNS > 1
+
+
 # Toxicity.
 
 
