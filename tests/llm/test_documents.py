@@ -425,6 +425,26 @@ def test_exchange_ends_where_no_word_gains(spark, docs, block, monkeypatch):
             assert classlm.likelihood(class_table(bigrams, tried, total)) < classlm.likelihood(table) + 1e-2
 
 
+def test_few_words_are_moved_by_their_own_lists(spark, docs, monkeypatch):
+    """Rows of blocks stay small, and once few words gain, the lists of the others are not read to move these."""
+    monkeypatch.setattr(classlm, "BLOCK", 7)
+    movable, words, size = 5, 37, 40
+    bigrams = some_bigrams(9, size, 6000)
+    packed = [(0, *[np.array(x, np.int64).tobytes() for x in zip(*[(a * size + b, n) for (a, b), n in bigrams.items()])])]
+    real, listed = classlm.Exchange.move, []
+
+    def move(self, found, blocks, of, rest):
+        whole = class_table(bigrams, self.assigned, len(self.table))
+        assert np.array_equal(rest + self.summed(blocks, classlm._class_counts, self.assigned, of), whole)
+        listed.append(int(of.sum()))
+        return real(self, found, blocks, of, rest)
+
+    monkeypatch.setattr(classlm.Exchange, "move", move)
+    classlm.exchange(spark.createDataFrame(packed, classlm.PACKED), words, size, movable, 100)
+    assert listed[0] == words and any(n <= classlm.FEW * words for n in listed)
+    assert classlm.ENTRIES * 16 <= 1 << 21
+
+
 @pytest.mark.parametrize("others", [0, 3000])
 def test_the_same_words_are_clustered_however_large_the_corpus(spark, docs, monkeypatch, others):
     texts = [" ".join([*(f"often{k}" for k in range(20)), f"seldom{i % 60}"]) for i in range(300)]
