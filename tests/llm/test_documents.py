@@ -445,6 +445,44 @@ def test_few_words_are_moved_by_their_own_lists(spark, docs, monkeypatch):
     assert classlm.ENTRIES * 16 <= 1 << 21
 
 
+def test_blocks_of_a_task_know_the_moves_of_those_before(spark, docs, monkeypatch):
+    """One task: what its moves gain together is what the likelihood gains, though its words lie in six blocks."""
+    monkeypatch.setattr(classlm, "BLOCK", 7)
+    movable, words, size = 5, 37, 40
+    bigrams = some_bigrams(9, size, 6000) + Counter({(1, 2): 254, (2, 1): 70000})
+    packed = [(0, *[np.array(x, np.int64).tobytes() for x in zip(*[(a * size + b, n) for (a, b), n in bigrams.items()])])]
+    blocks, number = classlm._blocks(spark.createDataFrame(packed, classlm.PACKED), words, size)
+    assert number == blocks.count() == 6
+    classes = np.concatenate([[movable], np.arange(words) % movable, [movable + 1, movable + 2]])
+    before = class_table(bigrams, classes, movable + 3)
+    (found,), _ = classlm.Exchange(classes, before, movable).moves(blocks, 1)
+    after = classes.copy()
+    after[found.symbol] = found.to
+    assert found.moved > 10
+    assert math.isclose(found.gain, classlm.likelihood(class_table(bigrams, after, movable + 3)) - classlm.likelihood(before), rel_tol=1e-6)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_no_move_gains_more_than_hoped(seed):
+    movable, symbols = 5, 40
+    size = movable + 2
+    bigrams = some_bigrams(seed, symbols, 3000)
+    classes = np.random.default_rng(seed).integers(0, movable, symbols)
+    classes[-2:] = movable, movable + 1
+    table = class_table(bigrams, classes, size)
+    counts = np.zeros((symbols, 2, size))
+    for (a, b), n in bigrams.items():
+        counts[a, 0, classes[b]] += n
+        counts[b, 1, classes[a]] += n
+    words = np.arange(symbols - 2)
+    twice = np.array([bigrams[w, w] for w in words], float)
+    hopes = classlm.Sweep(classes, table, movable, 0.0).hopes(counts[words], classes[words], twice)
+    for w in words:
+        gain = classlm.gains(classes[w], *counts[w], twice[w], table, movable, classlm.Sums.of(table))
+        gain[classes[w]] = -np.inf
+        assert gain.max() <= hopes[w] + 1e-9
+
+
 @pytest.mark.parametrize("others", [0, 3000])
 def test_the_same_words_are_clustered_however_large_the_corpus(spark, docs, monkeypatch, others):
     texts = [" ".join([*(f"often{k}" for k in range(20)), f"seldom{i % 60}"]) for i in range(300)]
