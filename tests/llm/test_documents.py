@@ -451,7 +451,8 @@ def test_blocks_of_a_task_know_the_moves_of_those_before(spark, docs, monkeypatc
     movable, words, size = 5, 37, 40
     bigrams = some_bigrams(9, size, 6000) + Counter({(1, 2): 254, (2, 1): 70000})
     packed = [(0, *[np.array(x, np.int64).tobytes() for x in zip(*[(a * size + b, n) for (a, b), n in bigrams.items()])])]
-    blocks, number = classlm._blocks(spark.createDataFrame(packed, classlm.PACKED), words, size)
+    path, number = classlm._blocks(spark.createDataFrame(packed, classlm.PACKED), words, size)
+    blocks = spark.read.schema(classlm.BLOCKS).parquet(path)
     assert number == blocks.count() == 6
     classes = np.concatenate([[movable], np.arange(words) % movable, [movable + 1, movable + 2]])
     before = class_table(bigrams, classes, movable + 3)
