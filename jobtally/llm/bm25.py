@@ -6,9 +6,10 @@ k1 (1 - b + b length / mean length)), idf = ln(1 + (N - df + 0.5) / (df + 0.5));
 1. Each shard, ``SHARD`` bytes of text, is one row of a written table: sorted word hashes and postings. Documents of a
    shard are ordered by their most frequent common word, so that blocks of ``BLOCK`` documents are alike.
 2. Document frequencies of the query words are summed in hash buckets over all shards and go back to the queries.
-3. Queries are taken in blocks of at most ``TERMS`` words, a proven bound on what is broadcast. For a query, each block
-   of documents has an upper bound: for words with long lists the block's largest contribution, for others the
-   contributions there are. Blocks are scored in order of their bounds until the k-th score found is above the bound.
+3. Queries are taken in blocks of at most ``TERMS`` words, a proven bound on what is broadcast. For a query, each
+   document has an upper bound: for common words the largest contribution in its block, for others the contributions
+   there are. The common words of documents that may reach the threshold are summed as a product of matrices, in single
+   precision; those that do reach it, or the k best, are scored exactly.
 4. A first round over a fixed share of the shards gives each query a threshold, a lower bound of its k-th score, which
    prunes the other shards. The shards' lists are merged exactly: by score, then smaller id.
 
@@ -18,6 +19,7 @@ come last among equal scores; repeated rows are found once each.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,9 @@ from jobtally.llm.tables import buckets, inner, materialise
 
 K1, B = 1.2, 0.75
 SHARD, SLICE = 16_000_000, 4_000_000
-BLOCK, LONG_LIST = 32, 48
+BLOCK, COMMON = 32, 20  # documents in a block; a word is common in a shard if so great a part of its documents holds it
+TABLE, BATCH = 1 << 22, 1 << 20  # entries of a shard's table of common words, and of a batch of queries
+CLOSE, FEW = 1e-5, 64  # documents that may reach the floor, to be scored one by one
 TERMS = 4_000_000
 SEED_SHARE = 16
 NO_ID = (1 << 63) - 1
@@ -137,78 +141,99 @@ class Index:
         self.part += tf
         np.divide(tf * (K1 + 1), self.part, out=self.part)
         self.n, self.blocks = len(self.ids), -(-len(self.ids) // BLOCK)
-        sizes = np.diff(self.offsets)
-        long = np.flatnonzero(sizes >= LONG_LIST)
-        self.long_of = np.full(len(sizes), -1)
-        self.long_of[long] = np.arange(len(long))
-        # For long lists: the largest part in each block, and where each block's postings start.
-        self.most = np.zeros((len(long), self.blocks))
-        self.starts = np.zeros((len(long), self.blocks + 1), np.int64)
-        for i, word in enumerate(long):
-            a, b = self.offsets[word], self.offsets[word + 1]
-            block = self.docs[a:b] // BLOCK
-            self.starts[i] = a + np.searchsorted(block, np.arange(self.blocks + 1))
-            np.maximum.at(self.most[i], block, self.part[a:b])
+        sizes, room = np.diff(self.offsets), self.blocks * BLOCK
+        # Common words are columns of a table of all documents, with their largest part in each block.
+        common = np.flatnonzero(sizes * COMMON >= max(self.n, 1))
+        common = common[np.argsort(-sizes[common], kind="stable")][: TABLE // max(room, 1)]
+        self.column = np.full(len(sizes), -1)
+        self.column[common] = np.arange(len(common))
+        self.table = np.zeros((room, len(common)))
+        at = self._ranges(self.offsets[common], sizes[common])
+        self.table[self.docs[at], np.repeat(np.arange(len(common)), sizes[common])] = self.part[at]
+        self.single = self.table.astype(np.float32)
+        self.most = self.single.reshape(self.blocks, BLOCK, len(common)).max(axis=1)
+        self.places = np.arange(1 << 12)
 
     @staticmethod
-    def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        size = end - start
+    def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
         return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
-    def top(self, words: np.ndarray, idf: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and scores of the k best that reach ``floor``; words: places in the vocabulary."""
-        long = self.long_of[words]
-        short = long < 0
-        a, b = self.offsets[words[short]], self.offsets[words[short] + 1]
-        at = self._ranges(a, b)
-        few_docs, few = self.docs[at], np.repeat(idf[short], b - a) * self.part[at]
-        listed, weight = long[~short], idf[~short]
-        bound = weight @ self.most[listed] if len(listed) else np.zeros(self.blocks)
-        bound = bound + np.bincount(few_docs // BLOCK, few, self.blocks)
-        rest = np.bincount(few_docs, few, self.n)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        docs, scores, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while done < len(order):
-            # Sums in another order differ in the last digits; a bound this close is still scored.
-            if bound[order[done]] * (1 + 1e-9) < floor:
-                break
-            now = order[done : done + step]
-            now = np.sort(now[bound[now] * (1 + 1e-9) >= floor])
-            done, step = done + step, step * 4
-            starts, ends = self.starts[listed][:, now].ravel(), self.starts[listed][:, now + 1].ravel()
-            at = self._ranges(starts, ends)
-            each = np.repeat(np.repeat(weight, len(now)), ends - starts) * self.part[at]
-            sums = np.bincount(self.docs[at], each, self.n)
-            near = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            near = near[near < self.n]
-            score = np.round(sums[near] + rest[near], 9)  # copies in other shards are summed in another order
-            full = score > 0
-            docs, scores = np.concatenate([docs, near[full]]), np.concatenate([scores, score[full]])
+    def _rest(self, start: np.ndarray, size: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """The exact sums of the words with short lists, by document."""
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        if total > len(self.places):
+            self.places = np.arange(2 * total)
+        at = np.repeat(start - ends + size, size)
+        at += self.places[:total]
+        each = np.repeat(idf, size)
+        each *= self.part.take(at, mode="clip")
+        return np.bincount(self.docs.take(at, mode="clip"), each, self.blocks * BLOCK)
+
+    def tops(self, edges: np.ndarray, words: np.ndarray, idf: np.ndarray, k: int, floors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query, documents and scores of the k best that reach its floor; words: places in the vocabulary."""
+        step = min(max(BATCH // max(*self.table.shape, 1), 1), 256)
+        for first in range(0, len(floors), step):
+            edge = edges[first : first + step + 1]
+            own = slice(edge[0], edge[-1])
+            yield from self._tops(edge - edge[0], words[own], idf[own], k, floors[first : first + step])
+
+    def _tops(self, edges: np.ndarray, words: np.ndarray, idf: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        count = len(floors)
+        query, column = np.repeat(np.arange(count), np.diff(edges)), self.column[words]
+        common, short = column >= 0, np.flatnonzero(column < 0)
+        weights = np.zeros((count, self.table.shape[1]))
+        weights[query[common], column[common]] = idf[common]
+        single = weights.astype(np.float32)
+        bounds = single @ self.most.T
+        start, edge = self.offsets[words[short]], np.searchsorted(query[short], np.arange(count + 1))
+        size, idf = self.offsets[words[short] + 1] - start, idf[short]
+        # Single precision and sums in another order differ in the last digits; what is this close is still scored.
+        low = floors * (1 - CLOSE)
+        found, many = [None] * count, []
+        for i in range(count):
+            own = slice(edge[i], edge[i + 1])
+            rest = self._rest(start[own], size[own], idf[own])
+            docs = np.flatnonzero((rest.reshape(-1, BLOCK) + bounds[i][:, None]).ravel()[: self.n] >= max(low[i], np.finfo(np.float64).tiny))
+            if len(docs) > FEW:
+                many.append((i, rest))
+            else:
+                found[i] = self._best(docs, rest, weights[i], k, floors[i])
+        sums = single[[i for i, _ in many]] @ self.single.T
+        for (i, rest), reached in zip(many, sums):
+            reached = reached + rest
+            docs = np.flatnonzero(reached >= max(low[i], np.finfo(np.float64).tiny))
             if len(docs) > k:
-                best = np.lexsort((self.ids[docs], -scores))[:k]
-                docs, scores = docs[best], scores[best]
-            if len(docs) == k:
-                floor = max(floor, scores.min())
-        keep = scores * (1 + 1e-9) >= floor
+                docs = docs[reached[docs] >= np.partition(reached[docs], -k)[-k] * (1 - 2 * CLOSE)]
+            found[i] = self._best(docs, rest, weights[i], k, floors[i])
+        return found
+
+    def _best(self, docs: np.ndarray, rest: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        if not len(docs):
+            return np.zeros(0, np.int64), np.zeros(0)
+        scores = np.round(self.table[docs] @ weights + rest[docs], 9)  # copies in other shards are summed in another order
+        best = np.lexsort((self.ids[docs], -scores))[:k]
+        docs, scores = docs[best], scores[best]
+        keep = (scores > 0) & (scores * (1 + 1e-9) >= floor)
         return self.ids[docs[keep]], scores[keep]
 
+    def top(self, words: np.ndarray, idf: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one query."""
+        return next(self.tops(np.array([0, len(words)]), words, idf, k, np.array([floor])))
+
 
 def _search(batches: Iterator[pa.RecordBatch], shared, mean: float, k: int) -> Iterator[pa.RecordBatch]:
-    ids, numbers, edges, terms, idf, floors = shared.value
+    ids, numbers, edges, known, terms, idf, floors = shared.value
     for batch in batches:
         for i in range(batch.num_rows):
             index = Index(batch.slice(i, 1).to_pylist()[0], mean)
             if not len(index.vocab):
                 continue
-            at = np.minimum(np.searchsorted(index.vocab, terms), len(index.vocab) - 1)
-            there = index.vocab[at] == terms
-            out = []
-            for q in range(len(ids)):
-                own = slice(edges[q], edges[q + 1])
-                held = there[own]
-                docs, scores = index.top(at[own][held], idf[own][held], k, floors[q])
-                out.append((np.full(len(docs), ids[q]), np.full(len(docs), numbers[q]), docs, scores))
+            place = np.minimum(np.searchsorted(index.vocab, known), len(index.vocab) - 1)
+            place = np.where(index.vocab[place] == known, place, -1)[terms]
+            held = np.flatnonzero(place >= 0)
+            edge = np.searchsorted(held, edges)
+            out = [(np.full(len(docs), ids[q]), np.full(len(docs), numbers[q]), docs, scores) for q, (docs, scores) in enumerate(index.tops(edge, place[held], idf[terms[held]], k, floors))]
             columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "query", "doc_id", "score"])
 
@@ -243,26 +268,29 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col="doc_id", tex
     seeds = F.pmod(F.xxhash64("shard"), F.lit(SEED_SHARE)) == 0
     for block in blocks:
         parts = sorted(chunks.where(F.col("chunk").isin(block)).collect(), key=lambda r: r["chunk"])
-        words = frequencies.where(F.col("chunk").isin(block)).collect()
-        ids, edges, terms, idf = [], [np.zeros(1, np.int64)], [], []
+        of_chunk = defaultdict(list)
+        for row in frequencies.where(F.col("chunk").isin(block)).collect():
+            of_chunk[row["chunk"]].append(row)
+        ids, edges, terms, found_df = [], [np.zeros(1, np.int64)], [], []
         for part in parts:
-            own_words = [r for r in words if r["chunk"] == part["chunk"]]
-            known, df = np.frombuffer(b"".join(r["words"] for r in own_words), np.uint64), np.frombuffer(b"".join(r["df"] for r in own_words), np.int64)
+            known, df = (np.frombuffer(b"".join(r[c] for r in of_chunk[part["chunk"]]), kind) for c, kind in (("words", np.uint64), ("df", np.int64)))
             order = np.argsort(known)
             h, edge = np.frombuffer(part["terms"], np.uint64), np.frombuffer(part["edges"], np.int64)
-            df = df[order][np.searchsorted(known[order], h)] if len(h) else np.zeros(0)
             ids.append(np.frombuffer(part["ids"], np.int64))
             edges.append(edge[1:] + edges[-1][-1])
             terms.append(h)
-            idf.append(np.log1p((n_docs - df + 0.5) / (df + 0.5)))
+            found_df.append(df[order][np.searchsorted(known[order], h)] if len(h) else np.zeros(0))
         if not parts:
             continue
-        ids, edges, terms, idf = np.concatenate(ids), np.concatenate(edges), np.concatenate(terms), np.concatenate(idf)
+        ids, edges, df = np.concatenate(ids), np.concatenate(edges), np.concatenate(found_df)
+        # Each word is looked up once in a shard, however many queries hold it.
+        known, at, terms = np.unique(np.concatenate(terms), return_index=True, return_inverse=True)
+        idf, terms = np.log1p((n_docs - df[at] + 0.5) / (df[at] + 0.5)), terms.astype(np.int32)
         numbers = first + np.arange(len(ids))
         first += len(ids)
 
         def searched(these: DataFrame, floors: np.ndarray) -> DataFrame:
-            shared = spark.sparkContext.broadcast((ids, numbers, edges, terms, idf, floors))
+            shared = spark.sparkContext.broadcast((ids, numbers, edges, known, terms, idf, floors))
             return materialise(_best(these.mapInArrow(lambda batches: _search(batches, shared, mean, k), FOUND), k), "found")
 
         seeded = searched(shards.where(seeds), np.zeros(len(ids)))

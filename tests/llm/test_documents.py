@@ -605,6 +605,40 @@ def test_block_bounds_prune_without_loss():
         assert set(index.top(words, idf, 10, floor)[0]) >= set(ids[np.argsort(-found)[:5]])
 
 
+def test_queries_of_a_shard_are_searched_together(monkeypatch):
+    """Postings of common words are not walked query by query, and few documents are scored one by one; copies are found by id."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(rng.zipf(1.25)) % 4000}" for _ in range(int(rng.integers(60, 120)))) for k in range(700)]
+    texts += [texts[5]] * 20 + ["", "w1"]
+    w = W.words(pa.array(texts), lower=True)
+    owner, hashes, tf = bm25._postings(w)
+    index = bm25.Index(bm25._shard(0, [(np.arange(len(texts))[::-1], w.counts, owner, hashes, tf)]).to_pylist()[0], float(w.counts.mean()))
+    asked = [*range(0, 700, 7), 5, 720, 721]
+    held = [hashes[owner == q] for q in asked]
+    edges, words = np.cumsum([0, *map(len, held)]), np.searchsorted(index.vocab, np.concatenate(held))
+    idf = np.log1p((len(texts) - np.diff(index.offsets)[words] + 0.5) / (np.diff(index.offsets)[words] + 0.5))
+    expected = []
+    for a, b in zip(edges, edges[1:]):
+        scores = np.zeros(len(texts))
+        for word, x in zip(words[a:b], idf[a:b]):
+            at = slice(index.offsets[word], index.offsets[word + 1])
+            scores[index.ids[index.docs[at]]] += x * index.part[at]
+        scores = np.round(scores, 9)
+        best = np.lexsort((np.arange(len(texts)), -scores))[:10]
+        expected.append([(int(i), scores[i]) for i in best if scores[i] > 0])
+    walked, scored, rest, best = [], [], bm25.Index._rest, bm25.Index._best
+    monkeypatch.setattr(bm25, "BATCH", 30 * max(index.table.shape))
+    monkeypatch.setattr(bm25.Index, "_rest", lambda self, start, size, idf: walked.append(size.sum()) or rest(self, start, size, idf))
+    monkeypatch.setattr(bm25.Index, "_best", lambda self, docs, *given: scored.append(len(docs)) or best(self, docs, *given))
+    for floors in (np.zeros(len(asked)), np.array([e[-1][1] if len(e) == 10 else 0.0 for e in expected])):
+        walked.clear(), scored.clear()
+        found = list(index.tops(edges, words, idf, 10, floors))
+        for (ids, scores), rows in zip(found, expected, strict=True):
+            assert ids.tolist() == [i for i, _ in rows] and np.allclose(scores, [x for _, x in rows], rtol=1e-9)
+        assert sum(walked) < 0.4 * np.diff(index.offsets)[words].sum()
+        assert sum(scored) < 0.1 * len(asked) * len(texts)
+
+
 @pytest.mark.parametrize(
     "operator",
     [quality.judge, quality.clean, repeats.clean, simhash.near_duplicates, simhash.keep_one, private.find_private, private.mask, lambda d: bm25.top_k(d, d), lambda d: bytebpe.tokens(d, BPE, public_tokenizers.PATTERN)],
