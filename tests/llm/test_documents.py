@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -500,6 +501,67 @@ def test_the_same_words_are_clustered_however_large_the_corpus(spark, docs, monk
     assert words[0].words == 20
 
 
+def test_seldom_words_join_the_classes_that_suit_them(spark, docs, monkeypatch):
+    """Every word of the training documents is clustered; what it gives to unknown words is all that classes by rule keep."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{'xy'[k % 2]}{rng.integers(60)}" for k in range(60)) for _ in range(40)]
+    rows = [(i, f"{t} new{i}" if i % 8 == 0 else t, i % 8 == 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, out boolean").repartition(3)
+    real, seen = classlm.settle, []
+
+    def settle(numbered, model, *given):
+        seen.extend([model, real(numbered, model, *given)])
+        return seen[1]
+
+    monkeypatch.setattr(classlm, "settle", settle)
+    scores = {r["doc_id"]: r for r in listed(classlm.score(df, held="out", least=18, classes=4))}
+    before, after = seen
+    counts = Counter(w for _, t, out in rows if not out for w in t.split())
+    assert 0 < before.words < len(counts) and len(after.classes) == before.words + 1 + classlm.RULES + len(counts) - before.words
+    known = after.classes[[*range(1, before.words + 1), *range(before.words + 1 + classlm.RULES, len(after.classes))]]
+    assert known.max() < 4
+    # Neighbours alternate, so two classes of x and two of y, or one with one: no token follows one of its own class.
+    assert np.diag(after.table)[:4].sum() < 0.01 * after.tokens
+    assert np.allclose((10**after.transitions).sum(axis=1), 1)
+    seldom = [n for n in counts.values() if n < 18]
+    assert math.isclose(after.table.sum(), after.tokens) and math.isclose(after.totals[5:].sum(), len(seldom) * after.discount)
+    assert math.isclose(after.totals[:4].sum(), sum(counts.values()) - len(seldom) * after.discount)
+    assert not after.held_back.any()
+    left = lambda numbered, model, rules, classes, rounds: replace(model, classes=np.concatenate([model.classes, classes + 1 + rules.astype(np.int64)]))
+    monkeypatch.setattr(classlm, "settle", left)
+    unjoined = {r["doc_id"]: r["score"] for r in classlm.score(df, held="out", least=18, classes=4).collect()}
+    assert len(scores) == len(unjoined) == len(rows)
+    assert sum(r["score"] for r in scores.values()) > sum(unjoined.values())
+    assert all(math.isfinite(r["score"]) and r["n_tokens"] == len(rows[i][1].split()) + 1 for i, r in scores.items())
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_seldom_words_take_the_class_that_recounting_finds(seed):
+    """A block of words that all stand beside others only: gains agree with a recount of the likelihood."""
+    movable, symbols = 4, 40
+    size = movable + 3
+    classes = np.random.default_rng(seed).integers(0, movable, symbols)
+    classes[:20:2] = movable + 1  # not in any class yet
+    bigrams = Counter({(a, b): n for (a, b), n in some_bigrams(seed, symbols, 3000).items() if (a < 20) != (b < 20)})
+    table = class_table(bigrams, classes, size)
+    of = [(2 * a, b, n) for (a, b), n in bigrams.items() if a < 20] + [(2 * b + 1, a, n) for (a, b), n in bigrams.items() if b < 20]
+    lists = classlm.Lists.sorted(*[np.array(x) for x in zip(*of)], symbols)
+    for word in range(20):
+        one = lists.where(lists.symbol == word)
+        if not len(one.symbol):
+            continue
+        row = pa.RecordBatch.from_arrays([pa.array([0]), *[pa.array([b], pa.binary()) for b in one.blobs()]], ["block", *classlm.BLOBS])
+        found = [r for batch in classlm._joins(iter([row]), classes, table, movable) for r in batch.to_pylist()]
+        by_class = []
+        for c in range(movable):
+            moved = classes.copy()
+            moved[word] = c
+            by_class.append(classlm.likelihood(class_table(bigrams, moved, size)))
+        to = int(np.frombuffer(found[0]["class"], classes.dtype)[0]) if found else int(classes[word])
+        # The word's own tokens stay in the table meanwhile, which blurs gains a little.
+        assert by_class[to] > max(by_class) - 0.1 * (max(by_class) - min(by_class)) - 0.5
+
+
 def test_score_of_a_document_by_hand(spark, docs):
     rng = np.random.default_rng(5)
     texts = [" ".join(f"{'xy'[k % 2]}{min(rng.geometric(0.1), 30)}" for k in range(50)) for _ in range(30)]
